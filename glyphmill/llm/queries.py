@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import chat_format, exact_dedup, packing, sentencepiece_codec, simhash, token_files
+from glyphmill.llm import chat_format, embedding_dedup, exact_dedup, packing, sentencepiece_codec, sharding, simhash, token_files, toxicity
 from glyphmill.llm.common import tokenizer_path
 
 
@@ -23,6 +23,18 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    out = toxicity.score(docs, model, ["doc_id"]).withColumnRenamed("__score", "score")
+    return out.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.shard(table(spark, sf_dir, "documents"), 16)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chat_format.perspectives(table(spark, sf_dir, "conversations"))
     spans = F.array_join(F.transform("mask", lambda m: F.concat_ws("-", m["start"].cast("string"), m["end"].cast("string"))), ",")
@@ -71,12 +83,20 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return out.select("vec_id", "n_links", F.col("comp").alias("component_id"), (F.col("vec_id") == F.col("comp")).alias("kept"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_toxicity": op2_toxicity,
+    "op3_sharding": op3_sharding,
     "op5_chat_format": op5_chat_format,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_packing": op7_packing,
     "op8_simhash": op8_simhash,
     "op9_token_files": op9_token_files,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 ORACLES = {"op5_chat_format": OP5_SQL, "op6_exact_dedup": OP6_SQL}

@@ -196,3 +196,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = components_of(fps, radius)
     null = lambda c: F.when(F.col(c) != -(1 << 63), F.col(c))
     return out.select(null("id").alias(id_col), "fp", null("comp").alias("comp"))
+
+
+def keep_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
+    """One row of each component of ``docs``, that of the smallest id (of rows with that id, the first); all columns.
+
+    Rows are numbered in a table first and linked by number, so rows that share an id are told apart.
+    """
+    names = docs.columns
+    numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "simhash-input")
+    fps = materialize(fingerprints(numbered, "__row", text_col, shingle), "simhash-fingerprints")
+    comps = materialize(components_of(fps, radius).select(F.col("id").alias("__row"), "comp"), "simhash-rows")
+    # components of one row stay whatever its id is
+    shared = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("comp")
+    grouped = materialize(comps.join(shared, "comp"), "simhash-grouped")
+    ids = numbered.select("__row", F.col(id_col).alias("__id")).join(grouped, "__row")
+    ids = materialize(ids, "simhash-ids")
+    keep = ids.groupBy("comp").agg(F.min(F.struct("__id", "__row"))["__row"].alias("__row"))
+    gone = ids.select("__row").join(keep, "__row", "left_anti")
+    return numbered.join(gone, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in names])

@@ -8,6 +8,7 @@ Any other text is encoded by the library as a whole.
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -33,7 +34,16 @@ class WordTokens:
         self.lower = lower
         self.words = re.compile(WORD_LEVEL if lower else BYTE_LEVEL)
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.known = Remembered(self._encode)
+        # The names that byte-level vocabularies give to bytes: printable ones themselves, others from 256 on.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.names = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in plain)}
+        self.model = self.lib.model
+        self.known = Remembered(self._merge, 500_000)
+
+    def _merge(self, words: list[str]) -> list[bytes]:
+        """Words that the pattern has cut out, by the vocabulary's merges alone."""
+        names, tokenize = self.names, self.model.tokenize
+        return [array("I", [t.id for t in tokenize(w.encode().decode("latin-1").translate(names))]).tobytes() for w in words]
 
     def _encode(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.lib.encode_batch_fast(words, add_special_tokens=False)]
