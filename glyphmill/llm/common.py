@@ -31,12 +31,17 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/glyphmill/{name}-{uuid.uuid4().hex}"
 
 
+def read_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """Read a table without vectored reads, which keep native memory of a column chunk's size for each reading thread."""
+    return spark.read.option("parquet.hadoop.vectored.io.enabled", "false").parquet(path)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.option("parquet.hadoop.vectored.io.enabled", "false").schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:

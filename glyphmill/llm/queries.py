@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.llm import chat_format, embedding_dedup, exact_dedup, packing, sentencepiece_codec, sharding, simhash, token_files, toxicity
-from glyphmill.llm.common import tokenizer_path
+from glyphmill.llm.common import read_parquet, tokenizer_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_parquet(spark, f"{sf_dir}/{name}.parquet")
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
