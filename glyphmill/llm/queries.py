@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import chat_format, embedding_dedup, exact_dedup, packing, sentencepiece_codec, sharding, simhash, token_files, toxicity
+from glyphmill.llm import chat_format, embedding_dedup, exact_dedup, html_extract, packing, sentencepiece_codec, sharding, simhash, token_files, toxicity
 from glyphmill.llm.common import read_parquet, tokenizer_path
 
 
@@ -35,6 +35,12 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    out = html_extract.extract(pages, html_extract.fit(pages), ["page_id", "url"])
+    return out.select("page_id", "url", F.col("__text").alias("text"), F.length("__text").cast("long").alias("n_chars"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chat_format.perspectives(table(spark, sf_dir, "conversations"))
     spans = F.array_join(F.transform("mask", lambda m: F.concat_ws("-", m["start"].cast("string"), m["end"].cast("string"))), ",")
@@ -92,6 +98,7 @@ QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_toxicity": op2_toxicity,
     "op3_sharding": op3_sharding,
+    "op4_html_extraction": op4_html_extraction,
     "op5_chat_format": op5_chat_format,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_packing": op7_packing,

@@ -14,7 +14,7 @@ File (all integers little-endian)::
     payload lengths in 16-bit words:u32 * blocks, CRC-32 of the blocks:u32 * blocks
     payloads: u16 words
 
-Ids must be below 2**31.
+Ids must be below 2**29.
 """
 
 from __future__ import annotations
@@ -33,11 +33,11 @@ from glyphmill.llm.common import BROADCAST_ROWS, materialize, parallelism, share
 
 MAGIC, VERSION = b"GMTK", 1
 #: Ids to a block and to a file, about.
-BLOCK, FILE_IDS = 2048, 4_000_000
+BLOCK, FILE_IDS = 1024, 4_000_000
 #: Bits of the order-0 total, and of the shares of the three predictions.
 TOTAL0, SHARES = 18, 12
-#: Slots of the context tables of a block.
-SLOTS1, SLOTS2 = 512, 2048
+#: Slots of each context table of a block.
+SLOTS = 256
 _U = np.uint64
 #: First probabilities (of 4096) of a prediction by its confidence, 0 to 3; none without a prediction.
 _FIRST = (0, 1000, 2200, 3200)
@@ -45,51 +45,51 @@ _LEAST, _MOST = 32, 3900
 
 
 class _Lanes:
-    """The model of all blocks of a file; each step sees one id of each block."""
+    """The model of all blocks of a file; each step sees one id of each block. Row 0 is order 1, row 1 is order 2."""
 
     def __init__(self, n: int):
-        self.n = n
-        self.base1 = np.arange(n, dtype=np.int64) * SLOTS1
-        self.base2 = np.arange(n, dtype=np.int64) * SLOTS2
-        self.table1 = np.zeros(n * SLOTS1, dtype=np.int64)  # id << 2 | confidence; confidence 0: nothing yet
-        self.table2 = np.zeros(n * SLOTS2, dtype=np.int64)
-        self.trust1 = np.tile(np.array(_FIRST, dtype=np.int64), n)
-        self.trust2 = np.tile(np.array(_FIRST, dtype=np.int64), n)
-        self.lane4 = np.arange(n, dtype=np.int64) * 4
-        self.last = np.zeros(n, dtype=np.int64)
-        self.before = np.zeros(n, dtype=np.int64)
-
-    def predict(self, m: int) -> None:
-        """Shares of the two predictions for the first ``m`` lanes."""
-        last = self.last[:m]
-        self.at1 = self.base1[:m] + (((last * 40503) >> 7) & (SLOTS1 - 1))
-        self.at2 = self.base2[:m] + (((last * 40503 + self.before[:m] * 60493) >> 5) & (SLOTS2 - 1))
-        e1, e2 = self.table1[self.at1], self.table2[self.at2]
-        c1, c2 = e1 & 3, e2 & 3
-        self.c1, self.c2 = c1, c2
-        self.id1, self.id2 = e1 >> 2, e2 >> 2
-        self.k1, self.k2 = self.lane4[:m] + c1, self.lane4[:m] + c2
-        self.share2 = self.trust2[self.k2]
-        share1 = ((4096 - self.share2) * self.trust1[self.k1]) >> SHARES
-        self.share1 = np.where((self.id1 == self.id2) & (c2 > 0), 0, share1)
-        self.share0 = 4096 - self.share2 - self.share1
-
-    def update(self, m: int, ids: np.ndarray) -> None:
-        hit1, hit2 = self.id1 == ids, self.id2 == ids
-        for hit, c, k, trust, table, at in ((hit1, self.c1, self.k1, self.trust1, self.table1, self.at1), (hit2, self.c2, self.k2, self.trust2, self.table2, self.at2)):
-            held = hit & (c > 0)
-            p = trust[k]
-            # a missing prediction (confidence 0) keeps its share of nothing
-            trust[k] = np.where(c > 0, np.maximum(p + ((held * _MOST - p) >> 4), _LEAST), 0)
-            table[at] = (ids << 2) | np.where(held, np.minimum(c + 1, 3), 1)
-        self.before[:m] = self.last[:m]
-        self.last[:m] = ids
+        lanes = np.arange(n, dtype=np.int32)
+        self.base = np.stack([lanes * SLOTS, (n + lanes) * SLOTS])
+        self.table = np.zeros(2 * n * SLOTS, dtype=np.int32)  # id << 2 | confidence; confidence 0: nothing yet
+        self.trust = np.tile(np.array(_FIRST, dtype=np.int32), 2 * n)
+        self.lane4 = np.arange(2 * n, dtype=np.int32).reshape(2, n) * 4
+
+    def predict(self, at: np.ndarray) -> None:
+        """Shares of the predictions in the slots ``at`` (2 x lanes)."""
+        m = at.shape[1]
+        self.at = at
+        entry = self.table[at]
+        self.trusted = c = entry & 3
+        self.ids = entry >> 2
+        self.key = self.lane4[:, :m] + c
+        self.p = p = self.trust[self.key]
+        self.share2 = p[1]
+        self.share1 = ((4096 - p[1]) * p[0]) >> SHARES
+        self.share1[(self.ids[0] == self.ids[1]) & (c[1] > 0)] = 0
+        self.taken = self.share1 + self.share2
+        self.share0 = 4096 - self.taken
+
+    def update(self, now: np.ndarray, hit: np.ndarray) -> None:
+        """``hit``: whether each prediction is ``now``; an empty slot predicts nothing and keeps its share of nothing."""
+        c, p = self.trusted, self.p
+        some = c > 0
+        held = hit & some
+        self.trust[self.key] = np.maximum(p + ((held * np.int32(_MOST) - p) >> 4), _LEAST) * some
+        self.table[self.at] = (now << 2) | np.where(held, np.minimum(c + 1, 3), 1)
+
+
+def _slots(last: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of the contexts of order 1 and 2, of 32-bit ids."""
+    one = last * np.int32(40503)
+    return (one >> 7) & (SLOTS - 1), ((one + before * np.int32(60493)) >> 5) & (SLOTS - 1)
 
 
 def _frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct ids and their frequencies of 2**TOTAL0, each at least 1."""
     values, counts = np.unique(ids, return_counts=True)
     total = 1 << TOTAL0
+    if len(values) and values[-1] >= 1 << 29:
+        raise ValueError("ids must be below 2**29")
     if len(values) > total // 2:
         raise ValueError("too many different ids in a file")
     scaled = 1 + (counts * (total - len(values))) // counts.sum()
@@ -99,118 +99,135 @@ def _frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _settle(low: np.ndarray, rng: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which lanes give out their top 16 bits, and the range before that."""
-    top = (low ^ (low + rng)) < _U(1 << 48)
-    small = ~top & (rng < _U(1 << 32))
-    if small.any():  # carry is undecided: cut the range at the border
-        rng = np.where(small, (~low + _U(1)) & _U((1 << 32) - 1), rng)
-    return top | small, rng
+    out = (low ^ (low + rng)) < _U(1 << 48)
+    small = rng < _U(1 << 32)
+    if small.any():  # where the carry is undecided yet, cut the range at the border
+        rng = np.where(small & ~out, (~low + _U(1)) & _U((1 << 32) - 1), rng)
+        out |= small
+    return out, rng
 
 
 def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Order-0 ids and frequencies, and the words of each block."""
     values, freq = _frequencies(ids)
-    start0 = np.concatenate([[0], np.cumsum(freq)[:-1]])
+    start0 = np.concatenate([[0], np.cumsum(freq)[:-1]]).astype(np.int32)
+    freq = freq.astype(np.int32)
     n = -(-len(ids) // block)
-    sizes = np.full(n, block)
-    sizes[-1] = len(ids) - (n - 1) * block
-    padded = np.zeros(n * block, dtype=np.int64)
-    padded[: len(ids)] = ids
-    symbol = np.zeros(n * block, dtype=np.int64)
-    symbol[: len(ids)] = np.searchsorted(values, ids)
-    steps, symbols = np.ascontiguousarray(padded.reshape(n, block).T), np.ascontiguousarray(symbol.reshape(n, block).T)
+    last_size = len(ids) - (n - 1) * block
+    grid = np.zeros(n * block, dtype=np.int32)
+    grid[: len(ids)] = ids
+    steps = np.ascontiguousarray(grid.reshape(n, block).T)
+    lookup = np.zeros(int(values[-1]) + 1, dtype=np.int32) if values[-1] < (1 << 22) else None
+    if lookup is not None:
+        lookup[values] = np.arange(len(values))
+        symbols = lookup[steps]
+    else:
+        symbols = np.minimum(np.searchsorted(values, steps), len(values) - 1).astype(np.int32)
     lanes = _Lanes(n)
     low, rng = np.zeros(n, dtype=np.uint64), np.full(n, (1 << 64) - 1, dtype=np.uint64)
     words = np.zeros((n, 2 * block + 8), dtype=np.uint16)
-    fill = np.zeros(n, dtype=np.int64)
-    flat, row = words.reshape(-1), np.arange(n, dtype=np.int64) * words.shape[1]
+    fill = np.arange(n, dtype=np.int64) * words.shape[1]  # where the next word of each lane goes
+    flat, none = words.reshape(-1), np.zeros(n, dtype=np.int32)
     for t in range(block):
-        m = n if t < sizes[-1] else n - 1  # only the last block may be short
+        m = n if t < last_size else n - 1  # only the last block may be short
         if not m:
             break
         now = steps[t, :m]
-        lanes.predict(m)
-        hit2 = (lanes.c2 > 0) & (lanes.id2 == now)
-        hit1 = ~hit2 & (lanes.share1 > 0) & (lanes.id1 == now)
+        one, two = _slots(steps[t - 1, :m] if t else none[:m], steps[t - 2, :m] if t > 1 else none[:m])
+        lanes.predict(lanes.base[:, :m] + np.stack([one, two]))
+        hit = lanes.ids == now
+        hit2 = hit[1] & (lanes.trusted[1] > 0)
+        hit1 = hit[0] & (lanes.share1 > 0) & ~hit2
         s = symbols[t, :m]
-        taken = lanes.share2 + lanes.share1
-        start = (taken << TOTAL0) + lanes.share0 * start0[s]
+        start = (lanes.taken << TOTAL0) + lanes.share0 * start0[s]
         width = lanes.share0 * freq[s]
-        start = np.where(hit2, 0, np.where(hit1, lanes.share2 << TOTAL0, start))
-        width = np.where(hit2, lanes.share2 << TOTAL0, np.where(hit1, lanes.share1 << TOTAL0, width))
+        np.copyto(start, lanes.share2 << TOTAL0, where=hit1)
+        np.copyto(width, lanes.share1 << TOTAL0, where=hit1)
+        np.copyto(start, 0, where=hit2)
+        np.copyto(width, lanes.share2 << TOTAL0, where=hit2)
         unit = rng[:m] >> _U(TOTAL0 + SHARES)
-        lo = low[:m] + unit * start.astype(np.uint64)
-        rg = unit * width.astype(np.uint64)
-        while True:
-            out, rg = _settle(lo, rg)
-            at = np.flatnonzero(out)
-            if not len(at):
-                break
-            x = lo[at]
-            f = fill[at]
-            flat[row[at] + f] = (x >> _U(48)).astype(np.uint16)
+        lo = low[:m] + unit * start.view(np.uint32)
+        rg = unit * width.view(np.uint32)
+        out, rg = _settle(lo, rg)
+        at = np.flatnonzero(out)
+        while len(at):  # those that gave out a word may give out another
+            x, r, f = lo[at], rg[at], fill[at]
+            flat[f] = (x >> _U(48)).astype(np.uint16)
             fill[at] = f + 1
-            lo[at] = x << _U(16)
-            rg[at] = rg[at] << _U(16)
+            x, r = x << _U(16), r << _U(16)
+            out, r = _settle(x, r)
+            lo[at], rg[at] = x, r
+            at = at[out]
         low[:m], rng[:m] = lo, rg
-        lanes.update(m, now)
+        lanes.update(now, hit)
     for k in range(4):  # the rest of low
-        flat[row + fill] = ((low >> _U(48 - 16 * k)) & _U(0xFFFF)).astype(np.uint16)
+        flat[fill] = ((low >> _U(48 - 16 * k)) & _U(0xFFFF)).astype(np.uint16)
         fill += 1
-    return values, freq, [words[i, : fill[i]] for i in range(n)]
+    ends = (fill - np.arange(n) * words.shape[1]).tolist()
+    return values, freq, [words[i, : ends[i]] for i in range(n)]
 
 
 def decode_blocks(values: np.ndarray, freq: np.ndarray, payloads: list[np.ndarray], sizes: np.ndarray) -> list[np.ndarray]:
-    """The ids of each block; blocks may be any of a file's, of any size, longest first is not needed."""
+    """The ids of each block; the blocks may be any of a file's."""
     if not len(payloads):
         return []
     order = np.argsort(-np.asarray(sizes), kind="stable")
     sizes = np.asarray(sizes)[order]
     n, longest = len(order), int(sizes[0])
-    start0 = np.concatenate([[0], np.cumsum(freq)[:-1]])
-    inverse = np.repeat(np.arange(len(values)), freq)
+    start0 = np.concatenate([[0], np.cumsum(freq)[:-1]]).astype(np.int32)
+    inverse = np.repeat(np.arange(len(values), dtype=np.int32), freq)
+    values, freq = values.astype(np.int32), freq.astype(np.int32)
     lengths = np.array([len(payloads[i]) for i in order])
-    words = np.zeros((n, lengths.max() + 4), dtype=np.uint64)
+    words = np.zeros((n, lengths.max() + 8), dtype=np.uint16)
     for k, i in enumerate(order):
         words[k, : lengths[k]] = payloads[i]
-    flat, row = words.reshape(-1), np.arange(n, dtype=np.int64) * words.shape[1]
-    fill = np.full(n, 4, dtype=np.int64)
-    code = (words[:, 0] << _U(48)) | (words[:, 1] << _U(32)) | (words[:, 2] << _U(16)) | words[:, 3]
+    flat = words.reshape(-1)
+    fill = np.arange(n, dtype=np.int64) * words.shape[1] + 4  # where the next word of each lane comes from
+    head = words[:, :4].astype(np.uint64)
+    code = (head[:, 0] << _U(48)) | (head[:, 1] << _U(32)) | (head[:, 2] << _U(16)) | head[:, 3]
     low, rng = np.zeros(n, dtype=np.uint64), np.full(n, (1 << 64) - 1, dtype=np.uint64)
-    out_ids = np.zeros((longest, n), dtype=np.int64)
+    ids = np.zeros((longest + 2, n), dtype=np.int32)
     lanes = _Lanes(n)
-    live = np.searchsorted(-sizes, -np.arange(longest), side="left")  # lanes with more than t ids
+    live = np.searchsorted(-sizes, -np.arange(longest), side="left").tolist()  # lanes with more than t ids
     for t in range(longest):
-        m = int(live[t])
-        lanes.predict(m)
+        m = live[t]
+        one, two = _slots(ids[t + 1, :m], ids[t, :m])
+        lanes.predict(lanes.base[:, :m] + np.stack([one, two]))
         unit = rng[:m] >> _U(TOTAL0 + SHARES)
         lo, cd = low[:m], code[:m]
-        value = ((cd - lo) // unit).astype(np.int64)
-        taken = (lanes.share2 + lanes.share1) << TOTAL0
-        bound2 = lanes.share2 << TOTAL0
+        value = ((cd - lo) // unit).astype(np.int32)
+        taken, bound2 = lanes.taken << TOTAL0, lanes.share2 << TOTAL0
         in2 = value < bound2
-        in1 = ~in2 & (value < taken)
-        s = inverse[np.minimum(np.maximum(value - taken, 0) // lanes.share0, len(inverse) - 1)]
-        now = np.where(in2, lanes.id2, np.where(in1, lanes.id1, values[s]))
-        start = np.where(in2, 0, np.where(in1, bound2, taken + lanes.share0 * start0[s]))
-        width = np.where(in2, bound2, np.where(in1, taken - bound2, lanes.share0 * freq[s]))
-        lo = lo + unit * start.astype(np.uint64)
-        rg = unit * width.astype(np.uint64)
-        while True:
-            out, rg = _settle(lo, rg)
-            at = np.flatnonzero(out)
-            if not len(at):
-                break
-            f = fill[at]
-            cd[at] = (cd[at] << _U(16)) | flat[np.minimum(row[at] + f, len(flat) - 1)]
+        in1 = (value < taken) & ~in2
+        s = inverse[np.minimum((np.maximum(value - taken, 0) / lanes.share0).astype(np.int32), len(inverse) - 1)]
+        now = values[s]
+        start = taken + lanes.share0 * start0[s]
+        width = lanes.share0 * freq[s]
+        np.copyto(now, lanes.ids[0], where=in1)
+        np.copyto(start, bound2, where=in1)
+        np.copyto(width, taken - bound2, where=in1)
+        np.copyto(now, lanes.ids[1], where=in2)
+        np.copyto(start, 0, where=in2)
+        np.copyto(width, bound2, where=in2)
+        lo = lo + unit * start.view(np.uint32)
+        rg = unit * width.view(np.uint32)
+        out, rg = _settle(lo, rg)
+        at = np.flatnonzero(out)
+        while len(at):
+            x, r, f = lo[at], rg[at], fill[at]
+            cd[at] = (cd[at] << _U(16)) | flat[f]
             fill[at] = f + 1
-            lo[at] = lo[at] << _U(16)
-            rg[at] = rg[at] << _U(16)
+            x, r = x << _U(16), r << _U(16)
+            out, r = _settle(x, r)
+            lo[at], rg[at] = x, r
+            at = at[out]
         low[:m], rng[:m] = lo, rg
-        out_ids[t, :m] = now
-        lanes.update(m, now)
-    got = [np.zeros(0, np.int64)] * n
+        ids[t + 2, :m] = now
+        lanes.update(now, lanes.ids == now)
+    got = [np.zeros(0, np.int32)] * n
+    columns = np.ascontiguousarray(ids[2:].T)
     for k, i in enumerate(order):
-        got[i] = out_ids[: sizes[k], k]
+        got[i] = columns[k, : sizes[k]]
     return got
 
 
@@ -259,7 +276,7 @@ def from_bytes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for k, ids in enumerate(blocks):
         if zlib.crc32(ids.astype("<u4").tobytes()) != crc[k]:
             raise ValueError(f"block {k} is damaged")
-    return doc_ids, lengths, np.concatenate(blocks) if blocks else np.zeros(0, np.int64)
+    return doc_ids, lengths, np.concatenate(blocks) if blocks else np.zeros(0, np.int32)
 
 
 def _put(folder: str, name: str, data: bytes) -> None:
@@ -297,7 +314,7 @@ def write_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int =
         def flush() -> pa.RecordBatch:
             nonlocal keys, parts, count, k
             lengths = np.array([len(p) // 4 for p in parts])
-            data = to_bytes(np.array(keys, dtype=np.int64), lengths, np.frombuffer(b"".join(parts), "<u4").astype(np.int64))
+            data = to_bytes(np.array(keys, dtype=np.int64), lengths, np.frombuffer(b"".join(parts), "<u4"))
             _put(folder, name := f"part-{part:06d}-{k:06d}.gmtk", data)
             row = [[part], [k], [name], [len(keys)], [count], [len(data)]]
             keys, parts, count, k = [], [], 0, k + 1
