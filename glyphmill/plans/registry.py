@@ -1,4 +1,481 @@
-"""All registered queries and their SQL."""
+"""All registered queries, and DuckDB SQL for those that SQL can express."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from glyphmill.functions.geometry import box_angle, box_gap, centre_x, centre_y, contains_point
+from glyphmill.operators import components, layout, lexicon, network, raster
+from glyphmill.plans import fixtures as fx
+from glyphmill.plans.fixtures import BX_SQL, CHARS_SQL, LEX_SQL, NN_SQL, PX_SQL, QW_SQL
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return register
+
+
+DARK = 100
+COMP_SQL = f"""{PX_SQL},
+d as (select page_id, x, y from px where gray <= {DARK}),
+e as (select page_id, x, y, unnest([-1,0,1]) as ax from d),
+n as (select page_id, x, y, x + ax as nx, y + ay as ny from (select *, unnest([-1,0,1]) as ay from e)),
+adj as (select n.page_id, n.x, n.y, n.nx, n.ny from n join d on d.page_id = n.page_id and d.x = n.nx and d.y = n.ny),
+r(page_id, x, y, seed) as (select page_id, x, y, y*1000 + x from d union
+  select r.page_id, adj.nx, adj.ny, r.seed from r join adj on adj.page_id = r.page_id and adj.x = r.x and adj.y = r.y),
+lab as (select page_id, x, y, min(seed) as comp_id from r group by all),
+cc as (select page_id, comp_id, min(x) as x0, min(y) as y0, max(x)-min(x)+1 as w, max(y)-min(y)+1 as h, count(*) as pixel_count from lab group by all)"""
+
+
+# --- components -------------------------------------------------------------------------------------------------
+
+
+@query(
+    "components_boxes",
+    f"""with recursive {COMP_SQL}, k as (select * from cc where pixel_count >= 8 and w < 90 and h < 90),
+a as (select *, avg(w) over (partition by page_id) as aw, avg(h) over (partition by page_id) as ah from k),
+s as (select * from a where w <= 10*aw and h <= 10*ah)
+select page_id, comp_id, x0, y0, w, h, pixel_count, case when w*h > 25*avg(w*h) over (partition by page_id) then 'image' else 'character' end as type from s""",
+)
+def components_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components.find_components(fx.pixels(spark, sf_dir), DARK).select("page_id", "comp_id", "x0", "y0", "w", "h", "pixel_count", "type")
+
+
+@query("component_pixels", f"with recursive {COMP_SQL} select page_id, x, y, comp_id from lab")
+def component_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components.connected_components(fx.pixels(spark, sf_dir).where(F.col("gray") <= DARK))
+
+
+@query(
+    "component_clean",
+    f"""with {BX_SQL}, a as (select *, avg(w) over (partition by page_id) as aw, avg(h) over (partition by page_id) as ah from bx)
+select page_id, comp_id, x0, y0, w, h from a where w <= 1.5*aw and h <= 1.5*ah""",
+)
+def component_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components.drop_outsized(fx.boxes(spark, sf_dir), 1.5).select("page_id", "comp_id", "x0", "y0", "w", "h")
+
+
+@query("component_types", f"with {BX_SQL} select page_id, comp_id, case when w*h > 2*avg(w*h) over (partition by page_id) then 'image' else 'character' end as type from bx")
+def component_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components.classify(fx.boxes(spark, sf_dir), 2).select("page_id", "comp_id", "type")
+
+
+@query("component_density", f"with recursive {COMP_SQL} select page_id, comp_id, w*h as area, x0 + w//2 as cx, y0 + h//2 as cy, round(pixel_count/(w*h), 6) as density from cc where pixel_count >= 8")
+def component_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = components.boxes(components.connected_components(fx.pixels(spark, sf_dir).where(F.col("gray") <= DARK))).where("pixel_count >= 8")
+    area = F.col("w") * F.col("h")
+    return c.select("page_id", "comp_id", area.alias("area"), centre_x(F.col("x0"), F.col("w")).alias("cx"), centre_y(F.col("y0"), F.col("h")).alias("cy"), F.round(F.col("pixel_count") / area, 6).alias("density"))
+
+
+@query(
+    "page_counters",
+    f"""with {BX_SQL}, t as (select *, case when w*h > 2*avg(w*h) over (partition by page_id) then 'image' else 'character' end as type from bx)
+select page_id, count(*) as n_components, count(*) filter (type = 'image') as n_images, count(*) filter (type = 'character') as n_characters,
+ count(distinct (y0 + h//2)//200) as n_lines from t group by page_id""",
+)
+def page_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = layout.with_line(components.classify(fx.boxes(spark, sf_dir), 2))
+    return t.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_components"), F.count_if(F.col("type") == "image").alias("n_images"), F.count_if(F.col("type") == "character").alias("n_characters"), F.countDistinct("line_id").alias("n_lines"))
+
+
+# --- rasters ----------------------------------------------------------------------------------------------------
+
+
+@query("histogram", f"with {PX_SQL} select page_id, gray, count(*) as n from px where gray < 255 group by all")
+def histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster.histogram(fx.pixels(spark, sf_dir))
+
+
+@query(
+    "gray_peaks",
+    f"""with {PX_SQL}, h as (select page_id, gray, count(*) as n from px where gray < 255 group by all),
+k as (select *, row_number() over (partition by page_id, gray < 170 order by n desc, gray) as rn from h)
+select page_id, coalesce(max(gray) filter (rn = 1 and gray < 170), 0) as black, coalesce(max(gray) filter (rn = 1 and gray >= 170), 0) as white from k group by page_id""",
+)
+def gray_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster.peaks(fx.pixels(spark, sf_dir))
+
+
+@query(
+    "otsu_threshold",
+    f"""with {PX_SQL}, h as (select *, n*gray as s from (select page_id, gray, count(*) as n from px where gray < 255 group by page_id, gray)),
+c as (select page_id, gray, sum(n) over w as n0, sum(s) over w as s0, sum(n) over p as nt, sum(s) over p as st from h
+      window w as (partition by page_id order by gray), p as (partition by page_id)),
+v as (select page_id, gray, (s0::double*(nt-n0)::double - (st-s0)::double*n0::double)*(s0::double*(nt-n0)::double - (st-s0)::double*n0::double)/(n0::double*(nt-n0)::double) as b from c where nt > n0)
+select page_id, gray as threshold from (select *, row_number() over (partition by page_id order by b desc, gray) as rn from v) where rn = 1""",
+)
+def otsu_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster.otsu(fx.pixels(spark, sf_dir))
+
+
+@query("binarize_counts", f"with {PX_SQL} select page_id, case when gray > 170 then 255 else 0 end as bit, count(*) as n from px group by all")
+def binarize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster.binarise(fx.pixels(spark, sf_dir)).groupBy("page_id", "bit").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("row_col_projection", f"with {PX_SQL} select page_id, 'x' as axis, x as at, count(*) as n from px where gray <= 170 group by all union all select page_id, 'y', y, count(*) from px where gray <= 170 group by all")
+def row_col_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster.projections(fx.pixels(spark, sf_dir))
+
+
+@query(
+    "pixel_types",
+    f"""with {PX_SQL}, d as (select page_id, x, y from px where gray <= {DARK}),
+o as (select * from (values (-1,-1),(-1,0),(-1,1),(0,-1),(0,1),(1,-1),(1,0),(1,1)) as o(dx, dy)),
+c as (select d.page_id, d.x, d.y, count(e.x) as n from d cross join o left join d e on e.page_id = d.page_id and e.x = d.x + o.dx and e.y = d.y + o.dy group by all)
+select page_id, x, y, n, case when n = 1 then 'End' when n >= 3 then 'Junction' else 'Regular' end as type from c""",
+)
+def pixel_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster.pixel_types(fx.pixels(spark, sf_dir).where(F.col("gray") <= DARK), ["page_id"]).select("page_id", "x", "y", "n", "type")
+
+
+NORM_SQL = f"""{COMP_SQL}, big as (select * from cc where pixel_count >= 8),
+s as (select *, least(32.0::double/w, 2*(32.0::double/h)) as sx, least(32.0::double/h, 2*(32.0::double/w)) as sy from big),
+q as (select s.*, floor(w*sx)::int as tw, floor(h*sy)::int as th from s),
+m as (select q.page_id, q.comp_id, tw, th, lab.x - x0 as x, lab.y - y0 as y, sx, sy from q join lab using (page_id, comp_id)),
+i as (select *, unnest(range(ceil(x*sx)::int, least(ceil((x+1)*sx)::int, tw))) as i from m),
+nrm as (select page_id, comp_id, i + (32-tw)//2 as x, unnest(range(ceil(y*sy)::int, least(ceil((y+1)*sy)::int, th))) + (32-th)//2 as y from i)"""
+
+
+def _normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lab = components.connected_components(fx.pixels(spark, sf_dir).where(F.col("gray") <= DARK))
+    keys = ["page_id", "comp_id"]
+    big = lab.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).where("__n >= 8").drop("__n")
+    return raster.normalise32(big, keys)
+
+
+@query("normalize32", f"with recursive {NORM_SQL} select page_id, comp_id, count(*) as n, sum(x*37 + y*101)::bigint as checksum, min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1 from nrm group by all")
+def normalize32(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _normalised(spark, sf_dir).groupBy("page_id", "comp_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("x") * 37 + F.col("y") * 101).alias("checksum"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")
+    )
+
+
+@query(
+    "junction_grid",
+    f"""with recursive {NORM_SQL}, o as (select * from (values (-1,-1),(-1,0),(-1,1),(0,-1),(0,1),(1,-1),(1,0),(1,1)) as o(dx, dy)),
+c as (select d.page_id, d.comp_id, d.x, d.y, count(e.x) as n from nrm d cross join o left join nrm e on e.page_id = d.page_id and e.comp_id = d.comp_id and e.x = d.x + o.dx and e.y = d.y + o.dy group by all)
+select page_id, comp_id, x//11 as gx, y//11 as gy, bool_or(n = 1) as has_end, bool_or(n >= 3) as has_junction from c group by all""",
+)
+def junction_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = raster.pixel_types(_normalised(spark, sf_dir), ["page_id", "comp_id"])
+    return t.groupBy("page_id", "comp_id", F.floor(F.col("x") / 11).alias("gx"), F.floor(F.col("y") / 11).alias("gy")).agg(F.bool_or(F.col("type") == "End").alias("has_end"), F.bool_or(F.col("type") == "Junction").alias("has_junction"))
+
+
+@query(
+    "projections32",
+    f"""with recursive {NORM_SQL} select page_id, comp_id, 'x' as axis, x//4 as bucket, count(*) as n from nrm group by all union all select page_id, comp_id, 'y', y//4, count(*) from nrm group by all""",
+)
+def projections32(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _normalised(spark, sf_dir)
+    bucket = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.floor(F.col(a) / 4).alias("bucket")) for a in ("x", "y")]))
+    return n.select("page_id", "comp_id", bucket.alias("b")).groupBy("page_id", "comp_id", "b.axis", "b.bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "run_variance",
+    f"""with {PX_SQL}, d as (select page_id, x, y from px where gray <= {DARK}),
+k as (select page_id, x, count(*) as runs from (select *, lag(y) over (partition by page_id, x order by y) as py from d) where py is null or py < y - 1 group by all),
+f as (select page_id, abs(runs - lag(runs) over (partition by page_id order by x)) as diff from k)
+select page_id, round(avg(diff), 6) as mean_diff, round(var_pop(diff), 6) as var_diff from f where diff is not null group by page_id""",
+)
+def run_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = fx.pixels(spark, sf_dir).where(F.col("gray") <= DARK)
+    starts = d.withColumn("py", F.lag("y").over(Window.partitionBy("page_id", "x").orderBy("y"))).where("py is null or py < y - 1")
+    runs = starts.groupBy("page_id", "x").agg(F.count(F.lit(1)).alias("runs"))
+    diff = runs.select("page_id", F.abs(F.col("runs") - F.lag("runs").over(Window.partitionBy("page_id").orderBy("x"))).alias("diff")).where("diff is not null")
+    return diff.groupBy("page_id").agg(F.round(F.avg("diff"), 6).alias("mean_diff"), F.round(F.var_pop("diff"), 6).alias("var_diff"))
+
+
+# --- boxes ------------------------------------------------------------------------------------------------------
+
+
+@query(
+    "grid_assign",
+    f"""with {BX_SQL}, n as (select page_id, greatest(1, count(*)//20) as target from bx group by page_id),
+k as (select page_id, min(d) as dx from (select page_id, target, unnest(range(0, target+1)) as d from n) where (d+1)*(d*2800//2000 + 1) >= target group by page_id),
+c as (select page_id, dx + 2 as nx, 2000//(dx+1) as cw, 2800//(dx*2800//2000 + 1) as ch from k)
+select page_id, comp_id, (x0 + w//2)//cw + nx*((y0 + h//2)//ch) as cell_id from bx join c using (page_id)""",
+)
+def grid_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.grid(fx.boxes(spark, sf_dir), 2000, 2800).select("page_id", "comp_id", "cell_id")
+
+
+@query(
+    "box_contains_join",
+    f"""with {BX_SQL} select o.page_id, o.comp_id as outer_id, i.comp_id as inner_id from bx o join bx i on o.page_id = i.page_id
+ and i.x0 + 2 >= o.x0 and i.x0 + i.w - 2 <= o.x0 + o.w and i.y0 + 2 >= o.y0 and i.y0 + i.h - 2 <= o.y0 + o.h where o.comp_id <> i.comp_id and i.w > 4 and i.h > 4""",
+)
+def box_contains_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.contained(fx.boxes(spark, sf_dir))
+
+
+@query(
+    "box_intersect_join",
+    f"""with {BX_SQL} select a.page_id, a.comp_id as a_id, b.comp_id as b_id from bx a join bx b on a.page_id = b.page_id
+ and a.x0 < b.x0 + b.w and b.x0 < a.x0 + a.w and a.y0 < b.y0 + b.h and b.y0 < a.y0 + a.h where a.comp_id < b.comp_id""",
+)
+def box_intersect_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.intersecting(fx.boxes(spark, sf_dir))
+
+
+@query("point_in_box", f"with {BX_SQL} select page_id, comp_id from bx where 1000 >= x0 and 1000 < x0 + w and 1400 >= y0 - 300 and 1400 < y0 + h + 300")
+def point_in_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.boxes(spark, sf_dir).where(contains_point(F.col("x0"), F.col("y0") - 300, F.col("w"), F.col("h") + 600, F.lit(1000), F.lit(1400))).select("page_id", "comp_id")
+
+
+@query(
+    "nearest_right_neighbor",
+    f"""with {BX_SQL}, c as (select *, x0 + w//2 as cx, y0 + h//2 as cy from bx),
+p as (select a.page_id, a.comp_id, b.comp_id as right_id, floor(sqrt(((b.cx-a.cx)*(b.cx-a.cx) + (b.cy-a.cy)*(b.cy-a.cy))::double))::bigint as distance from c a join c b on a.page_id = b.page_id
+ and b.cx//100 - a.cx//100 between 0 and 1 and b.cy//100 - a.cy//100 between -1 and 1 and b.x0 > a.x0 and b.y0 < a.y0 + a.h and a.y0 < b.y0 + b.h where a.comp_id <> b.comp_id),
+k as (select *, row_number() over (partition by page_id, comp_id order by distance, right_id) as rn from p where distance < 100)
+select page_id, comp_id, right_id, distance from k where rn = 1""",
+)
+def nearest_right_neighbor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.nearest_right(fx.boxes(spark, sf_dir))
+
+
+PAIR_SQL = f"""{BX_SQL}, pr as (select page_id, comp_id as b_id, x0 as bx0, y0 as by0, w as bw, h as bh, lag(comp_id) over v as a_id, lag(x0) over v as ax0, lag(y0) over v as ay0, lag(w) over v as aw, lag(h) over v as ah
+ from bx window v as (partition by page_id order by comp_id)), pairs as (select *, ax0 + aw//2 as acx, ay0 + ah//2 as acy, bx0 + bw//2 as bcx, by0 + bh//2 as bcy from pr where a_id is not null)"""
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = Window.partitionBy("page_id").orderBy("comp_id")
+    b = fx.boxes(spark, sf_dir)
+    return b.select("page_id", F.col("comp_id").alias("b_id"), *[F.col(c).alias(f"b{c}") for c in ("x0", "y0", "w", "h")], F.lag("comp_id").over(v).alias("a_id"), *[F.lag(c).over(v).alias(f"a{c}") for c in ("x0", "y0", "w", "h")]).where("a_id is not null")
+
+
+def _sides() -> list:
+    return [F.col(f"{p}{c}") for p in "ab" for c in ("x0", "y0", "w", "h")]
+
+
+_STEPS = """(select count(*) from (select unnest(range(0, greatest({p}w, {p}h) + 1)) as k) where
+ {p}cx + trunc(k*case when abs(dx) >= abs(dy) then sign(dx)::double else dx::double/greatest(abs(dx),abs(dy)) end{s}) >= {p}x0 and {p}cx + trunc(k*case when abs(dx) >= abs(dy) then sign(dx)::double else dx::double/greatest(abs(dx),abs(dy)) end{s}) < {p}x0 + {p}w
+ and {p}cy + trunc(k*case when abs(dx) >= abs(dy) then dy::double/greatest(abs(dx),abs(dy)) else sign(dy)::double end{s}) >= {p}y0 and {p}cy + trunc(k*case when abs(dx) >= abs(dy) then dy::double/greatest(abs(dx),abs(dy)) else sign(dy)::double end{s}) < {p}y0 + {p}h)"""
+
+
+@query(
+    "box_gap_distance",
+    f"""with {PAIR_SQL}, g as (select *, bcx - acx as dx, bcy - acy as dy from pairs)
+select page_id, a_id, b_id, case when dx = 0 and dy = 0 then 0 else (floor(sqrt((dx*dx + dy*dy)::double)) + 1 - {_STEPS.format(p="a", s="")} - {_STEPS.format(p="b", s="*-1")})::bigint end as gap from g""",
+)
+def box_gap_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir).select("page_id", "a_id", "b_id", box_gap(*_sides()).alias("gap"))
+
+
+_ANGLE = "case when {dx} = 0 then case when {dy} = 0 then 0.0 else 90.0 end else degrees(atan({dy}::double/{dx})) end"
+
+
+@query(
+    "box_angle",
+    f"""with {PAIR_SQL}, g as (select *, case when ax0 < bx0 + bw and bx0 < ax0 + aw then 0 else abs(bcx - acx) end as dx, case when ay0 < by0 + bh and by0 < ay0 + ah then 0 else abs(bcy - acy) end as dy from pairs)
+select page_id, a_id, b_id, round({_ANGLE.format(dx="dx", dy="dy")}, 6) as angle from g""",
+)
+def box_angle_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir).select("page_id", "a_id", "b_id", F.round(box_angle(*_sides()), 6).alias("angle"))
+
+
+# --- lines and text ---------------------------------------------------------------------------------------------
+
+LINE_SQL = f"""{BX_SQL}, ln as (select *, ((y0 + h//2)//200)::bigint as line_id from bx)"""
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.with_line(fx.boxes(spark, sf_dir))
+
+
+@query("small_lines", f"with {LINE_SQL}, c as (select *, count(*) over (partition by page_id, line_id) as n from ln) select page_id, line_id, comp_id from c where n >= 305")
+def small_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.small_lines_dropped(_lines(spark, sf_dir), 305).select("page_id", "line_id", "comp_id")
+
+
+@query(
+    "space_insertion",
+    f"""with {LINE_SQL}, t as (select *, floor(0.6*avg(w) over (partition by page_id, line_id)) as t, lag(x0) over v as px, lag(y0) over v as py, lag(w) over v as pw, lag(h) over v as ph from ln window v as (partition by page_id, line_id order by x0, comp_id)),
+g as (select *, floor((x0 - (px + pw))/t)::bigint as n_spaces from t where px is not null and t > 0 and x0 - (px + pw) >= t)
+select page_id, line_id, comp_id, n_spaces, (px + pw//2 + floor((x0 + w//2 - (px + pw//2))/n_spaces))::bigint as sx, (py + ph//2 + floor((y0 + h//2 - (py + ph//2))/n_spaces))::bigint as sy from g""",
+)
+def space_insertion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.spaces(_lines(spark, sf_dir))
+
+
+METRIC_SQL = f"""{LINE_SQL}, o as (select *, row_number() over (partition by page_id, line_id order by x0, comp_id) as rn, count(*) over (partition by page_id, line_id) as n from ln),
+m as (select page_id, line_id, count(*) as n, min(x0) as lx, min(y0) as ly, max(x0+w)-min(x0) as lw, max(y0+h)-min(y0) as lh, round(avg(w), 6) as avg_w, round(avg(h), 6) as avg_h,
+ max(x0) filter (rn = 1) as ax0, max(y0) filter (rn = 1) as ay0, max(w) filter (rn = 1) as aw, max(h) filter (rn = 1) as ah,
+ max(x0) filter (rn = n) as bx0, max(y0) filter (rn = n) as by0, max(w) filter (rn = n) as bw, max(h) filter (rn = n) as bh from o group by page_id, line_id),
+d as (select *, case when ax0 < bx0 + bw and bx0 < ax0 + aw then 0 else abs(bx0 + bw//2 - (ax0 + aw//2)) end as dx, case when ay0 < by0 + bh and by0 < ay0 + ah then 0 else abs(by0 + bh//2 - (ay0 + ah//2)) end as dy from m)"""
+
+
+@query("line_metrics", f"with {METRIC_SQL} select page_id, line_id, n, lx, ly, lw, lh, avg_w, avg_h, round({_ANGLE.format(dx='dx', dy='dy')}, 6) as angle from d")
+def line_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.line_metrics(_lines(spark, sf_dir))
+
+
+THRESHOLD_SQL = f"{METRIC_SQL}, th as (select page_id, line_id, (ly + floor(0.11*lh))::bigint as ascent, (ly + lh - floor(0.11*lh))::bigint as descent, (ly + lh//2)::bigint as centre from d)"
+
+
+@query("line_thresholds", f"with {THRESHOLD_SQL} select * from th")
+def line_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.line_thresholds(layout.line_metrics(_lines(spark, sf_dir)))
+
+
+@query(
+    "glyph_positions",
+    f"""with {THRESHOLD_SQL} select page_id, line_id, comp_id, case when y0 < ascent then 'ascent' when y0 < centre then 'height' else 'center' end as top,
+ case when y0 + h > descent then 'descent' when y0 + h > centre then 'base' else 'center' end as bottom from ln join th using (page_id, line_id)""",
+)
+def glyph_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _lines(spark, sf_dir)
+    return layout.positions(lines, layout.line_thresholds(layout.line_metrics(lines)))
+
+
+@query("page_overlays", f"with {METRIC_SQL} select page_id, 'component' as kind, x0, y0, x0 + w as x1, y0 + h as y1 from bx union all select page_id, 'line', lx, ly, lx + lw, ly + lh from d")
+def page_overlays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _lines(spark, sf_dir)
+    return layout.overlays(lines, layout.line_metrics(lines))
+
+
+@query(
+    "word_islands",
+    f"""with {CHARS_SQL}, k as (select *, sum((ch = ' ')::int) over (partition by conv_id, turn order by pos) as island from chars),
+w as (select conv_id, turn, island, string_agg(ch, '' order by pos) as word from k where ch <> ' ' group by all)
+select conv_id, turn, row_number() over (partition by conv_id, turn order by island) as word_no, word from w""",
+)
+def word_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.word_islands(fx.chars(spark, sf_dir))
+
+
+@query("page_text", "select conv_id, string_agg(turn::varchar || ' ' || coalesce(text, '') || chr(10) || chr(13), '' order by turn) as page_text from conversations group by conv_id")
+def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.page_text(fx.table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
+
+
+# --- dictionary -------------------------------------------------------------------------------------------------
+
+
+@query("lexicon_distinct", f"with {LEX_SQL} select w, n from lex")
+def lexicon_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.lexicon(spark, sf_dir)
+
+
+@query("lexicon_member", f"with {LEX_SQL}, {QW_SQL} select w, lex.w as known from qw left join lex using (w)")
+def lexicon_member(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon.members(fx.query_words(spark, sf_dir), fx.lexicon(spark, sf_dir))
+
+
+@query("lexicon_missing", f"with {LEX_SQL}, {QW_SQL} select w from qw where w not in (select w from lex)")
+def lexicon_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon.missing(fx.query_words(spark, sf_dir), fx.lexicon(spark, sf_dir))
+
+
+@query(
+    "fuzzy_suggest",
+    f"""with {LEX_SQL}, {QW_SQL}, q as (select w from qw where w not in (select w from lex)),
+p as (select q.w, lex.w as word, levenshtein(q.w, lex.w) as distance from q join lex on abs(length(q.w) - length(lex.w)) <= 2),
+k as (select *, row_number() over (partition by w order by distance, word) as rn from p where distance <= 2)
+select w, word as suggestion, distance from k where rn = 1""",
+)
+def fuzzy_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon.fuzzy(fx.query_words(spark, sf_dir), fx.lexicon(spark, sf_dir))
+
+
+@query(
+    "confusion_expand",
+    f"""with {LEX_SQL}, r as (select * from (values {', '.join(f"('{a}','{b}')" for a, b in lexicon.CONFUSIONS)}) as r(rd, mt)),
+e as (select w, rd, mt, unnest(range(1, length(w) + 1)) as k from lex cross join r)
+select w, k as "at", substring(w, 1, k::int - 1) || mt || substring(w, k::int + length(rd)::int) as candidate from e where substring(w, k::int, length(rd)::int) = rd""",
+)
+def confusion_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon.confusions(fx.lexicon(spark, sf_dir))
+
+
+PREFIX_SQL = f"{LEX_SQL}, pf as (select w, unnest(range(1, length(w) + 1)) as n from lex)"
+
+
+@query("trie_node_count", f"with {PREFIX_SQL} select (select count(distinct substring(w, 1, n::int)) from pf) + (select count(*) from lex) + 1 as nodes")
+def trie_node_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon.trie_size(fx.lexicon(spark, sf_dir))
+
+
+@query("dawg_node_count", f"with {PREFIX_SQL}, e as (select substring(w, 1, n::int) as p, string_agg(substring(w, n::int + 1), ',' order by substring(w, n::int + 1)) as rest from pf group by 1) select count(distinct (right(p, 1), rest)) + 2 as nodes from e")
+def dawg_node_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon.dawg_size(fx.lexicon(spark, sf_dir))
+
+
+# --- network ----------------------------------------------------------------------------------------------------
+
+
+def _layer(source: str, layer: int, n: int, m: int) -> str:
+    sums = f"list_sum(list_transform(range(0, {n}), lambda i: ((i*7 + j*13 + {layer}*5) % 21 - 10)/10.0::double * f[i + 1]))"
+    return f"select vec_id, label, list_transform(range(0, {m}), lambda j: 1/(1 + exp(((j*3 + {layer}) % 11 - 5)/10.0::double - {sums}))) as f from {source}"
+
+
+MLP_SQL = f"{NN_SQL}, l1 as ({_layer('nnin', 1, 48, 8)}), l2 as ({_layer('l1', 2, 8, 8)}), out as ({_layer('l2', 3, 8, 10)})"
+RANK_SQL = f"""{MLP_SQL}, each as (select vec_id, unnest(f) as prob, unnest(range(0, 10)) as lab from out),
+rk as (select vec_id, lab as label, prob, row_number() over (partition by vec_id order by prob desc, lab) as rank from each where prob > 0.01)"""
+
+
+def _outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.network_inputs(spark, sf_dir).select("vec_id", "label", network.forward(F.col("f"), network.synthetic()).alias("outputs"))
+
+
+@query("mlp_forward", f"with {MLP_SQL} select vec_id, unnest(range(0, 10)) as node, round(unnest(f), 6) as output from out")
+def mlp_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _outputs(spark, sf_dir).select("vec_id", F.posexplode("outputs").alias("node", "output"))
+    return out.select("vec_id", F.col("node").cast("long").alias("node"), F.round("output", 6).alias("output"))
+
+
+@query("top4_labels", f"with {RANK_SQL} select vec_id, rank, label, round(prob, 6) as prob from rk where rank <= 4")
+def top4_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return network.ranked(_outputs(spark, sf_dir), "vec_id").select("vec_id", F.col("rank").cast("long").alias("rank"), F.col("label").cast("long").alias("label"), F.round("prob", 6).alias("prob"))
+
+
+@query("could_be_connected", f"with {RANK_SQL} select vec_id, max(prob) < 0.2 or bool_or(label = 9) as connected from rk where rank <= 4 group by vec_id")
+def could_be_connected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return network.could_be_connected(network.ranked(_outputs(spark, sf_dir), "vec_id"), "vec_id", 9)
+
+
+@query("success_pct", f"with {MLP_SQL}, s as (select list_bool_and(list_transform(range(0, 10), lambda i: abs(f[i + 1] - (i = label)::int) <= 0.6)) as good from out) select count(*) as total, count(*) filter (good) as good, (100*count(*) filter (good)) // count(*) as percent from s")
+def success_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return network.success(_outputs(spark, sf_dir), tolerance=0.6)
+
+
+@query("input_max", f"with {NN_SQL}, e as (select unnest(f) as v, unnest(range(0, 48)) as feature from nnin) select feature, greatest(1.0::double, max(v)) as most from e group by feature")
+def input_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return network.input_max(fx.network_inputs(spark, sf_dir)).select(F.col("feature").cast("long").alias("feature"), "most")
+
+
+BEST_SQL = f"{MLP_SQL}, b as (select vec_id, label, (list_position(f, list_max(f)) - 1)::int as predicted from out)"
+
+
+@query("misclassified", f"with {BEST_SQL} select vec_id, label, predicted from b where label <> predicted")
+def misclassified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return network.misclassified(_outputs(spark, sf_dir), "vec_id")
+
+
+@query("confusion_matrix", f"with {BEST_SQL} select label, predicted, count(*) as n from b group by all")
+def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return network.confusion_matrix(_outputs(spark, sf_dir))
+
+
+@query("sample_per_label", "select vec_id, label from (select vec_id, label, row_number() over (partition by label order by (vec_id*7919) % 10007, vec_id) as rn from embeddings) where rn <= 5")
+def sample_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return network.sample_per_label(fx.table(spark, sf_dir, "embeddings"), "vec_id", "label", 5)
+
+
+@query("one_hot_targets", "select vec_id, unnest(range(0, 10)) as node, (unnest(range(0, 10)) = label)::int as target from embeddings")
+def one_hot_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hot = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: (i == F.col("label")).cast("int"))
+    return fx.table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(hot).alias("node", "target")).select("vec_id", F.col("node").cast("long").alias("node"), "target")
