@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 # What recognition confuses, as (read, meant).
 CONFUSIONS = [
@@ -100,7 +101,7 @@ def osa_distance(a: str, b: str) -> int:
     return row[-1]
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def osa(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else osa_distance(x, y) for x, y in zip(a, b, strict=True)])
 

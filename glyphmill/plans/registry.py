@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions.geometry import box_angle, box_gap, centre_x, centre_y, contains_point
-from glyphmill.operators import components, layout, lexicon, network, raster
+from glyphmill.operators import components, layout, lexicon, network, pages, raster
 from glyphmill.plans import fixtures as fx
 from glyphmill.plans.fixtures import BX_SQL, CHARS_SQL, LEX_SQL, NN_SQL, PX_SQL, QW_SQL
 
@@ -479,3 +479,70 @@ def sample_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 def one_hot_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     hot = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: (i == F.col("label")).cast("int"))
     return fx.table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(hot).alias("node", "target")).select("vec_id", F.col("node").cast("long").alias("node"), "target")
+
+
+# --- kernels: no SQL; tests hold them against small cases worked out by hand ------------------------------------
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components.connected_components(fx.pixels(spark, sf_dir).where(F.col("gray") <= DARK))
+
+
+def _thinning(kind: str) -> None:
+    @query(f"thin_{kind}")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return pages.thinned(_labelled(spark, sf_dir), kind)
+
+
+for _kind in ("condensed", "standard", "eroding", "midpoints", "staircases"):
+    _thinning(_kind)
+
+
+@query("strokes")
+def strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.stroke_counts(_labelled(spark, sf_dir))
+
+
+@query("features48")
+def features48(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.features(_labelled(spark, sf_dir))
+
+
+@query("split_cuts")
+def split_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.split_cuts(_labelled(spark, sf_dir))
+
+
+@query("line_growth")
+def line_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.lines(fx.boxes(spark, sf_dir), 2000, 2800, cleaned=False)
+
+
+@query("line_cleanup")
+def line_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.lines(fx.boxes(spark, sf_dir), 2000, 2800)
+
+
+@query("trie_suggest")
+def trie_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = [r["w"] for r in fx.lexicon(spark, sf_dir).select("w").collect()]
+    return lexicon.trie_suggestions(fx.lexicon(spark, sf_dir).select(F.concat("w", F.lit("x")).alias("w")), words)
+
+
+@query("osa_distance")
+def osa_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = fx.lexicon(spark, sf_dir).select("w", F.reverse("w").alias("other"))
+    return w.select("w", "other", lexicon.osa("w", "other").alias("distance"))
+
+
+@query("train_eval")
+def train_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Success of a network trained on up to 20 examples of each label, over all rows."""
+    import numpy as np
+
+    nn = fx.network_inputs(spark, sf_dir)
+    chosen = network.sample_per_label(nn, "vec_id", "label", 20)
+    rows = chosen.join(nn.select("vec_id", "f"), "vec_id").orderBy("vec_id").collect()  # 20 of each label at most
+    x, y = np.array([r["f"] for r in rows]), np.array([r["label"] for r in rows])
+    layers = network.train(x, np.eye(10)[y], repetitions=10)
+    return network.success(nn.select("label", network.forward_udf(layers)("f").alias("outputs")))
