@@ -5,7 +5,8 @@ named users; the mask has the character spans that the speaker says, the ones to
 in pieces of PIECE turn numbers, so that none is ever gathered in one task; the pieces of a perspective in ascending
 order make up the whole dialogue.
 
-Defined results: turns are ordered by (turn, role, text); a null turn counts as -1, a null role is the speaker
+Defined results: turns are ordered by (turn, role, text); a null turn counts as -1 (in a piece before the
+others), a null role is the speaker
 ``unknown``, a null text is empty and a null conv_id is a conversation of its own. A row that repeats another in all
 four columns is one message delivered again: it is rendered once and n_rows counts it. Narrators (role ``system``) are
 rendered under their role and have no perspective of their own, unless nobody else speaks. Turn numbers that more than

@@ -427,9 +427,12 @@ def train(pages: list[str], made: int = 500, seed: int = 17) -> Labeller | None:
 
 
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE) -> Labeller:
-    """Train on ``sample`` pages at most, whatever the size of the table."""
-    chosen = pages.select(F.col(id_col).alias("id"), text_or_empty(html_col).alias("html")).orderBy(F.xxhash64("id"), "id", F.xxhash64("html")).limit(sample)
-    return train([r["html"] for r in chosen.collect()])
+    """Train on ``sample`` pages at most, whatever the size of the table. Ids are chosen first, then their pages read."""
+    ids = pages.select(F.col(id_col).alias("id")).where(F.col(id_col).isNotNull()).distinct()
+    chosen = ids.orderBy(F.xxhash64("id"), "id").limit(sample)
+    rows = pages.select(F.col(id_col).alias("id"), text_or_empty(html_col).alias("html")).join(F.broadcast(chosen), "id")
+    got = rows.groupBy("id").agg(F.max("html").alias("html")).collect()  # of one id, one page
+    return train([r["html"] for r in sorted(got, key=lambda r: r["id"])])
 
 
 def extract(pages: DataFrame, model: Labeller, keep: list[str], html_col: str = "html") -> DataFrame:

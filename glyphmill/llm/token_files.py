@@ -48,34 +48,35 @@ class _Lanes:
     """The model of all blocks of a file; each step sees one id of each block. Row 0 is order 1, row 1 is order 2."""
 
     def __init__(self, n: int):
-        lanes = np.arange(n, dtype=np.int32)
+        lanes = np.arange(n, dtype=np.int64)
         self.base = np.stack([lanes * SLOTS, (n + lanes) * SLOTS])
         self.table = np.zeros(2 * n * SLOTS, dtype=np.int32)  # id << 2 | confidence; confidence 0: nothing yet
         self.trust = np.tile(np.array(_FIRST, dtype=np.int32), 2 * n)
-        self.lane4 = np.arange(2 * n, dtype=np.int32).reshape(2, n) * 4
-
-    def predict(self, at: np.ndarray) -> None:
-        """Shares of the predictions in the slots ``at`` (2 x lanes)."""
-        m = at.shape[1]
-        self.at = at
-        entry = self.table[at]
+        self.lane4 = np.arange(2 * n, dtype=np.int64).reshape(2, n) * 4
+
+    def predict(self, one: np.ndarray, two: np.ndarray) -> None:
+        """Shares of the predictions in these slots of the first lanes' tables."""
+        m = len(one)
+        self.at = at = self.base[:, :m].copy()
+        at[0] += one
+        at[1] += two
+        entry = self.table.take(at)
         self.trusted = c = entry & 3
         self.ids = entry >> 2
         self.key = self.lane4[:, :m] + c
-        self.p = p = self.trust[self.key]
+        self.p = p = self.trust.take(self.key)
+        self.some = c > 0
         self.share2 = p[1]
-        self.share1 = ((4096 - p[1]) * p[0]) >> SHARES
-        self.share1[(self.ids[0] == self.ids[1]) & (c[1] > 0)] = 0
+        self.share1 = (((4096 - p[1]) * p[0]) >> SHARES) * ((self.ids[0] != self.ids[1]) | ~self.some[1])
         self.taken = self.share1 + self.share2
         self.share0 = 4096 - self.taken
 
     def update(self, now: np.ndarray, hit: np.ndarray) -> None:
         """``hit``: whether each prediction is ``now``; an empty slot predicts nothing and keeps its share of nothing."""
         c, p = self.trusted, self.p
-        some = c > 0
-        held = hit & some
-        self.trust[self.key] = np.maximum(p + ((held * np.int32(_MOST) - p) >> 4), _LEAST) * some
-        self.table[self.at] = (now << 2) | np.where(held, np.minimum(c + 1, 3), 1)
+        held = hit & self.some
+        self.trust[self.key] = np.maximum(p + ((held * np.int32(_MOST) - p) >> 4), _LEAST) * self.some
+        self.table[self.at] = (now << 2) + (1 + held * np.minimum(c, 2))
 
 
 def _slots(last: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,6 +124,7 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.n
         symbols = lookup[steps]
     else:
         symbols = np.minimum(np.searchsorted(values, steps), len(values) - 1).astype(np.int32)
+    starts, widths = start0.take(symbols), freq.take(symbols)
     lanes = _Lanes(n)
     low, rng = np.zeros(n, dtype=np.uint64), np.full(n, (1 << 64) - 1, dtype=np.uint64)
     words = np.zeros((n, 2 * block + 8), dtype=np.uint16)
@@ -134,17 +136,14 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.n
             break
         now = steps[t, :m]
         one, two = _slots(steps[t - 1, :m] if t else none[:m], steps[t - 2, :m] if t > 1 else none[:m])
-        lanes.predict(lanes.base[:, :m] + np.stack([one, two]))
+        lanes.predict(one, two)
         hit = lanes.ids == now
-        hit2 = hit[1] & (lanes.trusted[1] > 0)
+        hit2 = hit[1] & lanes.some[1]
         hit1 = hit[0] & (lanes.share1 > 0) & ~hit2
-        s = symbols[t, :m]
-        start = (lanes.taken << TOTAL0) + lanes.share0 * start0[s]
-        width = lanes.share0 * freq[s]
-        np.copyto(start, lanes.share2 << TOTAL0, where=hit1)
-        np.copyto(width, lanes.share1 << TOTAL0, where=hit1)
-        np.copyto(start, 0, where=hit2)
-        np.copyto(width, lanes.share2 << TOTAL0, where=hit2)
+        miss = ~(hit1 | hit2)
+        bound2 = lanes.share2 << TOTAL0
+        start = ((lanes.taken << TOTAL0) + lanes.share0 * starts[t, :m]) * miss + bound2 * hit1
+        width = lanes.share0 * widths[t, :m] * miss + (lanes.share1 << TOTAL0) * hit1 + bound2 * hit2
         unit = rng[:m] >> _U(TOTAL0 + SHARES)
         lo = low[:m] + unit * start.view(np.uint32)
         rg = unit * width.view(np.uint32)
@@ -175,7 +174,7 @@ def decode_blocks(values: np.ndarray, freq: np.ndarray, payloads: list[np.ndarra
     sizes = np.asarray(sizes)[order]
     n, longest = len(order), int(sizes[0])
     start0 = np.concatenate([[0], np.cumsum(freq)[:-1]]).astype(np.int32)
-    inverse = np.repeat(np.arange(len(values), dtype=np.int32), freq)
+    inverse = np.repeat(np.arange(len(values), dtype=np.int64), freq)
     values, freq = values.astype(np.int32), freq.astype(np.int32)
     lengths = np.array([len(payloads[i]) for i in order])
     words = np.zeros((n, lengths.max() + 8), dtype=np.uint16)
@@ -192,23 +191,18 @@ def decode_blocks(values: np.ndarray, freq: np.ndarray, payloads: list[np.ndarra
     for t in range(longest):
         m = live[t]
         one, two = _slots(ids[t + 1, :m], ids[t, :m])
-        lanes.predict(lanes.base[:, :m] + np.stack([one, two]))
+        lanes.predict(one, two)
         unit = rng[:m] >> _U(TOTAL0 + SHARES)
         lo, cd = low[:m], code[:m]
         value = ((cd - lo) // unit).astype(np.int32)
         taken, bound2 = lanes.taken << TOTAL0, lanes.share2 << TOTAL0
         in2 = value < bound2
-        in1 = (value < taken) & ~in2
-        s = inverse[np.minimum((np.maximum(value - taken, 0) / lanes.share0).astype(np.int32), len(inverse) - 1)]
-        now = values[s]
-        start = taken + lanes.share0 * start0[s]
-        width = lanes.share0 * freq[s]
-        np.copyto(now, lanes.ids[0], where=in1)
-        np.copyto(start, bound2, where=in1)
-        np.copyto(width, taken - bound2, where=in1)
-        np.copyto(now, lanes.ids[1], where=in2)
-        np.copyto(start, 0, where=in2)
-        np.copyto(width, bound2, where=in2)
+        in0 = value >= taken
+        in1 = ~(in0 | in2)
+        s = inverse.take(((value - taken) * in0 / lanes.share0).astype(np.int64), mode="clip")
+        now = values.take(s) * in0 + lanes.ids[0] * in1 + lanes.ids[1] * in2
+        start = (taken + lanes.share0 * start0.take(s)) * in0 + bound2 * in1
+        width = lanes.share0 * freq.take(s) * in0 + (taken - bound2) * in1 + bound2 * in2
         lo = lo + unit * start.view(np.uint32)
         rg = unit * width.view(np.uint32)
         out, rg = _settle(lo, rg)

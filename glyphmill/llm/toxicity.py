@@ -121,16 +121,17 @@ class Model:
 
         def run() -> None:
             ids = np.zeros(sum(len(p) + gap for _, p in spans) + gap, dtype=np.int64)
-            starts, at = [], 0
+            edges, at = [], 0  # from a text's first word to behind its last: windows do not reach the next text's words
             for _, p in spans:
-                starts.append(at)
+                edges += [at, at + len(p)]
                 ids[at : at + len(p)] = p
                 at += len(p) + gap
-            most = np.maximum.reduceat(self.answers(vectors[ids])[:at], starts, axis=0)
+            most = np.maximum.reduceat(self.answers(vectors[ids])[:at], edges, axis=0)[::2]
             np.maximum.at(out, np.array([d for d, _ in spans]), most)
             spans.clear()
 
         for doc, own in enumerate(numbers):
+            own = own if len(own) else np.zeros(1, dtype=np.int32)  # a text without words is one padding
             for at in range(0, max(1, len(own)), SPAN):
                 # a span's last windows reach into the next one's words
                 spans.append((doc, own[at : at + SPAN + gap] if at + SPAN < len(own) else own[at:]))
@@ -155,7 +156,7 @@ def fit(texts: list[str], labels: list[int], epochs: int | None = None, seed: in
     for t in texts:
         words = WORDS.findall(t.lower())
         languages.append(language(words))
-        docs.append(vocabulary.numbers(words))
+        docs.append(vocabulary.numbers(words or [PAD]))
     rows = np.array(vocabulary.rows)
     order = rng.permutation(len(docs))
     held, train = order[::5], np.setdiff1d(order, order[::5])
@@ -192,8 +193,7 @@ def fit(texts: list[str], labels: list[int], epochs: int | None = None, seed: in
                 ids[at : at + n] = back[ends : ends + n]
                 at, ends = at + n + gap, ends + n
             answers = m.answers(vectors[ids[: at + gap]])
-            stops = [*starts[1:], at]
-            where = np.array([s + answers[s:e].argmax(0) for s, e in zip(starts, stops, strict=True)])
+            where = np.array([s + answers[s : s + len(docs[d])].argmax(0) for s, d in zip(starts, batch, strict=True)])
             most = np.take_along_axis(answers, where, 0) + m.bias
             pooled = np.maximum(most, 0).astype(np.float64)
             p = 1 / (1 + np.exp(-np.clip(pooled @ m.weights + m.offset, -30, 30)))
