@@ -3,8 +3,8 @@
 A group is the documents of one text. Groups are dealt to cells by their hash; a group of more than one in SPLIT of all
 rows, bytes or tokens is split, so no group fills a shard or a task. Each cell packs its groups into as many
 bundles as there are shards, the largest first, each into the bundle where the dot product of its size and the residual
-capacity is highest. The bundles of all cells, a few numbers each, are then placed in the shards in the same way; which
-evens out what the cells left uneven. ``slot`` counts a shard's documents from 0 without gaps.
+capacity is highest. The bundles of all cells, a few numbers each, are then placed in the shards in the same way and swapped
+between shards while that evens out bytes, tokens and rows. ``slot`` counts a shard's documents from 0 without gaps.
 
 Defined results: a null text has no bytes and counts as an empty one. A null id sorts first. Rows that share id and text
 are kept apart. An empty table gives an empty table; other columns are not read. The result does not depend on how
@@ -41,6 +41,38 @@ def place(sizes: np.ndarray, bins: int) -> np.ndarray:
     return out
 
 
+def even_out(sizes: np.ndarray, where: np.ndarray, bins: int, weight: tuple[float, ...] = (4.0, 1.0, 1.0), look: int = 256) -> np.ndarray:
+    """Swap items between the most uneven bin and another while that brings both nearer to their equal share.
+
+    Bytes weigh most. Of each bin ``look`` items are tried, so a swap's cost is bounded.
+    """
+    z = sizes / np.maximum(sizes.sum(0) / bins, 1e-12) * np.sqrt(weight)
+    where = where.copy()
+    load = np.array([z[where == k].sum(0) for k in range(bins)])
+    mean = load.mean(0)
+    for _ in range(64 * bins):
+        off = load - mean
+        cost = (off**2).sum(1)
+        worst, best = int(np.argmax(cost)), None
+        mine = np.flatnonzero(where == worst)[:look]
+        for other in range(bins):
+            theirs = np.flatnonzero(where == other)[:look]
+            if other == worst or not len(theirs) or not len(mine):
+                continue
+            moved = z[mine][:, None] - z[theirs][None]
+            gain = ((off[worst] - moved) ** 2).sum(2) + ((off[other] + moved) ** 2).sum(2) - cost[worst] - cost[other]
+            k = int(np.argmin(gain))
+            if gain.flat[k] < -1e-12 and (best is None or gain.flat[k] < best[0]):
+                best = (gain.flat[k], other, mine[k // len(theirs)], theirs[k % len(theirs)])
+        if best is None:
+            break
+        _, other, a, b = best
+        load[worst] -= z[a] - z[b]
+        load[other] += z[a] - z[b]
+        where[a], where[b] = other, worst
+    return where
+
+
 def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, size, text_crc32, shard, slot for each row; size is the text's bytes and 1 for its end."""
     spark = docs.sparkSession
@@ -83,7 +115,7 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     sizes = bundles[["b", "t", "n"]].to_numpy(dtype=float)
     order = np.lexsort((bundles["bundle"], bundles["cell"], -(sizes / sizes.sum(0)).max(1)))
     bundles["shard"] = 0
-    bundles.loc[bundles.index[order], "shard"] = place(sizes[order], shards)
+    bundles.loc[bundles.index[order], "shard"] = even_out(sizes[order], place(sizes[order], shards), shards)
     bundles = bundles.sort_values(["shard", "cell", "bundle"], ignore_index=True)
     bundles["first"] = bundles.groupby("shard")["n"].cumsum() - bundles["n"]
     where = spark.createDataFrame(bundles[["cell", "bundle", "shard", "first"]], "cell int, bundle int, shard int, first long")
