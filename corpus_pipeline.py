@@ -12,9 +12,10 @@ from glyphmill.llm import exact_dedup, packing, simhash, toxicity
 from glyphmill.llm.common import materialize, tokenizer_path
 from glyphmill.llm.queries import table
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Share of a text's score that rejects a document.
+#: Score from which a document is rejected.
 REJECT = 0.5
+#: Further fingerprints of a document by which near copies are linked.
+FINGERPRINTS = 15
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +30,11 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked fingerprints, the document with the smallest id."""
-    return simhash.keep_rows(docs)
+    """Of each component of linked fingerprints, the document with the smallest id.
+
+    One fingerprint links under half of the copies that differ in a word; FINGERPRINTS of other hashes find more.
+    """
+    return simhash.keep_rows(docs, further=FINGERPRINTS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

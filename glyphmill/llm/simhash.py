@@ -8,6 +8,9 @@ tree in the same way down to small blocks, where all pairs are compared. Fingerp
 dense group) stay in one block, compared in tiles; a shard says of each linked node which root it has there, so no
 group's pairs are ever emitted.
 
+Several fingerprints of a document, of other hashes of its shingles, may be linked at once: copies whose first
+fingerprints differ in a bit too many meet in another.
+
 Defined results: words are the runs of characters other than the six ASCII white spaces, after A-Z are lower-cased.
 A text of fewer words than the shingle has is one shingle; a text without words, or null, has fingerprint zero, which is
 linked like any other. Rows that share an id are all given. An empty table gives an empty table.
@@ -38,10 +41,11 @@ _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _BYTE = (np.arange(8) * 256).astype(np.int32)
 
 
-def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
+def shingle_hashes(text: str, shingle: int = 3, seed: int = 42) -> np.ndarray:
+    """XXH64 of all shingles, repeats included; none for a text without words."""
     words = text.encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     joined = b" ".join(words)
     if len(words) <= shingle:
         hashes = [xxhash.xxh64_intdigest(joined, seed)]
@@ -50,24 +54,48 @@ def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
         starts = [0, *ends[: len(words) - shingle]]
         h = xxhash.xxh64_intdigest
         hashes = [h(joined[s : e - 1], seed) for s, e in zip(starts, ends[shingle - 1 :], strict=True)]
-    cells = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8) + _BYTE
+    return np.array(hashes, dtype="<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; zero for none."""
+    if not len(hashes):
+        return 0
+    cells = hashes.view(np.uint8).reshape(-1, 8) + _BYTE
     counts = np.bincount(cells.ravel(), minlength=2048).reshape(8, 256) @ _BITS
     set_bits = np.packbits((2 * counts > len(hashes)).ravel(), bitorder="little")
     return int(set_bits.view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
-    """id, fp (long with the fingerprint's bits); no shuffle."""
+def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
+    return majority(shingle_hashes(text, shingle, seed))
+
+
+def remix(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Other hashes of the same shingles: those of the ``k``-th further fingerprint."""
+    z = hashes + np.uint64((0x9E3779B97F4A7C15 * k) % (1 << 64))
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, further: int = 0) -> DataFrame:
+    """id, fp (long with the fingerprint's bits), more (those of ``further`` other hash functions); no shuffle."""
     kind = docs.select(id_col).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 rows = batch.slice(at, 1000)
-                fps = np.array([fingerprint(t, shingle, seed) for t in rows.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(fps)], names=["id", "fp"])
+                fps, more = [], []
+                for t in rows.column(1).to_pylist():
+                    h = shingle_hashes(t, shingle, seed)
+                    fps.append(majority(h))
+                    more += [majority(remix(h, k)) for k in range(1, further + 1)]
+                lists = pa.ListArray.from_arrays(pa.array([k * further for k in range(len(fps) + 1)], pa.int32()), pa.array(np.array(more, dtype=np.uint64).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), lists], names=["id", "fp", "more"])
 
-    return docs.select(F.col(id_col), text_or_empty(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long")
+    return docs.select(F.col(id_col), text_or_empty(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long, more array<long>")
 
 
 def best_split(points: np.ndarray, rng: np.random.Generator, radius: int) -> tuple[np.uint64, int] | None:
@@ -155,23 +183,38 @@ def links(points: np.ndarray, radius: int, block: int = BLOCK) -> tuple[np.ndarr
     return np.concatenate(left or [np.zeros(0, int)]), np.concatenate(right or [np.zeros(0, int)])
 
 
-def components_of(fps: DataFrame, radius: int = 2, shard: int = SHARD) -> DataFrame:
-    """id, fp, comp (the smallest id reachable by links of at most ``radius`` bits) for ``fps`` (id, fp), a table."""
+def components_of(fps: DataFrame, radius: int = 2, shard: int = SHARD, further: int = 0) -> DataFrame:
+    """id, fp, comp (the smallest id reachable by links of at most ``radius`` bits) for ``fps`` (id, fp, more), a table.
+
+    With ``further`` fingerprints, rows are linked if any of theirs are; each has trees and shards of its own.
+    """
     spark = fps.sparkSession
-    nodes = materialize(fps.groupBy("fp").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n")), "simhash-nodes")
+    least = F.min_by("more", "id") if further else F.lit(None).cast("array<long>")
+    nodes = materialize(fps.groupBy("fp").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n"), least.alias("more")), "simhash-nodes")
     n_nodes, n_rows = nodes.agg(F.count(F.lit(1)), F.sum("n")).first()
     if not n_nodes:
-        return fps.withColumn("comp", F.col("id"))
+        return fps.select("id", "fp", F.col("id").alias("comp"))
+    points = nodes.select(F.lit(0).alias("kind"), "node", "fp")
+    same = None
+    if further:
+        each = nodes.select("node", F.posexplode("more").alias("kind", "fp")).select((F.col("kind") + 1).alias("kind"), "node", "fp")
+        groups = materialize(each.groupBy("kind", "fp").agg(F.min("node").alias("root"), F.count(F.lit(1)).alias("n")), "simhash-groups")
+        same = hot_key_join(each, groups.where("n > 1"), ["kind", "fp"], "n", n_nodes).where("root is not null").select("node", "root")
+        points = points.unionByName(groups.select("kind", F.col("root").alias("node"), "fp"))
     n_shards = max(1, -(-n_nodes // shard), parallelism(spark))
     # bounded: the SAMPLE fingerprints of the smallest hashes, whatever the number of documents
-    sample = np.array([r[0] for r in nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], dtype=np.int64).view(np.uint64)
-    tree = grow(sample, min(n_shards, max(1, len(sample) // 16)), radius)
+    chosen = nodes.select("fp", "more").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()
+    trees = []
+    for k in range(further + 1):
+        sample = np.unique(np.array([r["more"][k - 1] if k else r["fp"] for r in chosen], dtype=np.int64)).view(np.uint64)
+        trees.append(grow(np.random.default_rng(k).permutation(sample), min(n_shards, max(1, len(sample) // 16)), radius))
 
     def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            points = batch["fp"].to_numpy().view(np.uint64)
-            for leaf, rows in route(tree, points, radius):
-                yield pd.DataFrame({"leaf": leaf, "node": batch["node"].to_numpy()[rows], "fp": batch["fp"].to_numpy()[rows]})
+            for kind, part in batch.groupby("kind"):
+                fp, node = part["fp"].to_numpy(), part["node"].to_numpy()
+                for leaf, rows in route(trees[kind], fp.view(np.uint64), radius):
+                    yield pd.DataFrame({"kind": np.int32(kind), "leaf": np.int32(leaf), "node": node[rows], "fp": fp[rows]})
 
     def linked(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("node", ignore_index=True)
@@ -181,12 +224,13 @@ def components_of(fps: DataFrame, radius: int = 2, shard: int = SHARD) -> DataFr
         ids = group["node"].to_numpy()
         return pd.DataFrame({"node": ids[touched], "root": ids[root[touched]]})
 
-    shards = nodes.select("node", "fp").mapInPandas(dealt, "leaf int, node long, fp long")
-    found = shards.repartition(n_shards, "leaf").groupBy("leaf").applyInPandas(linked, "node long, root long")
+    shards = points.mapInPandas(dealt, "kind int, leaf int, node long, fp long")
+    found = shards.repartition(n_shards, "kind", "leaf").groupBy("kind", "leaf").applyInPandas(linked, "node long, root long")
+    found = found.unionByName(same) if same is not None else found
     comps = join_roots(materialize(found, "simhash-roots"))
     named = nodes.join(comps, "node", "left").select("fp", "n", F.coalesce("comp", "node").alias("comp"))
     named = materialize(named, "simhash-components")
-    return hot_key_join(fps, named, ["fp"], "n", n_rows).select("id", "fp", "comp")
+    return hot_key_join(fps.select("id", "fp"), named, ["fp"], "n", n_rows).select("id", "fp", "comp")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
@@ -198,15 +242,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(null("id").alias(id_col), "fp", null("comp").alias("comp"))
 
 
-def keep_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
+def keep_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, further: int = 0) -> DataFrame:
     """One row of each component of ``docs``, that of the smallest id (of rows with that id, the first); all columns.
 
     Rows are numbered in a table first and linked by number, so rows that share an id are told apart.
     """
     names = docs.columns
     numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "simhash-input")
-    fps = materialize(fingerprints(numbered, "__row", text_col, shingle), "simhash-fingerprints")
-    comps = materialize(components_of(fps, radius).select(F.col("id").alias("__row"), "comp"), "simhash-rows")
+    fps = materialize(fingerprints(numbered, "__row", text_col, shingle, further=further), "simhash-fingerprints")
+    comps = materialize(components_of(fps, radius, further=further).select(F.col("id").alias("__row"), "comp"), "simhash-rows")
     # components of one row stay whatever its id is
     shared = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("comp")
     grouped = materialize(comps.join(shared, "comp"), "simhash-grouped")

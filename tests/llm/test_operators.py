@@ -387,12 +387,31 @@ def test_vantage_point_shards_lose_no_link(spark):
     near = base[:800] ^ (np.uint64(1) << rng.integers(0, 63, 800).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 63, 800).astype(np.uint64))
     dense = base[5] ^ (np.uint64(1) << np.arange(60, dtype=np.uint64))
     points = np.unique(np.concatenate([base, near, dense]))
-    df = spark.createDataFrame([(k, int(p)) for k, p in enumerate(points.view(np.int64))], "id long, fp long")
+    df = spark.createDataFrame([(k, int(p), []) for k, p in enumerate(points.view(np.int64))], "id long, fp long, more array<long>")
     got = {r.id: r.comp for r in simhash.components_of(df, 2, shard=200).collect()}
     linked = [(a, a + 1 + b) for a in range(len(points)) for b in np.flatnonzero(np.bitwise_count(points[a + 1 :] ^ points[a]) <= 2).tolist()]
     assert got == brute_components(range(len(points)), linked)
 
 
+def test_further_fingerprints(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(120):
+        words = text(rng, 250).split()
+        rows.append((k, " ".join(f"{w}{rng.randrange(40)}" for w in words)))
+    for k in range(60):
+        words = rows[k][1].split()
+        words[rng.randrange(250)] = "changed"
+        rows.append((1000 + k, " ".join(words)))
+    docs = documents(spark, rows)
+    one, more = (simhash.keep_rows(docs, further=f).count() for f in (0, 7))
+    assert 120 <= more <= 130 and more <= one
+    keys = [i for i, _ in rows]
+    own = {i: [simhash.majority(h), *(simhash.majority(simhash.remix(h, k)) for k in range(1, 8))] for i, h in ((i, simhash.shingle_hashes(t)) for i, t in rows)}
+    linked = [(a, b) for n, a in enumerate(keys) for b in keys[n + 1 :] if any((x ^ y).bit_count() <= 2 for x, y in zip(own[a], own[b], strict=True))]
+    assert more == len(set(brute_components(keys, linked).values()))
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(40)] + [(100, 7), (200, 201), (201, 200), (300, 300)]
     got = {r.node: r.comp for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
