@@ -5,33 +5,29 @@ from __future__ import annotations
 from collections.abc import Callable
 
 
-class Remembered:
-    """Word -> bytes for the words met last: two generations, of which the older one goes when the younger is full."""
+class Remembered(dict):
+    """Word -> bytes for the words met last: two generations, of which the older one goes when the younger is full.
 
-    def __init__(self, compute: Callable[[list], list[bytes]], size: int = 300_000, longest: int = 48):
+    A word that is not known is computed where it is looked up, so ``map(words.__getitem__, ...)`` is all that a text takes.
+    """
+
+    def __init__(self, compute: Callable[[str], bytes], size: int = 300_000, longest: int = 48):
+        super().__init__()
         self.compute, self.size, self.longest = compute, size, longest
-        self.young: dict = {}
         self.old: dict = {}
 
-    def join(self, words: list) -> bytes:
+    def __missing__(self, word: str) -> bytes:
+        got = self.old.get(word)
+        if got is None:
+            got = self.compute(word)
+            if len(word) > self.longest:
+                return got
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[word] = got
+        return got
+
+    def join(self, words: list[str]) -> bytes:
         """The words' bytes, joined in their order."""
-        got = list(map(self.young.get, words))
-        if None in got:
-            self._learn({w for w, g in zip(words, got, strict=True) if g is None})
-            young, long = self.young, self.long
-            got = [young[w] if w in young else long[w] for w in words]
-            if len(young) >= self.size:
-                self.old, self.young = young, {}
-            self.long = {}
-        return b"".join(got)
-
-    def _learn(self, missing: set) -> None:
-        old, young, self.long = self.old, self.young, {}
-        fresh = []
-        for w in missing:
-            if (g := old.get(w)) is not None:
-                young[w] = g
-            else:
-                fresh.append(w)
-        for w, g in zip(fresh, self.compute(fresh), strict=True) if fresh else ():
-            (young if len(w) <= self.longest else self.long)[w] = g
+        return b"".join(map(self.__getitem__, words))

@@ -103,7 +103,7 @@ class MergeModel:
             if self.made[i]:
                 self.automaton.add_word(p, (len(p), i))
         self.automaton.make_automaton()
-        self.known = Remembered(lambda words: [np.array(self.encode_word(w), dtype="<u4").tobytes() for w in words])
+        self.known = Remembered(lambda word: np.array(self.encode_word(word), dtype="<u4").tobytes())
         self.out = [b"" if lib.is_control(i) else bytes([int(self.pieces[i][1:-1], 16)]) if lib.is_byte(i) else b" \xe2\x81\x87 " if i == self.unk else self.pieces[i].replace(SPACE, " ").encode() for i in range(n)]
 
     def _merge(self, text: str, trace: list | None = None) -> list:

@@ -40,18 +40,14 @@ class WordTokens:
         self.model = self.lib.model
         self.known = Remembered(self._merge, 500_000)
 
-    def _merge(self, words: list[str]) -> list[bytes]:
-        """Words that the pattern has cut out, by the vocabulary's merges alone."""
-        names, tokenize = self.names, self.model.tokenize
-        return [array("I", [t.id for t in tokenize(w.encode().decode("latin-1").translate(names))]).tobytes() for w in words]
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.lib.encode_batch_fast(words, add_special_tokens=False)]
+    def _merge(self, word: str) -> bytes:
+        """A word that the pattern has cut out, by the vocabulary's merges alone."""
+        return array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.names))]).tobytes()
 
     def encode_bytes(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if NOT_PLAIN.search(text) or ("<|" in text and any(s in text for s in self.special)):
-            return self._encode([text])[0]
+            return np.array(self.lib.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         # Lower case of these characters is made one by one, as the library does; composed forms stay as they are.
         return self.known.join(self.words.findall(text.lower() if self.lower else text))
 
