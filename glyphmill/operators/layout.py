@@ -146,3 +146,35 @@ def page_text(lines: DataFrame, page: str, line: str, content: str) -> DataFrame
     """Page and its text: each line's number, a space, its content and the line end."""
     said = F.concat(F.col(line).cast("string"), F.lit(" "), F.coalesce(F.col(content), F.lit("")), F.lit("\n\r"))
     return lines.groupBy(page).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(line).alias("k"), said.alias("s")))), lambda x: x["s"]), "").alias("page_text"))
+
+
+def line_text(words: DataFrame) -> DataFrame:
+    """conv_id, turn, content: a line's words with single spaces."""
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("word_no", "word"))), lambda x: x["word"])
+    return words.groupBy("conv_id", "turn").agg(F.array_join(ordered, " ").alias("content"))
+
+
+def trimmed(members: DataFrame) -> DataFrame:
+    """Members without the tenth with the highest and the tenth with the lowest centres, while over ten are left."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(*LINE))
+    y = centre_y(F.col("y0"), F.col("h"))
+    place = F.row_number().over(Window.partitionBy(*LINE).orderBy(y, "comp_id"))
+    m = members.withColumn("__n", n).withColumn("__k", place)
+    cut = F.greatest(F.lit(0), F.least(F.floor(F.col("__n") / 10), F.ceil((F.col("__n") - 10) / 2)))
+    return m.where((F.col("__k") > cut) & (F.col("__k") <= F.col("__n") - cut)).drop("__n", "__k")
+
+
+def not_on_lines(boxes: DataFrame, members: DataFrame) -> DataFrame:
+    return boxes.join(members.select("page_id", "comp_id"), ["page_id", "comp_id"], "left_anti")
+
+
+#: What labels that are no glyphs are shown as.
+PLACEHOLDERS = {"connected": "??", "garbage": "?"}
+
+
+def content(kind: Column, label: Column) -> Column:
+    """What a component says: a space, its label or the label's placeholder; nothing for other kinds."""
+    said = label
+    for name, shown in PLACEHOLDERS.items():
+        said = F.when(label == name, shown).otherwise(said)
+    return F.when(kind == "space", " ").when(kind.isin("character", "split"), F.coalesce(said, F.lit(""))).otherwise("")

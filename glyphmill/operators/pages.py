@@ -140,35 +140,56 @@ def grow(boxes: list[tuple], cell: tuple[int, int]) -> list[list[int]]:
     return lines
 
 
-def clean(boxes: list[tuple], lines: list[list[int]], least: int = 3) -> tuple[list[list[int]], list[tuple]]:
-    """Lines within a line or across it are merged into it, small lines dropped, parts stacked on each other made one.
-
-    Returns the lines, by top and left, and the boxes; a merged box stands in the place of its first part.
+def _union(a: tuple, b: tuple) -> tuple:
+    x, y = min(a[0], b[0]), min(a[1], b[1])
+    return x, y, max(a[0] + a[2], b[0] + b[2]) - x, max(a[1] + a[3], b[1] + b[3]) - y
+
+
+def _host(orphan: tuple, line: list[int], boxes: list[tuple]) -> int | None:
+    """The member of a line that a box inside the line belongs to: above or below it, near, better than those before."""
+    tilt = _angle(boxes[line[0]], boxes[line[-1]]) if len(line) > 1 else 0.0
+    host, nearest, squarest = None, 1000, 90.0
+    for k in line:
+        b = boxes[k]
+        off = abs(_angle(b, orphan) % 180 - 90 + tilt)
+        if off <= min(10, squarest):
+            d = _gap(b, orphan)
+            if d < nearest and (d <= 3 * max(b[2], b[3]) or off == 0):
+                host, nearest, squarest = k, d, off
+    return host
+
+
+def clean(boxes: list[tuple], lines: list[list[int]], least: int = 3, margin: int = 2) -> tuple[list[list[int]], list[tuple]]:
+    """Lines cleaned up, by top and left, and the boxes; a merged box stands in the place of its first part.
+
+    The boxes of a line inside another (by ``margin``) go to the members above or below them, or are dropped; lines that
+    meet become one; lines of under ``least`` members are dropped; parts stacked on each other become one box.
     """
-    boxes = list(boxes)
+    boxes, lines = list(boxes), [list(x) for x in lines]
 
     def area(line: list[int]) -> tuple:
-        x, y = min(boxes[k][0] for k in line), min(boxes[k][1] for k in line)
-        return x, y, max(boxes[k][0] + boxes[k][2] for k in line) - x, max(boxes[k][1] + boxes[k][3] for k in line) - y
-
-    def meet(a: tuple, b: tuple) -> bool:
-        return a[0] < b[0] + b[2] and b[0] < a[0] + a[2] and _overlap(a, b)
-
-    lines = [list(x) for x in lines]
-    areas = [area(x) for x in lines]
-    i = 0
-    while i < len(lines):
-        j = 0
-        while j < len(lines):
-            if i != j and meet(areas[i], areas[j]):
-                keep, gone = (i, j) if i < j else (j, i)
-                lines[keep] += lines.pop(gone)
-                areas.pop(gone)
-                areas[keep] = area(lines[keep])
-                i, j = keep, 0
-            else:
-                j += 1
-        i += 1
+        out = boxes[line[0]]
+        for k in line[1:]:
+            out = _union(out, boxes[k])
+        return out
+
+    areas: list[tuple | None] = [area(x) if x else None for x in lines]
+    for outer in range(len(lines)):
+        for inner in range(len(lines)):
+            a, b = areas[outer], areas[inner]
+            if outer == inner or a is None or b is None:
+                continue
+            if b[0] + margin >= a[0] and b[1] + margin >= a[1] and b[0] + b[2] - margin <= a[0] + a[2] and b[1] + b[3] - margin <= a[1] + a[3]:
+                for k in lines[inner]:
+                    host = _host(boxes[k], lines[outer], boxes)
+                    if host is not None:
+                        boxes[host] = _union(boxes[host], boxes[k])
+                lines[inner], areas[inner], areas[outer] = [], None, area(lines[outer])
+            elif a[0] < b[0] + b[2] and b[0] < a[0] + a[2] and _overlap(a, b):
+                left, right = (outer, inner) if a[0] <= b[0] else (inner, outer)
+                lines[left] += lines[right]
+                lines[right], areas[right], areas[left] = [], None, area(lines[left])
+        lines[outer].sort(key=lambda k: (boxes[k][0], k))
     out = []
     for line in lines:
         line.sort(key=lambda k: (boxes[k][0], k))
@@ -176,17 +197,36 @@ def clean(boxes: list[tuple], lines: list[list[int]], least: int = 3) -> tuple[l
             continue
         k = 0
         while k + 1 < len(line):
-            a, b = boxes[line[k]], boxes[line[k + 1]]
-            if 88 < _angle(a, b) < 92:
-                x, y = min(a[0], b[0]), min(a[1], b[1])
-                boxes[line[k]] = (x, y, max(a[0] + a[2], b[0] + b[2]) - x, max(a[1] + a[3], b[1] + b[3]) - y)
-                line.pop(k + 1)
+            if 88 < _angle(boxes[line[k]], boxes[line[k + 1]]) < 92:
+                boxes[line[k]] = _union(boxes[line[k]], boxes[line.pop(k + 1)])
             k += 1
         out.append(line)
     out.sort(key=lambda x: (area(x)[1], area(x)[0]))
     return out, boxes
 
 
+def base_and_descent(bottoms: list[int]) -> tuple[int, int]:
+    """Heights of the base and the descent line: the cut of the sorted bottoms whose halves lie nearest to their medians."""
+    y = np.sort(np.asarray(bottoms, dtype=np.int64))
+    best, lines = None, (int(y[len(y) // 2]),) * 2
+    for cut in range(len(y) - 1, 0, -1):
+        base, descent = int(y[cut // 2]), int(y[cut + (len(y) - cut) // 2])
+        cost = int(((y[:cut] - base) ** 2).sum() + ((y[cut:] - descent) ** 2).sum())
+        if best is None or cost < best:
+            best, lines = cost, (base, descent)
+    return lines
+
+
+def line_bases(members: DataFrame) -> DataFrame:
+    """page_id, line_id, base, descent of lines' members; a task holds one line."""
+
+    def run(line: pd.DataFrame) -> pd.DataFrame:
+        base, descent = base_and_descent((line["y0"] + line["h"]).tolist())
+        return pd.DataFrame([(int(line["page_id"].iloc[0]), int(line["line_id"].iloc[0]), base, descent)], columns=["page_id", "line_id", "base", "descent"])
+
+    return members.groupBy("page_id", "line_id").applyInPandas(run, "page_id long, line_id long, base long, descent long")
+
+
 def _cell(n: int, width: int, height: int) -> tuple[int, int]:
     target = max(1, n // 20)
     dx = next(d for d in range(target + 1) if (d + 1) * (d * height // width + 1) >= target)

@@ -41,6 +41,24 @@ def otsu(px: DataFrame) -> DataFrame:
     return h.where("nt > n0").groupBy("page_id").agg(F.max_by("gray", F.struct(between, -F.col("gray"))).alias("threshold"))
 
 
+def otsu_as_written(px: DataFrame, area: int) -> DataFrame:
+    """page_id, threshold: the variant whose class variance has the last level of each class only.
+
+    Levels from 1 to 254 are tried; a variance of 0 is always replaced by the next one, so what counts are the levels
+    after the last 0; of these the first with the least variance, or the last 0 itself if none comes after it.
+    """
+    levels = px.select("page_id").distinct().select("page_id", F.explode(F.sequence(F.lit(1), F.lit(254))).alias("t"))
+    h = histogram(px).select("page_id", (F.col("gray") + 1).alias("t"), "n", (F.col("n") * F.col("gray")).alias("s"))
+    w = Window.partitionBy("page_id").orderBy("t")
+    v = h.unionByName(levels.select("page_id", "t", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("s"))).groupBy("page_id", "t").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    v = v.select("page_id", "t", "n", F.sum("n").over(w).alias("nf"), F.sum("s").over(w).alias("sf")).where("t between 1 and 254")
+    off = F.col("t") - 1 - F.coalesce(F.try_divide(F.col("sf").cast("double"), F.col("nf").cast("double")), F.lit(0.0))
+    v = v.select("page_id", "t", F.coalesce(F.try_divide(F.col("nf").cast("double") / area * (F.col("n") * off * off), F.col("nf").cast("double")), F.lit(0.0)).alias("v"))
+    v = v.withColumn("zero", F.coalesce(F.max(F.when(F.col("v") == 0, F.col("t"))).over(Window.partitionBy("page_id")), F.lit(0)))
+    best = F.min_by(F.when(F.col("t") > F.col("zero"), F.col("t")), F.when(F.col("t") > F.col("zero"), F.struct("v", "t")))
+    return v.groupBy("page_id").agg(F.coalesce(best, F.max("zero")).alias("threshold"))
+
+
 def projections(px: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """page_id, axis, at, n: foreground pixels of each column (x) and row (y)."""
     dark = px.where(F.col("gray") <= threshold)

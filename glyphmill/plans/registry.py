@@ -481,6 +481,90 @@ def one_hot_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(hot).alias("node", "target")).select("vec_id", F.col("node").cast("long").alias("node"), "target")
 
 
+@query(
+    "otsu_as_written",
+    f"""with {PX_SQL}, pg as (select distinct page_id from px), lv as (select page_id, unnest(range(1, 255)) as t from pg),
+h as (select page_id, gray + 1 as t, count(*) as n from px where gray < 255 group by page_id, gray),
+a as (select page_id, t, sum(n)::bigint as n, sum(n*(t-1))::bigint as s from (select page_id, t, n from h union all select page_id, t, 0 from lv) group by page_id, t),
+c as (select page_id, t, n, sum(n) over w as nf, sum(s) over w as sf from a window w as (partition by page_id order by t)),
+o as (select page_id, t, n, nf, t - 1 - (case when nf = 0 then 0 else sf::double/nf::double end) as d from c where t between 1 and 254),
+v as (select page_id, t, case when nf = 0 then 0 else (nf::double/10000*(n*d*d))/nf::double end as v from o),
+z as (select *, coalesce(max(t) filter (v = 0) over (partition by page_id), 0) as zero from v),
+k as (select *, row_number() over (partition by page_id order by t <= zero, v, t) as rn from z)
+select page_id, case when t > zero then t else zero end::int as threshold from k where rn = 1""",
+)
+def otsu_as_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster.otsu_as_written(fx.pixels(spark, sf_dir), 10_000).select("page_id", F.col("threshold").cast("int").alias("threshold"))
+
+
+@query(
+    "line_text",
+    f"""with {CHARS_SQL}, k as (select *, sum((ch = ' ')::int) over (partition by conv_id, turn order by pos) as island from chars),
+w as (select conv_id, turn, island, string_agg(ch, '' order by pos) as word from k where ch <> ' ' group by all)
+select conv_id, turn, string_agg(word, ' ' order by island) as content from w group by all""",
+)
+def line_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.line_text(layout.word_islands(fx.chars(spark, sf_dir)))
+
+
+@query(
+    "trimmed_members",
+    f"""with {LINE_SQL}, k as (select *, count(*) over (partition by page_id, line_id) as n, row_number() over (partition by page_id, line_id order by y0 + h//2, comp_id) as k from ln),
+c as (select *, greatest(0, least(n//10, ceil((n-10)/2.0)::bigint)) as cut from k)
+select page_id, line_id, comp_id from c where k > cut and k <= n - cut""",
+)
+def trimmed_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.trimmed(_lines(spark, sf_dir)).select("page_id", "line_id", "comp_id")
+
+
+@query("not_on_lines", f"with {LINE_SQL}, c as (select *, count(*) over (partition by page_id, line_id) as n from ln) select page_id, comp_id, x0, y0, w, h from c where n < 305")
+def not_on_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.not_on_lines(fx.boxes(spark, sf_dir), layout.small_lines_dropped(_lines(spark, sf_dir), 305))
+
+
+@query("padded_ids", f"with {BX_SQL} select comp_id, 'image_' || lpad((comp_id % 1000000)::varchar, 6, '0') || '_org.bmp' as file, lpad((comp_id % 100000000)::varchar, 8, '0') || '.bmp' as sample from bx")
+def padded_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pad = lambda n: F.lpad((F.col("comp_id") % 10**n).cast("string"), n, "0")
+    return fx.boxes(spark, sf_dir).select("comp_id", F.concat(F.lit("image_"), pad(6), F.lit("_org.bmp")).alias("file"), F.concat(pad(8), F.lit(".bmp")).alias("sample"))
+
+
+LABEL_SQL = "case label when 9 then 'connected' when 8 then 'garbage' else chr((97 + label)::int) end"
+
+
+def _said(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = network.ranked(_outputs(spark, sf_dir), "vec_id", top=1)
+    label = F.when(F.col("label") == 9, "connected").when(F.col("label") == 8, "garbage").otherwise(F.char(97 + F.col("label")))
+    kind = F.when(F.col("vec_id") % 7 == 0, "space").when(F.col("vec_id") % 11 == 0, "image").otherwise("character")
+    return best.select("vec_id", "prob", label.alias("label"), kind.alias("kind"))
+
+
+@query(
+    "component_content",
+    f"""with {RANK_SQL}, b as (select vec_id, {LABEL_SQL} as label, case when vec_id % 7 = 0 then 'space' when vec_id % 11 = 0 then 'image' else 'character' end as kind from rk where rank = 1)
+select vec_id, case kind when 'space' then ' ' when 'character' then case label when 'connected' then '??' when 'garbage' then '?' else label end else '' end as content from b""",
+)
+def component_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _said(spark, sf_dir).select("vec_id", layout.content(F.col("kind"), F.col("label")).alias("content"))
+
+
+@query("split_score", f"with {RANK_SQL} select vec_id // 3 as glyph, round(avg(prob), 6) as score, string_agg({LABEL_SQL}, '' order by vec_id) as text from rk where rank = 1 group by 1")
+def split_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("vec_id", "label"))), lambda p: p["label"])
+    return _said(spark, sf_dir).groupBy(F.floor(F.col("vec_id") / 3).alias("glyph")).agg(F.round(F.avg("prob"), 6).alias("score"), F.array_join(parts, "").alias("text"))
+
+
+@query(
+    "gated_results",
+    f"""with {MLP_SQL}, each as (select vec_id, unnest(f) as prob, unnest(range(0, 10)) as lab from out),
+a as (select * from each where prob > 0.01),
+g as (select x.vec_id, x.lab, x.prob, count(y.lab) as before from a x left join a y on x.vec_id = y.vec_id and y.lab < x.lab and y.prob >= x.prob group by all)
+select vec_id, count(*) as n, round(max(prob), 6) as best from g where before < 4 group by vec_id""",
+)
+def gated_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _outputs(spark, sf_dir).select("vec_id", network.ranked_as_inserted(F.col("outputs")).alias("r"))
+    return out.select("vec_id", F.size("r").cast("long").alias("n"), F.round(F.element_at("r", 1)["prob"], 6).alias("best"))
+
+
 # --- kernels: no SQL; tests hold them against small cases worked out by hand ------------------------------------
 
 
@@ -546,3 +630,8 @@ def train_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = np.array([r["f"] for r in rows]), np.array([r["label"] for r in rows])
     layers = network.train(x, np.eye(10)[y], repetitions=10)
     return network.success(nn.select("label", network.forward_udf(layers)("f").alias("outputs")))
+
+
+@query("line_bases")
+def line_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.line_bases(_lines(spark, sf_dir))
