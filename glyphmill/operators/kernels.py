@@ -178,6 +178,86 @@ def prune(gray: np.ndarray, peak: int, threshold: int, depth: int = 1) -> np.nda
     return gray
 
 
+def prune_runs(plane: np.ndarray, depth: int = 3) -> np.ndarray:
+    """Plane without runs along an edge that are shorter than what they stand on is deep.
+
+    A run starts and ends at a step of 1 to ``depth`` rows. From above and below in turn until nothing changes, then
+    from the right and the left.
+    """
+    plane = plane.copy()
+
+    def step(p: np.ndarray, y: int, x: int, side: int) -> bool:
+        """Whether the edge pixel at (y, x) ends at a step on that side."""
+        return any(not p[y - 1 : y + d, x + side].any() and p[y + d, x + side] and not p[y - 1, x] and p[y : y + d + 1, x].all() for d in range(1, depth + 1))
+
+    def once(turn: int) -> bool:
+        nonlocal plane
+        own = np.rot90(plane, turn)
+        h, w = own.shape
+        p = np.pad(own, ((1, depth + 1), (1, 1)))
+        changed = False
+        for y in range(1, h + 1):
+            x = 1
+            while x <= w:
+                if not p[y, x] or not step(p, y, x, -1):
+                    x += 1
+                    continue
+                end = x
+                while end <= w and p[y, end] and p[y + 1, end] and not p[y - 1, end]:
+                    end += 1
+                if end > x and step(p, y, end - 1, 1):
+                    below = p[y : h + 1, x:end].all(1)
+                    deep = len(below) if below.all() else int(np.argmin(below))
+                    if deep > end - x:
+                        p[y, x:end] = False
+                        changed = True
+                x = max(end, x + 1)
+        plane = np.rot90(p[1 : h + 1, 1 : w + 1], -turn).copy()
+        return changed
+
+    while once(0) | once(2):
+        pass
+    once(3)
+    once(1)
+    return plane
+
+
+def holes(plane: np.ndarray) -> int:
+    """Background regions, connected by sides, that do not reach the border."""
+    free = np.pad(~plane, 1, constant_values=True)
+    count = -1  # the outside is one
+    for start in zip(*np.nonzero(free), strict=True):
+        if not free[start]:
+            continue
+        count += 1
+        todo = [start]
+        free[start] = False
+        while todo:
+            y, x = todo.pop()
+            for v, u in ((y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)):
+                if 0 <= v < free.shape[0] and 0 <= u < free.shape[1] and free[v, u]:
+                    free[v, u] = False
+                    todo.append((v, u))
+    return count
+
+
+def run_variance(plane: np.ndarray) -> float:
+    """Variance of the differences between the numbers of runs of successive rows."""
+    runs = (np.diff(np.pad(plane, ((0, 0), (1, 0))).astype(np.int8), axis=1) == 1).sum(1)
+    return float(np.abs(np.diff(runs)).var()) if len(runs) > 1 else 0.0
+
+
+def shape_class(plane: np.ndarray, mean_area: float) -> str:
+    """A classification by area, elongation, density and run variances: character, inverted or image."""
+    h, w = plane.shape
+    if h * w <= mean_area:
+        return "character"
+    busy = -1.09 * run_variance(plane) + 2.8 <= run_variance(plane.T)
+    if min(w, h) / max(w, h) <= 0.8:
+        return "image" if plane.mean() >= 0.7 or not busy else "inverted"
+    return "character" if busy else "image"
+
+
 def crop(plane: np.ndarray) -> np.ndarray:
     """Without empty rows and columns at the border."""
     if not plane.any():

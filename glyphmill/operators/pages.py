@@ -37,7 +37,7 @@ def per_glyph(labelled: DataFrame, schema: str, f: Callable[[np.ndarray], tuple]
 
 def thinned(labelled: DataFrame, kind: str) -> DataFrame:
     """page_id, comp_id, before, after: pixels of the normalised glyph and of its skeleton."""
-    f = {"condensed": kernels.thin_condensed, "standard": kernels.thin_standard, "eroding": kernels.thin_eroding, "midpoints": kernels.thin_midpoints, "staircases": kernels.drop_staircases}[kind]
+    f = {"condensed": kernels.thin_condensed, "standard": kernels.thin_standard, "eroding": kernels.thin_eroding, "midpoints": kernels.thin_midpoints, "staircases": kernels.drop_staircases, "runs": kernels.prune_runs}[kind]
 
     def one(plane: np.ndarray) -> tuple:
         n = kernels.normalise(plane)
@@ -63,6 +63,18 @@ def split_cuts(labelled: DataFrame) -> DataFrame:
     return per_glyph(labelled, "cuts array<long>", lambda p: (kernels.cuts(p),))
 
 
+def shapes(labelled: DataFrame) -> DataFrame:
+    """page_id, comp_id, holes, class of each glyph, by the mean area of its page."""
+
+    def run(page: pd.DataFrame) -> pd.DataFrame:
+        own = list(glyphs(page))
+        mean = float(np.mean([p.size for _, p in own])) if own else 0.0
+        rows = [(int(page["page_id"].iloc[0]), comp, kernels.holes(p), kernels.shape_class(p, mean)) for comp, p in own]
+        return pd.DataFrame(rows, columns=["page_id", "comp_id", "holes", "class"])
+
+    return labelled.groupBy("page_id").applyInPandas(run, "page_id long, comp_id long, holes long, class string")
+
+
 # --- lines ------------------------------------------------------------------------------------------------------
 
 

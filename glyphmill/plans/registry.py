@@ -578,7 +578,7 @@ def _thinning(kind: str) -> None:
         return pages.thinned(_labelled(spark, sf_dir), kind)
 
 
-for _kind in ("condensed", "standard", "eroding", "midpoints", "staircases"):
+for _kind in ("condensed", "standard", "eroding", "midpoints", "staircases", "runs"):
     _thinning(_kind)
 
 
@@ -635,3 +635,8 @@ def train_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("line_bases")
 def line_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.line_bases(_lines(spark, sf_dir))
+
+
+@query("glyph_shapes")
+def glyph_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.shapes(_labelled(spark, sf_dir))

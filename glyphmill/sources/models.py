@@ -77,3 +77,21 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     schema = "_Shape string, _SampleFolder string, " + ", ".join(f"_{f} boolean" for f in flags)
     rows = spark.read.format("xml").option("rowTag", "ShapeListEntry").schema(schema).load(path)
     return rows.select(F.col("_Shape").alias("label"), F.col("_SampleFolder").alias("sample_dir"), F.struct(*[F.coalesce(F.col(f"_{f}"), F.lit(False)).alias(f.lower()) for f in flags]).alias("position"))
+
+
+def write_labels(labels: DataFrame, path: str) -> None:
+    flags = ["Ascent", "Height", "Center", "Base", "Descent"]
+    columns = [F.col("label").alias("_Shape"), F.col("sample_dir").alias("_SampleFolder"), *[F.col(f"position.{f.lower()}").alias(f"_{f}") for f in flags]]
+    labels.select(*columns).coalesce(1).write.format("xml").option("rootTag", "ShapeList").option("rowTag", "ShapeListEntry").save(path)
+
+
+def curated_names(existing: DataFrame, chosen: DataFrame) -> DataFrame:
+    """path, label, sample: the next free eight-digit file names of each label for newly labelled samples (path, label).
+
+    ``existing`` has the labels' samples so far (label, sample). Nothing is moved or deleted: the rows say what to copy.
+    """
+    from pyspark.sql import Window
+
+    last = existing.groupBy("label").agg(F.max(F.regexp_extract("sample", r"(\d+)\.bmp$", 1).cast("long")).alias("last"))
+    place = F.row_number().over(Window.partitionBy("label").orderBy("path"))
+    return chosen.join(last, "label", "left").select("path", "label", F.concat(F.lpad((F.coalesce("last", F.lit(0)) + place).cast("string"), 8, "0"), F.lit(".bmp")).alias("sample"))

@@ -241,3 +241,30 @@ def test_line_growth_takes_each_box_once():
     assert max(map(len, lines)) >= 20
     cleaned, _ = pages.clean(boxes, lines)
     assert all(len(x) >= 3 for x in cleaned)
+
+
+def test_orphans_and_line_merges():
+    line = [(x, 10, 8, 12) for x in range(0, 120, 12)]
+    dot = [(25, 4, 3, 3)]  # above the third box
+    boxes = line + dot
+    cleaned, merged = pages.clean(boxes, [list(range(10)), [10]], 3)
+    assert len(cleaned) == 1
+    apart, _ = pages.clean(line + [(0, 200, 8, 12)], [list(range(10)), [10]], 3)
+    assert len(apart) == 1 and len(apart[0]) == 10
+    assert pages.base_and_descent([100] * 8 + [106] * 3) == (100, 106)
+
+
+def test_holes_and_shapes():
+    ring = plane("####", "#..#", "####")
+    assert kernels.holes(ring) == 1 and kernels.holes(plane("##", "##")) == 0 and kernels.holes(plane("###", "#.#", "###", "#.#", "###")) == 2
+    assert kernels.shape_class(ring, 100) == "character"
+    assert kernels.shape_class(np.ones((4, 40), bool), 10) == "image"
+
+
+def test_prune_runs():
+    block = np.zeros((14, 14), bool)
+    block[4:12, 2:12] = True
+    bump = block.copy()
+    bump[3, 6:8] = True
+    assert (kernels.prune_runs(bump) == block).all()
+    assert (kernels.prune_runs(block) == block).all()

@@ -58,3 +58,12 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select count(*) from comps").first()[0] == 30
+
+
+def test_labels_and_curation(spark, tmp_path):
+    labels = spark.createDataFrame([("a", "d1", (True, False, False, True, False)), ("g", "d2", (False, True, False, False, True))], "label string, sample_dir string, position struct<ascent: boolean, height: boolean, center: boolean, base: boolean, descent: boolean>")
+    models.write_labels(labels, str(tmp_path / "labels"))
+    assert sorted(models.read_labels(spark, str(tmp_path / "labels")).collect()) == sorted(labels.collect())
+    existing = spark.createDataFrame([("a", "00000007.bmp"), ("a", "00000003.bmp")], "label string, sample string")
+    chosen = spark.createDataFrame([("x", "a"), ("y", "a"), ("z", "b")], "path string, label string")
+    assert sorted(tuple(r) for r in models.curated_names(existing, chosen).collect()) == [("x", "a", "00000008.bmp"), ("y", "a", "00000009.bmp"), ("z", "b", "00000001.bmp")]
