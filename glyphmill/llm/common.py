@@ -78,11 +78,9 @@ def semi_join(left: DataFrame, right: DataFrame, keys: list[str], right_rows: in
 
 
 def tokenizer_path(name: str) -> str:
-    """Place of a vocabulary file: in GLYPHMILL_TOKENIZERS, else in the public_tokenizers package or /opt/tokenizers."""
+    """Place of a vocabulary file: in the folder GLYPHMILL_TOKENIZERS, else as the public_tokenizers package has it."""
     if folder := os.environ.get("GLYPHMILL_TOKENIZERS"):
         return os.path.join(folder, name)
-    try:
-        import public_tokenizers
-    except ImportError:
-        return os.path.join("/opt/tokenizers", name)
+    import public_tokenizers
+
     return public_tokenizers.path(name)

@@ -48,28 +48,31 @@ def even_out(sizes: np.ndarray, where: np.ndarray, bins: int, weight: tuple[floa
     """
     z = sizes / np.maximum(sizes.sum(0) / bins, 1e-12) * np.sqrt(weight)
     where = where.copy()
-    load = np.array([z[where == k].sum(0) for k in range(bins)])
+    load = np.stack([np.bincount(where, z[:, k], bins) for k in range(z.shape[1])], axis=1)
     mean = load.mean(0)
+    tried = [np.flatnonzero(where == k)[:look] for k in range(bins)]
     for _ in range(64 * bins):
         off = load - mean
         cost = (off**2).sum(1)
         worst, best = int(np.argmax(cost)), None
-        mine = np.flatnonzero(where == worst)[:look]
+        mine = tried[worst]
         for other in range(bins):
-            theirs = np.flatnonzero(where == other)[:look]
+            theirs = tried[other]
             if other == worst or not len(theirs) or not len(mine):
                 continue
             moved = z[mine][:, None] - z[theirs][None]
             gain = ((off[worst] - moved) ** 2).sum(2) + ((off[other] + moved) ** 2).sum(2) - cost[worst] - cost[other]
             k = int(np.argmin(gain))
             if gain.flat[k] < -1e-12 and (best is None or gain.flat[k] < best[0]):
-                best = (gain.flat[k], other, mine[k // len(theirs)], theirs[k % len(theirs)])
+                best = (gain.flat[k], other, k // len(theirs), k % len(theirs))
         if best is None:
             break
-        _, other, a, b = best
+        _, other, i, j = best
+        a, b = mine[i], tried[other][j]
         load[worst] -= z[a] - z[b]
         load[other] += z[a] - z[b]
         where[a], where[b] = other, worst
+        mine[i], tried[other][j] = b, a
     return where
 
 

@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from glyphmill.llm.common import hot_key_join, materialize, parallelism, text_or_empty
 from glyphmill.llm.components import join_roots, local_roots
 
-#: Fingerprints to grow the shards' tree over, at most, and fingerprints to a shard, on average.
-SAMPLE, SHARD = 20_000, 50_000
+#: Fingerprints to grow the shards' tree over, at least (if there are as many) and at most, and those to a shard.
+SAMPLE, MOST_SAMPLE, SHARD = 20_000, 400_000, 50_000
 #: Fingerprints to a block in which all pairs are compared.
 BLOCK = 192
 #: Side of the tiles in which a large block is compared.
@@ -202,8 +202,9 @@ def components_of(fps: DataFrame, radius: int = 2, shard: int = SHARD, further:
         same = hot_key_join(each, groups.where("n > 1"), ["kind", "fp"], "n", n_nodes).where("root is not null").select("node", "root")
         points = points.unionByName(groups.select("kind", F.col("root").alias("node"), "fp"))
     n_shards = max(1, -(-n_nodes // shard), parallelism(spark))
-    # bounded: the SAMPLE fingerprints of the smallest hashes, whatever the number of documents
-    chosen = nodes.select("fp", "more").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()
+    # bounded: at most MOST_SAMPLE fingerprints, those of the smallest hashes, whatever the number of documents
+    size = min(MOST_SAMPLE // (further + 1), max(SAMPLE, 16 * n_shards))
+    chosen = nodes.select("fp", "more").orderBy(F.xxhash64("fp"), "fp").limit(size).collect()
     trees = []
     for k in range(further + 1):
         sample = np.unique(np.array([r["more"][k - 1] if k else r["fp"] for r in chosen], dtype=np.int64)).view(np.uint64)
