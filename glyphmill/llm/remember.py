@@ -11,7 +11,7 @@ class Remembered(dict):
     A word that is not known is computed where it is looked up, so ``map(words.__getitem__, ...)`` is all that a text takes.
     """
 
-    def __init__(self, compute: Callable[[str], bytes], size: int = 300_000, longest: int = 48):
+    def __init__(self, compute: Callable[[str], bytes], size: int = 200_000, longest: int = 48):
         super().__init__()
         self.compute, self.size, self.longest = compute, size, longest
         self.old: dict = {}

@@ -32,8 +32,10 @@ WORDS = re.compile(r"[^\W\d_]+")
 ROWS, DIM, BEGINNINGS, FILTERS, WIDTHS = 1 << 16, 16, (3, 4, 5, 6), 12, (1, 2, 3)
 #: Labelled rows to fit on, at most.
 SAMPLE = 6000
-#: Texts to fit on that must have a word or beginning, for it to have a vector.
-LEAST = 6
+#: Texts to fit on that must have a word or beginning, for it to have a vector; of few texts, fewer must.
+LEAST, LEAST_OF_FEW, FEW = 6, 4, 1000
+#: Kept texts of either label that a threshold of their own takes; else the logit 0 is the threshold.
+ENOUGH, ENOUGH_OF_LANGUAGE = 30, 15
 #: Words in a span that is scored at once.
 SPAN = 100_000
 #: Function words by which a text's language is guessed.
@@ -172,7 +174,7 @@ def fit(texts: list[str], labels: list[int], epochs: int | None = None, seed: in
     texts_with = np.zeros(ROWS, dtype=np.int64)
     for d in train:
         texts_with[np.unique(rows[np.unique(docs[d])])] += 1
-    known = texts_with >= LEAST
+    known = texts_with >= (LEAST if len(train) >= FEW else LEAST_OF_FEW)
     known[0] = False
     m.vectors[~known] = 0
     share = np.clip(y[train].mean(), 0.02, 0.98)
@@ -228,10 +230,11 @@ def fit(texts: list[str], labels: list[int], epochs: int | None = None, seed: in
     vectors = m.vectors[rows].sum(1)
     logits = np.concatenate([m.logits(m.pooled([docs[d] for d in held[i : i + 200]], vectors)) for i in range(0, len(held), 200)])
     spoken, held_y = np.array(languages)[held], y[held]
-    m.thresholds[:] = _threshold(logits, held_y)
+    if min(held_y.sum(), (1 - held_y).sum()) >= ENOUGH:
+        m.thresholds[:] = _threshold(logits, held_y)
     for k in range(len(LANGUAGES)):
         own = spoken == k
-        if min(held_y[own].sum(), (1 - held_y[own]).sum()) >= 15:
+        if min(held_y[own].sum(), (1 - held_y[own]).sum()) >= ENOUGH_OF_LANGUAGE:
             m.thresholds[k] = _threshold(logits[own], held_y[own])
     return m
 

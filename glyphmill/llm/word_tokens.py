@@ -38,7 +38,7 @@ class WordTokens:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.names = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in plain)}
         self.model = self.lib.model
-        self.known = Remembered(self._merge, 500_000)
+        self.known = Remembered(self._merge)
 
     def _merge(self, word: str) -> bytes:
         """A word that the pattern has cut out, by the vocabulary's merges alone."""
