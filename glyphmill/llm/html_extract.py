@@ -132,12 +132,14 @@ def blocks(html: str) -> list[Block]:
 
 
 def path_parts(path: tuple[str, ...]) -> list[int]:
-    """Rows of the path's vectors: its tags, the words of their classes, ids and roles, and its last tag."""
+    """Rows of the path's vectors: its tags, the words of their classes, ids and roles and how these begin, and its last tag."""
     rows = set()
     for item in path:
         tag, _, names = item.partition(" ")
         rows.add(f"<{tag}")
-        rows.update("." + w.lower() for w in PART.findall(names))
+        for w in PART.findall(names):
+            rows.add("." + w.lower())
+            rows.add("." + w.lower()[:5] + "*")
     rows.add("/" + next((t for t in (i.partition(" ")[0] for i in reversed(path)) if t not in INLINE), ""))
     return sorted(zlib.crc32(r.encode()) % PATHS for r in rows)
 
@@ -360,13 +362,15 @@ def made_page(rng: np.random.Generator, texts: list[str]) -> tuple[str, list[int
             put("" if rng.random() < 0.5 else "&copy; ", words(rng.integers(2, 30)), "", 0)
         html.append(f"</{tag}>")
 
-    def any_around() -> None:
+    def any_around(inside: bool = False) -> None:
         if rng.random() < 0.45:
-            around(str(rng.choice(sorted(AROUND_TAGS))))
+            around(str(rng.choice(sorted(AROUND_TAGS - {"header"} if inside else AROUND_TAGS))))
         else:
             name = str(rng.choice(sorted(AROUND_WORDS)))
             if rng.random() < 0.4:
                 name = f"{rng.choice(['site', 'page', 'top', 'main', 'box', 'inner', 'block'])}-{name}"
+            elif rng.random() < 0.4:
+                name += str(rng.choice(["list", "box", "bar", "area", "wrap", "_inner", "-1", "Section"]))
             around(str(rng.choice(["div", "div", "section", "aside"])), name)
 
     for _ in range(rng.integers(0, 4)):
@@ -375,11 +379,12 @@ def made_page(rng: np.random.Generator, texts: list[str]) -> tuple[str, list[int
     opened, closed = [("<article>", "</article>"), ("<main>", "</main>"), ("<main><article>", "</article></main>"), ('<div id="content">', "</div>"), ('<div class="post-body entry article">', "</div>"), ("<div>", "</div>")][kind]
     html.append(opened)
     if rng.random() < 0.8:
-        put("<h1>", words(rng.integers(1, 12)), "</h1>", 1)
+        headed = rng.random() < 0.25  # an article's own header has its title
+        put("<header><h1>" if headed else "<h1>", words(rng.integers(1, 12)), "</h1></header>" if headed else "</h1>", 1)
     for _ in range(rng.integers(1, 14)):
         r = rng.random()
         if r < 0.05:
-            any_around()
+            any_around(True)
         elif r < 0.2:
             put(f"<h{rng.integers(2, 5)}>", words(rng.integers(1, 8)), "</h2>", 1)
         elif r < 0.3:

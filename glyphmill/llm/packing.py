@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm.common import materialize, text_or_empty
+from glyphmill.llm.remember import claim
 
 WINDOW, OPEN, SCRAP, GROUP = 2048, 16, 8, 16
 FIELDS = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -112,6 +113,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str = "d
         from glyphmill.llm.word_tokens import load
 
         tokens, part = load(tokenizer_path), TaskContext.get().partitionId()
+        claim(tokens.known)
         windows, like = Windows(part << 32, size), None
         for batch in batches:
             like = batch.schema.field(0).type

@@ -2,8 +2,18 @@
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Callable
 
+_ALL: weakref.WeakSet = weakref.WeakSet()
+
+
+def claim(mine: Remembered | None = None) -> None:
+    """Forget what other operators have remembered in this worker; workers live on from stage to stage."""
+    for other in list(_ALL):
+        if other is not mine:
+            other.forget()
+
 
 class Remembered(dict):
     """Word -> bytes for the words met last: two generations, of which the older one goes when the younger is full.
@@ -15,6 +25,16 @@ class Remembered(dict):
         super().__init__()
         self.compute, self.size, self.longest = compute, size, longest
         self.old: dict = {}
+        _ALL.add(self)
+
+    __hash__ = object.__hash__
+
+    def __eq__(self, other: object) -> bool:
+        return self is other
+
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
 
     def __missing__(self, word: str) -> bytes:
         got = self.old.get(word)

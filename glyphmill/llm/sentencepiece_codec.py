@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm.common import text_or_empty
-from glyphmill.llm.remember import Remembered
+from glyphmill.llm.remember import Remembered, claim
 
 SPACE = "▁"
 
@@ -251,6 +251,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(model_path)
+        claim(model.known)
         head = np.array([model.bos], dtype="<u4").tobytes() if bos else b""
         tail = np.array([model.eos], dtype="<u4").tobytes() if eos else b""
         for batch in batches:

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.llm.common import hot_key_join, materialize, parallelism, text_or_empty
 from glyphmill.llm.components import join_roots, local_roots
+from glyphmill.llm.remember import claim
 
 #: Fingerprints to grow the shards' tree over, at least (if there are as many) and at most, and those to a shard.
 SAMPLE, MOST_SAMPLE, SHARD = 20_000, 400_000, 50_000
@@ -84,6 +85,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = docs.select(id_col).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim()
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 rows = batch.slice(at, 1000)

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.llm.common import BROADCAST_ROWS, materialize, parallelism, shared_path, text_or_empty
+from glyphmill.llm.remember import claim
 
 MAGIC, VERSION = b"GMTK", 1
 #: Ids to a block and to a file, about.
@@ -301,6 +302,7 @@ def write_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int =
         from glyphmill.llm.word_tokens import load
 
         tokens, part = load(tokenizer_path), TaskContext.get().partitionId()
+        claim(tokens.known)
         keys: list[int] = []
         parts: list[bytes] = []
         count = k = 0

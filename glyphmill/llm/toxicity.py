@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm.common import text_or_empty
+from glyphmill.llm.remember import claim
 
 WORDS = re.compile(r"[^\W\d_]+")
 #: Hashed vectors, their length, the beginnings of a word that have one, filters of each width, and the widths.
@@ -278,6 +279,7 @@ def score(docs: DataFrame, model: Model | None, keep: list[str], text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: ROWS x DIM numbers and the filters
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim()
         m = shared.value
         vocabulary, vectors = Vocabulary(), np.zeros((0, DIM), dtype=np.float32)
         for batch in batches:
