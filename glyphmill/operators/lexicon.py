@@ -167,4 +167,5 @@ def trie_suggestions(words: DataFrame, lexicon: list[str], delete: bool = True)
             got = [(w, *trie.suggest(w, delete=delete)) for w in batch["w"]]
             yield pd.DataFrame([(w, s[0], d) for w, d, s in got if s], columns=["w", "suggestion", "distance"])
 
-    return words.select("w").mapInPandas(run, "w string, suggestion string, distance long")
+    tasks = words.sparkSession.sparkContext.defaultParallelism  # a walk takes milliseconds a word: few words are dealt out, too
+    return words.select("w").repartition(tasks).mapInPandas(run, "w string, suggestion string, distance long")
