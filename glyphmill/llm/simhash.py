@@ -255,8 +255,9 @@ def keep_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     fps = materialize(fingerprints(numbered, "__row", text_col, shingle, further=further), "simhash-fingerprints")
     comps = materialize(components_of(fps, radius, further=further).select(F.col("id").alias("__row"), "comp"), "simhash-rows")
     # components of one row stay whatever its id is
-    shared = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("comp")
-    grouped = materialize(comps.join(shared, "comp"), "simhash-grouped")
+    shared = materialize(comps.groupBy("comp").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "simhash-shared")
+    grouped = hot_key_join(comps, shared, ["comp"], "rows", comps.count()).where("rows is not null").drop("rows")
+    grouped = materialize(grouped, "simhash-grouped")
     ids = numbered.select("__row", F.col(id_col).alias("__id")).join(grouped, "__row")
     ids = materialize(ids, "simhash-ids")
     keep = ids.groupBy("comp").agg(F.min(F.struct("__id", "__row"))["__row"].alias("__row"))
