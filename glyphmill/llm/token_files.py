@@ -39,6 +39,8 @@ BLOCK, FILE_IDS = 1024, 4_000_000
 TOTAL0, SHARES = 18, 12
 #: Slots of each context table of a block.
 SLOTS = 256
+#: Ids below it are looked up in arrays, others searched for.
+SMALL = 1 << 22
 _U = np.uint64
 #: First probabilities (of 4096) of a prediction by its confidence, 0 to 3; none without a prediction.
 _FIRST = (0, 1000, 2200, 3200)
@@ -88,7 +90,12 @@ def _slots(last: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct ids and their frequencies of 2**TOTAL0, each at least 1."""
-    values, counts = np.unique(ids, return_counts=True)
+    if len(ids) and ids.max() < SMALL:
+        counts = np.bincount(ids)
+        values = np.flatnonzero(counts)
+        counts = counts[values]
+    else:
+        values, counts = np.unique(ids, return_counts=True)
     total = 1 << TOTAL0
     if len(values) and values[-1] >= 1 << 29:
         raise ValueError("ids must be below 2**29")
@@ -119,13 +126,13 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.n
     grid = np.zeros(n * block, dtype=np.int32)
     grid[: len(ids)] = ids
     steps = np.ascontiguousarray(grid.reshape(n, block).T)
-    lookup = np.zeros(int(values[-1]) + 1, dtype=np.int32) if values[-1] < (1 << 22) else None
-    if lookup is not None:
-        lookup[values] = np.arange(len(values))
-        symbols = lookup[steps]
+    if values[-1] < SMALL:
+        by_id = np.zeros((2, int(values[-1]) + 1), dtype=np.int32)
+        by_id[0, values], by_id[1, values] = start0, freq
+        starts, widths = by_id[0].take(steps), by_id[1].take(steps)
     else:
-        symbols = np.minimum(np.searchsorted(values, steps), len(values) - 1).astype(np.int32)
-    starts, widths = start0.take(symbols), freq.take(symbols)
+        symbols = np.minimum(np.searchsorted(values, steps), len(values) - 1)
+        starts, widths = start0.take(symbols), freq.take(symbols)
     lanes = _Lanes(n)
     low, rng = np.zeros(n, dtype=np.uint64), np.full(n, (1 << 64) - 1, dtype=np.uint64)
     words = np.zeros((n, 2 * block + 8), dtype=np.uint16)
