@@ -199,7 +199,10 @@ def components_of(fps: DataFrame, radius: int = 2, shard: int = SHARD, further:
     points = nodes.select(F.lit(0).alias("kind"), "node", "fp")
     same = None
     if further:
-        each = nodes.select("node", F.posexplode("more").alias("kind", "fp")).select((F.col("kind") + 1).alias("kind"), "node", "fp")
+        # every row's, not one row's for each node: rows of one first fingerprint may differ in the others
+        rows = hot_key_join(fps.select("fp", "more"), nodes.select("fp", "node", "n"), ["fp"], "n", n_rows)
+        each = rows.select("node", F.posexplode("more").alias("kind", "fp")).select((F.col("kind") + 1).alias("kind"), "node", "fp")
+        each = materialize(each.distinct(), "simhash-further")
         groups = materialize(each.groupBy("kind", "fp").agg(F.min("node").alias("root"), F.count(F.lit(1)).alias("n")), "simhash-groups")
         same = hot_key_join(each, groups.where("n > 1"), ["kind", "fp"], "n", n_nodes).where("root is not null").select("node", "root")
         points = points.unionByName(groups.select("kind", F.col("root").alias("node"), "fp"))
