@@ -15,7 +15,7 @@ from glyphmill.llm.queries import table
 #: Score from which a document is rejected.
 REJECT = 0.5
 #: Further fingerprints of a document by which near copies are linked.
-FINGERPRINTS = 11
+FINGERPRINTS = 15
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

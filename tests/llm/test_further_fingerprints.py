@@ -1,7 +1,9 @@
-"""Further fingerprints of all rows."""
+"""Further fingerprints of all rows, and how many the pipeline takes."""
 
 import random
 
+import corpus_pipeline
+
 from glyphmill.llm import simhash
 from tests.llm.test_operators import brute_components
 
@@ -25,3 +27,7 @@ def test_rows_of_one_first_fingerprint_link_by_their_own_further_ones(spark):
     linked = [(a, b) for n, a in enumerate(keys) for b in keys[n + 1 :] if any((x ^ y).bit_count() <= 2 for x, y in zip(every[a], every[b], strict=True))]
     assert got == brute_components(keys, linked)
     assert len(set(got.values())) == 4
+
+
+def test_pipeline_links_by_16_fingerprints():
+    assert corpus_pipeline.FINGERPRINTS + 1 >= 16
