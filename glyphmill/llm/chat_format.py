@@ -5,18 +5,19 @@ named users; the mask has the character spans that the speaker says, the ones to
 in pieces of PIECE turn numbers, so that none is ever gathered in one task; the pieces of a perspective in ascending
 order make up the whole dialogue.
 
-Defined results: turns are ordered by (turn, role, text); a null turn counts as -1 (in a piece before the
-others), a null role is the speaker
+Defined results: turns are ordered by (turn, role, text); a null turn counts as -1 (before the others, in
+piece 0, for numbers are divided towards zero), a null role is the speaker
 ``unknown``, a null text is empty and a null conv_id is a conversation of its own. A row that repeats another in all
 four columns is one message delivered again: it is rendered once and n_rows counts it. Narrators (role ``system``) are
 rendered under their role and have no perspective of their own, unless nobody else speaks. Turn numbers that more than
-PIECE * 4 messages of a conversation fall on are split into parts by a hash, in the order of the parts. An empty table
-gives an empty table; other columns of the input are not read.
+PIECE * 4 messages of a conversation fall on are split into parts of so many, in the order of the parts. ``whole`` puts
+the rows of such a piece together again: one row for each piece of a perspective, with turn_key null and part 0. An empty
+table gives an empty table; other columns of the input are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.llm.common import BROADCAST_ROWS, materialize
@@ -26,7 +27,7 @@ PIECE = 64
 NARRATORS = ("system",)
 
 
-def perspectives(turns: DataFrame, piece: int = PIECE, narrators: tuple[str, ...] = NARRATORS) -> DataFrame:
+def perspectives(turns: DataFrame, piece: int = PIECE, narrators: tuple[str, ...] = NARRATORS, whole: bool = False) -> DataFrame:
     """conv_id, speaker, block, turn_key, part, n_messages, n_rows, text, mask (array of start, end)."""
     said = turns.select(
         "conv_id",
@@ -35,17 +36,17 @@ def perspectives(turns: DataFrame, piece: int = PIECE, narrators: tuple[str, ...
         F.coalesce("text", F.lit("")).alias("text"),
     )
     said = said.groupBy("conv_id", "turn", "role", "text").agg(F.count(F.lit(1)).alias("n_rows"))
-    said = materialize(said.withColumn("block", F.floor(F.col("turn") / piece).cast("long")), "chat-messages")
+    said = materialize(said.withColumn("block", F.expr(f"turn div {piece}")), "chat-messages")
 
     most = piece * 4
-    crowded = materialize(said.groupBy("conv_id", "block", "turn").agg(F.count(F.lit(1)).alias("at_turn")).groupBy("conv_id", "block").agg(F.sum("at_turn").alias("in_block"), F.collect_list(F.when(F.col("at_turn") > most, F.struct("turn", "at_turn"))).alias("full")).where(F.col("in_block") > most), "chat-crowded")
+    crowded = materialize(said.groupBy("conv_id", "block", "turn").agg(F.count(F.lit(1)).alias("at_turn")).groupBy("conv_id", "block").agg(F.sum("at_turn").alias("in_block")).where(F.col("in_block") > most), "chat-crowded")
     n_crowded = crowded.count()
     if n_crowded:
         right = crowded.withColumnsRenamed({"conv_id": "c", "block": "b"})
         right = F.broadcast(right) if n_crowded <= BROADCAST_ROWS // 10 else right
         said = said.join(right, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b")), "left")
-        at_turn = F.filter("full", lambda x: x["turn"] == F.col("turn"))[0]["at_turn"]
-        said = said.withColumn("turn_key", F.when(F.col("c").isNotNull() | F.col("b").isNotNull(), F.col("turn"))).withColumn("part", F.coalesce(F.pmod(F.xxhash64("role", "text"), F.ceil(at_turn / most)), F.lit(0)).cast("long"))
+        place = F.row_number().over(Window.partitionBy("conv_id", "block", "turn").orderBy("role", "text"))
+        said = said.withColumn("turn_key", F.when(F.col("c").isNotNull() | F.col("b").isNotNull(), F.col("turn"))).withColumn("part", F.floor((place - 1) / most).cast("long"))
     else:
         said = said.withColumn("turn_key", F.lit(None).cast("long")).withColumn("part", F.lit(0).cast("long"))
     pieces = said.groupBy("conv_id", "block", "turn_key", "part").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("messages"), F.sum("n_rows").alias("n_rows"))
@@ -63,4 +64,13 @@ def perspectives(turns: DataFrame, piece: int = PIECE, narrators: tuple[str, ...
         (a["at"] + F.length(p["whole"])).alias("at"),
         F.when(p["own"], F.concat(a["spans"], F.array(F.struct((a["at"] + p["head"]).alias("start"), (a["at"] + p["head"] + F.length(p["body"])).alias("end"))))).otherwise(a["spans"]).alias("spans"),
     )
-    return out.select("conv_id", "speaker", "block", "turn_key", "part", F.size("messages").alias("n_messages"), "n_rows", F.array_join(F.transform("parts", lambda p: p["whole"]), "").alias("text"), F.aggregate("parts", start, step)["spans"].alias("mask"))
+    out = out.select("conv_id", "speaker", "block", "turn_key", "part", F.size("messages").alias("n_messages"), "n_rows", F.array_join(F.transform("parts", lambda p: p["whole"]), "").alias("text"), F.aggregate("parts", start, step)["spans"].alias("mask"))
+    if not (whole and n_crowded):
+        return out
+    own = F.sort_array(F.collect_list(F.struct("turn_key", "part", "text", "mask")))
+    out = out.groupBy("conv_id", "speaker", "block").agg(F.sum("n_messages").cast("int").alias("n_messages"), F.sum("n_rows").alias("n_rows"), own.alias("own"))
+    moved = lambda a, p: F.struct(
+        (a["at"] + F.length(p["text"])).alias("at"),
+        F.concat(a["spans"], F.transform(p["mask"], lambda m: F.struct((a["at"] + m["start"]).alias("start"), (a["at"] + m["end"]).alias("end")))).alias("spans"),
+    )
+    return out.select("conv_id", "speaker", "block", F.lit(None).cast("long").alias("turn_key"), F.lit(0).cast("long").alias("part"), "n_messages", "n_rows", F.array_join(F.transform("own", lambda p: p["text"]), "").alias("text"), F.aggregate("own", start, moved)["spans"].alias("mask"))

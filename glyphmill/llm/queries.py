@@ -42,7 +42,7 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = chat_format.perspectives(table(spark, sf_dir, "conversations"))
+    out = chat_format.perspectives(table(spark, sf_dir, "conversations"), whole=True)
     spans = F.array_join(F.transform("mask", lambda m: F.concat_ws("-", m["start"].cast("string"), m["end"].cast("string"))), ",")
     return out.select("conv_id", "speaker", F.col("block").alias("piece"), F.col("n_messages").cast("long").alias("n_messages"), "text", spans.alias("mask"))
 
