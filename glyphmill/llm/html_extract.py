@@ -11,7 +11,9 @@ are the same inside and outside the main text, so only layout and context are le
 
 Defined results: a null page is empty; a page without blocks has an empty text. Scripts, styles, head, comments,
 templates and other unseen elements give no blocks. Unclosed and stray tags are borne as browsers do, roughly: a new
-paragraph ends the one before, an end tag without a start is left out. Rows that repeat are labelled alike. White space,
+paragraph ends the one before, an end tag without a start is left out. A head without an end tag ends at the first tag that
+a head can't hold, an option at the next option or at the end or start of what is around it; of the other unseen elements only
+those of raw text (script, style, title, textarea, noscript, iframe) reach to the page's end without one. Rows that repeat are labelled alike. White space,
 no-break spaces included, becomes one space. An empty table gives an empty table; other columns are not read.
 """
 
@@ -49,12 +51,37 @@ ENDED_BY = {
     "tr": frozenset(["tr"]),
     "td": frozenset(["td", "th", "tr"]),
     "th": frozenset(["td", "th", "tr"]),
-    "option": frozenset(["option"]),
 }
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)[^>]*>?""", re.S)
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 PART = re.compile(r"[A-Za-z]+")
 END_OF = {t: re.compile(rf"</{t}\b[^>]*>?", re.I) for t in UNSEEN}
+#: Unseen elements whose text is no markup: without an end tag they reach to the page's end.
+RAW = frozenset("script style title textarea noscript iframe".split())
+#: What a head can hold; any other tag ends it.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+#: Tags that end an option, besides end tags other than its own inline ones'.
+AFTER_OPTION = frozenset("option optgroup select datalist".split())
+
+
+def unseen_end(html: str, at: int, tag: str) -> int:
+    """Where the unseen element ends whose start tag ends at ``at``. Without an end tag, an element that isn't raw text is only its start tag."""
+    if tag not in ("head", "option"):
+        end = END_OF[tag].search(html, at)
+        return end.end() if end else len(html) if tag in RAW else at
+    while (m := TAG.search(html, at)) is not None:
+        name = (m[2] or "").lower()
+        if tag == "head" and html[at : m.start()].strip():  # text ends a head, too
+            return at
+        if m[1] and name == tag:
+            return m.end()
+        if not name or (tag == "head" and m[1] and name not in ("body", "html", "br")):
+            at = m.end()
+        elif tag == "head" and name not in IN_HEAD or tag == "option" and (name in AFTER_OPTION or name not in INLINE and name not in UNSEEN):
+            return m.start()
+        else:
+            at = unseen_end(html, m.end(), name) if not m[1] and name in UNSEEN and not m[3].rstrip().endswith("/") else m.end()
+    return len(html) if tag == "option" else at
 
 
 @dataclass
@@ -112,8 +139,7 @@ def blocks(html: str) -> list[Block]:
         if tag in UNSEEN:
             flush()
             if not m[3].rstrip().endswith("/"):
-                end = END_OF[tag].search(html, at)
-                at = end.end() if end else n
+                at = unseen_end(html, at, tag)
             continue
         if tag not in INLINE:
             flush()
