@@ -59,6 +59,12 @@ def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def size_of(df: DataFrame) -> int:
+    """Bytes of ``df`` as the planner estimates them from its files, without a job; 0 where it can't."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
+
+
 def hot_key_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
     """``left`` left-join ``right`` on ``keys``, which are unique in ``right``; right's ``weight`` counts the left rows of a key.
 

@@ -1,20 +1,28 @@
 """Binary files of token ids: an adaptive context-mixing range coder in blocks that are reset and checksummed.
 
-Within a block, an order-2 and an order-1 context each predict the id that followed the context last, with a
-confidence that grows as predictions hold. Each confidence has an adaptive probability; the range of the coder is
-shared out to the order-2 prediction, the order-1 prediction and, for what remains, the order-0 frequencies of the
-file. Every block starts from the same state, so any block is decoded on its own after the file's head; its CRC-32
-(of the ids as little-endian 32-bit integers) is checked. All blocks of a file are coded in step, one numpy lane each.
+Three adaptive predictions share the range of the coder. The order-2 and the order-1 context each predict the id that
+followed the same context last in the block; a slot names its context, so contexts that meet in a slot are told apart.
+Their confidence grows as predictions hold, and each confidence has an adaptive probability. What they leave goes to
+order 0: the file's ids are dealt to CLASSES of ids that occur in the same blocks (as those of a language do); the
+shares of the classes adapt with each id of the block, and within a class ids have the frequencies of the file. Every
+block starts from the same state, so any block is decoded on its own after the file's head; its CRC-32 (of the ids as
+little-endian 32-bit integers) is checked. All blocks of a file are coded in step, one numpy lane each.
 
 File (all integers little-endian)::
 
     b"GMTK" version:u32 documents:u64 ids:u64 block:u32 vocabulary:u32
-    order-0 ids:u32 * vocabulary, their frequencies (of 2**18):u32 * vocabulary, zlib-compressed, behind its length:u32
+    its distinct ids, each less the one before:u32 * vocabulary, their frequencies (of 2**15 in a class):u32 * vocabulary,
+    their classes:u8 * vocabulary, zlib-compressed, behind its length:u32
     document ids:i64 * documents, lengths:u64 * documents, zlib-compressed, behind its length:u32
     payload lengths in 16-bit words:u32 * blocks, CRC-32 of the blocks:u32 * blocks
     payloads: u16 words
 
-Ids must be below 2**29.
+Ids must be below 2**29, and a file has at most 2**17 different ones.
+
+Defined results: a null or empty text has its end id alone. A text of any length is one document, which may make a file
+as long as itself; files are cut between documents. Rows are all kept: rows of equal ids follow each other in the order
+of their texts' hashes, equal texts in any order; a null id comes first and is read back as null. An empty table makes
+no file and reads back as no rows.
 """
 
 from __future__ import annotations
@@ -26,117 +34,187 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import BROADCAST_ROWS, materialize, parallelism, shared_path, text_or_empty
+from glyphmill.llm.common import BROADCAST_ROWS, materialize, parallelism, shared_path, size_of, text_or_empty
 from glyphmill.llm.remember import claim
 
-MAGIC, VERSION = b"GMTK", 1
+MAGIC, VERSION = b"GMTK", 2
 #: Ids to a block and to a file, about.
 BLOCK, FILE_IDS = 1024, 4_000_000
-#: Bits of the order-0 total, and of the shares of the three predictions.
-TOTAL0, SHARES = 18, 12
-#: Slots of each context table of a block.
-SLOTS = 128
+#: Bytes of the input, as it is stored, to a partition.
+PART_BYTES = 64 << 20
+#: Classes of ids, and bits of: the shares of the predictions, the shares of the classes, the frequencies in a class.
+CLASSES, SHARES, SPREAD, WITHIN = 8, 11, 13, 15
+#: What a class keeps at least (of 2**SPREAD), and the bits by which shares of classes move towards an id's class.
+#: LEAST >= 2**RATE, else rounding could take a class's last share.
+LEAST, RATE = 32, 5
+_ORDER0 = SPREAD + WITHIN
+#: Lines of a block's context table, of 8 slots for order 1 and 8 for order 2 each: 256 slots of either order.
+LINES = 32
 #: Ids below it are looked up in arrays, others searched for.
 SMALL = 1 << 22
 _U = np.uint64
-#: First probabilities (of 4096) of a prediction by its confidence, 0 to 3; none without a prediction.
-_FIRST = (0, 1000, 2200, 3200)
+#: Below it, the range of the coder gives out 16 bits.
+_LEAST_RANGE = _U(1 << 48)
+#: First probabilities (of 2**SHARES) of a prediction by its confidence, 0 to 3; none without a prediction.
+_FIRST = (0, 500, 1100, 1600)
 #: What a prediction that holds adds to its probability, of which a 16th goes each time: at most 16 times as much.
-_GAIN = 243
+_GAIN = 121
+#: The borders between the classes' shares: their least places, and what is added to those above an id's class.
+_PLACE = (np.arange(CLASSES + 1) * LEAST).astype(np.int16)[:, None]
+_ABOVE = np.int16((1 << SPREAD) - CLASSES * LEAST)
+_NUMBER = np.arange(CLASSES + 1, dtype=np.int16)[:, None]
 
 
 class _Lanes:
-    """The model of all blocks of a file; each step sees one id of each block. Row 0 is order 1, row 1 is order 2."""
+    """The model of all blocks of a file; each step sees one id of each block. Row 0 is order 1, row 1 is order 2.
+
+    ``ids`` here are the numbers of the file's distinct ids. A lane's table has LINES lines of 64 bytes; the last id
+    chooses the line, where half of the slots are of order 1 and half of order 2, so a step touches one line of a lane.
+    """
 
     def __init__(self, n: int):
-        lanes = np.arange(n, dtype=np.int64)
-        self.base = np.stack([lanes * SLOTS, (n + lanes) * SLOTS])
-        self.table = np.zeros(2 * n * SLOTS, dtype=np.int32)  # id << 2 | confidence; confidence 0: nothing yet
+        self.lanes = lanes = np.arange(n, dtype=np.int64)
+        self.base = np.stack([lanes * (LINES * 16), lanes * (LINES * 16) + 8])
+        room = np.zeros(n * LINES * 16 + 16, dtype=np.int32)
+        skip = (-room.ctypes.data // 4) % 16
+        self.table = room[skip : skip + n * LINES * 16]  # id << 10 | confidence << 8 | check; confidence 0: nothing yet
         self.trust = np.tile(np.array(_FIRST, dtype=np.int32), 2 * n)
         self.lane4 = np.arange(2 * n, dtype=np.int64).reshape(2, n) * 4
-
-    def predict(self, one: np.ndarray, two: np.ndarray) -> None:
-        """Shares of the predictions in these slots of the first lanes' tables."""
-        m = len(one)
-        self.at = at = self.base[:, :m].copy()
-        at[0] += one
-        at[1] += two
+        even = _NUMBER.astype(np.int64) << SPREAD
+        self.border = np.repeat((even // CLASSES).astype(np.int16), n, axis=1)
+
+    def predict(self, last: np.ndarray, before: np.ndarray) -> None:
+        """Shares of the predictions in the first lanes, of their last two ids."""
+        m = len(last)
+        mixed = np.empty((2, m), dtype=np.int32)
+        np.multiply(last, np.int32(-1640531535), out=mixed[0])
+        np.multiply(before, np.int32(-2048144777), out=mixed[1])
+        mixed[1] += mixed[0]
+        mixed ^= mixed >> 15
+        place = mixed & 7
+        place += (mixed[0] >> 3 & (LINES - 1)) << 4
+        self.at = at = self.base[:, :m] + place
+        self.check = check = (mixed >> 12) & 255
         entry = self.table.take(at)
-        self.trusted = c = entry & 3
-        self.ids = entry >> 2
+        self.trusted = c = ((entry >> 8) & 3) * ((entry & 255) == check)
+        self.ids = ids = np.where(c, entry >> 10, np.int32(-1))
         self.key = self.lane4[:, :m] + c
         self.p = p = self.trust.take(self.key)
-        self.some = c > 0
         self.share2 = p[1]
-        self.share1 = (((4096 - p[1]) * p[0]) >> SHARES) * ((self.ids[0] != self.ids[1]) | ~self.some[1])
-        self.taken = self.share1 + self.share2
-        self.share0 = 4096 - self.taken
-
-    def update(self, now: np.ndarray, hit: np.ndarray) -> None:
-        """``hit``: whether each prediction is ``now``; an empty slot predicts nothing and keeps its share of nothing."""
-        c, p = self.trusted, self.p
-        held = hit & self.some
-        self.trust[self.key] = p - (p >> 4) + held * np.int32(_GAIN)  # from 16 on it sinks no more
-        self.table[self.at] = (now << 2) + (1 + held * np.minimum(c, 2))
-
-
-def _slots(last: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of the contexts of order 1 and 2, of 32-bit ids."""
-    one = last * np.int32(40503)
-    return (one >> 7) & (SLOTS - 1), ((one + before * np.int32(60493)) >> 5) & (SLOTS - 1)
-
-
-def _frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct ids and their frequencies of 2**TOTAL0, each at least 1."""
+        left = (1 << SHARES) - p[1]
+        self.share1 = ((left * p[0]) >> SHARES) * (ids[0] != ids[1])
+        self.share0 = left - self.share1  # more than 0: no probability gets to 1
+
+    def update(self, now: np.ndarray, kind: np.ndarray, hit: np.ndarray) -> None:
+        """``hit``: whether each prediction is ``now``, an id of class ``kind``."""
+        p, m = self.p, len(now)
+        self.trust[self.key] = p - (p >> 4) + hit * np.int32(_GAIN)  # from 16 on it sinks no more
+        entry = (np.minimum(self.trusted, 2) * hit + 1) << 8
+        entry += self.check
+        entry += now << 10
+        self.table[self.at] = entry
+        border = self.border[1:CLASSES, :m]
+        goal = (kind < _NUMBER[1:CLASSES]) * _ABOVE
+        goal += _PLACE[1:CLASSES]
+        goal -= border
+        goal >>= RATE
+        border += goal
+
+
+def _symbols(ids: np.ndarray, values: np.ndarray) -> np.ndarray:
+    if values[-1] < SMALL:
+        by_id = np.zeros(int(values[-1]) + 1, dtype=np.int32)
+        by_id[values] = np.arange(len(values), dtype=np.int32)
+        return by_id.take(ids)
+    return np.searchsorted(values, ids).astype(np.int32)
+
+
+def _classes(symbols: np.ndarray, counts: np.ndarray, block: int) -> np.ndarray:
+    """A class for each distinct id: blocks are parted by their commonest ids, an id goes where it is most frequent."""
+    n = -(-len(symbols) // block)
+    common = np.argsort(-counts, kind="stable")[:256]
+    rank = np.full(len(counts), len(common), dtype=np.int32)
+    rank[common] = np.arange(len(common))
+    key = rank.take(symbols)
+    key += np.repeat(np.arange(n, dtype=np.int32) * np.int32(len(common) + 1), block)[: len(symbols)]
+    table = np.bincount(key, minlength=n * (len(common) + 1)).reshape(n, -1)[:, :-1]
+    table = np.sqrt(table.astype(np.float32))
+    table /= np.maximum(np.sqrt((table * table).sum(1, keepdims=True)), 1e-9)
+    centres = table[[0]]
+    for _ in range(CLASSES - 1):  # each next centre is the block farthest from those before
+        centres = np.concatenate([centres, table[[np.argmin((table @ centres.T).max(1))]]])
+    for _ in range(6):
+        group = np.argmax(table @ centres.T, axis=1)
+        sums = (group == np.arange(CLASSES)[:, None]).astype(np.float32) @ table
+        centres = sums / np.maximum(np.sqrt((sums * sums).sum(1, keepdims=True)), 1e-9)
+    key = np.repeat(group.astype(np.int32) * np.int32(len(counts)), block)[: len(symbols)]
+    key += symbols
+    each = np.bincount(key, minlength=CLASSES * len(counts)).reshape(CLASSES, -1)
+    total = each.sum(1, keepdims=True)
+    kind = np.argmax((each + 0.5 * counts / len(symbols)) / (total + 0.5), axis=0)
+    if np.bincount(kind, minlength=CLASSES).max() > 1 << (WITHIN - 1):
+        kind = np.arange(len(counts)) % CLASSES
+    return kind.astype(np.uint8)
+
+
+def _frequencies(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct ids, their frequencies of 2**WITHIN in their class, each at least 1, their classes, the ids' numbers."""
     if len(ids) and ids.max() < SMALL:
         counts = np.bincount(ids)
         values = np.flatnonzero(counts)
         counts = counts[values]
     else:
         values, counts = np.unique(ids, return_counts=True)
-    total = 1 << TOTAL0
     if len(values) and values[-1] >= 1 << 29:
         raise ValueError("ids must be below 2**29")
-    if len(values) > total // 2:
+    if len(values) > CLASSES << (WITHIN - 1):
         raise ValueError("too many different ids in a file")
-    scaled = 1 + (counts * (total - len(values))) // counts.sum()
-    scaled[np.argmax(scaled)] += total - scaled.sum()
-    return values, scaled
-
-
-def _settle(low: np.ndarray, rng: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which lanes give out their top 16 bits, and the range before that."""
-    out = (low ^ (low + rng)) < _U(1 << 48)
-    small = rng < _U(1 << 32)
-    if small.any():  # where the carry is undecided yet, cut the range at the border
-        rng = np.where(small & ~out, (~low + _U(1)) & _U((1 << 32) - 1), rng)
-        out |= small
-    return out, rng
-
-
-def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Order-0 ids and frequencies, and the words of each block."""
-    values, freq = _frequencies(ids)
-    start0 = np.concatenate([[0], np.cumsum(freq)[:-1]]).astype(np.int32)
-    freq = freq.astype(np.int32)
+    symbols = _symbols(ids, values)
+    kind = _classes(symbols, counts, block)
+    freq = np.zeros(len(values), dtype=np.int64)
+    for k in range(CLASSES):
+        own = np.flatnonzero(kind == k)
+        if len(own):
+            f = 1 + (counts[own] * ((1 << WITHIN) - len(own))) // counts[own].sum()
+            f[np.argmax(f)] += (1 << WITHIN) - f.sum()
+            freq[own] = f
+    return values, freq, kind, symbols
+
+
+def _starts(freq: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Where each id's frequency begins in its class."""
+    order = np.argsort(kind, kind="stable")
+    ends = np.cumsum(freq[order])
+    start = np.empty(len(freq), dtype=np.int64)
+    start[order] = (ends - freq[order]) % (1 << WITHIN)  # each class before has 2**WITHIN
+    return start
+
+
+def _carry(words: np.ndarray, at: np.ndarray) -> None:
+    """Add one to the words before these places, and on to those before where a word is full."""
+    while len(at):
+        at = at - 1
+        words[at] += np.uint16(1)
+        at = at[words[at] == 0]
+
+
+def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Distinct ids, their frequencies and classes, and the words of each block."""
+    values, freq, kind, symbols = _frequencies(ids, block)
+    start0 = _starts(freq, kind)
     n = -(-len(ids) // block)
     last_size = len(ids) - (n - 1) * block
     grid = np.zeros(n * block, dtype=np.int32)
-    grid[: len(ids)] = ids
+    grid[: len(ids)] = symbols
     steps = np.ascontiguousarray(grid.reshape(n, block).T)
-    if values[-1] < SMALL:
-        by_id = np.zeros((2, int(values[-1]) + 1), dtype=np.int32)
-        by_id[0, values], by_id[1, values] = start0, freq
-        starts, widths = by_id[0].take(steps), by_id[1].take(steps)
-    else:
-        symbols = np.minimum(np.searchsorted(values, steps), len(values) - 1)
-        starts, widths = start0.take(symbols), freq.take(symbols)
+    kinds = kind.astype(np.int16)
     lanes = _Lanes(n)
+    flat_border = lanes.border.reshape(-1)
     low, rng = np.zeros(n, dtype=np.uint64), np.full(n, (1 << 64) - 1, dtype=np.uint64)
-    words = np.zeros((n, 2 * block + 8), dtype=np.uint16)
+    words = np.zeros((n, 3 * block + 8), dtype=np.uint16)
     fill = np.arange(n, dtype=np.int64) * words.shape[1]  # where the next word of each lane goes
     flat, none = words.reshape(-1), np.zeros(n, dtype=np.int32)
     for t in range(block):
@@ -144,47 +222,61 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.n
         if not m:
             break
         now = steps[t, :m]
-        one, two = _slots(steps[t - 1, :m] if t else none[:m], steps[t - 2, :m] if t > 1 else none[:m])
-        lanes.predict(one, two)
+        lanes.predict(steps[t - 1, :m] if t else none[:m], steps[t - 2, :m] if t > 1 else none[:m])
         hit = lanes.ids == now
-        hit2 = hit[1] & lanes.some[1]
-        hit1 = hit[0] & (lanes.share1 > 0) & ~hit2
-        miss = ~(hit1 | hit2)
-        bound2 = lanes.share2 << TOTAL0
-        start = ((lanes.taken << TOTAL0) + lanes.share0 * starts[t, :m]) * miss + bound2 * hit1
-        width = lanes.share0 * widths[t, :m] * miss + (lanes.share1 << TOTAL0) * hit1 + bound2 * hit2
-        unit = rng[:m] >> _U(TOTAL0 + SHARES)
-        lo = low[:m] + unit * start.view(np.uint32)
-        rg = unit * width.view(np.uint32)
-        out, rg = _settle(lo, rg)
-        at = np.flatnonzero(out)
+        own = kinds.take(now)
+        at = lanes.lanes[:m] + own * np.int64(n)
+        begin = flat_border.take(at)
+        share0 = lanes.share0.astype(np.int64)
+        share = share0 * (flat_border.take(at + n) - begin)
+        start = share * start0.take(now)
+        start += ((share0 * begin) << WITHIN) + (((1 << SHARES) - share0) << _ORDER0)
+        width = share * freq.take(now)
+        at = np.flatnonzero(hit[1] | (hit[0] & (lanes.share1 > 0)))
+        two = hit[1, at]
+        share2 = lanes.share2[at].astype(np.int64) << _ORDER0
+        start[at] = share2 * ~two
+        width[at] = np.where(two, share2, lanes.share1[at].astype(np.int64) << _ORDER0)
+        unit = rng[:m] >> _U(SHARES + _ORDER0)
+        lo = low[:m] + unit * start.view(np.uint64)
+        rg = unit * width.view(np.uint64)
+        _carry(flat, fill[np.flatnonzero(lo < low[:m])])
+        out = rg < _LEAST_RANGE
+        flat[fill[:m]] = (lo >> _U(48)).astype(np.uint16)  # overwritten by the next where it isn't given out
+        fill[:m] += out
+        shift = out * _U(16)
+        lo <<= shift
+        rg <<= shift
+        at = np.flatnonzero(rg < _LEAST_RANGE)
         while len(at):  # those that gave out a word may give out another
-            x, r, f = lo[at], rg[at], fill[at]
-            flat[f] = (x >> _U(48)).astype(np.uint16)
-            fill[at] = f + 1
-            x, r = x << _U(16), r << _U(16)
-            out, r = _settle(x, r)
-            lo[at], rg[at] = x, r
-            at = at[out]
+            x = lo[at]
+            flat[fill[at]] = (x >> _U(48)).astype(np.uint16)
+            fill[at] += 1
+            lo[at] = x << _U(16)
+            rg[at] <<= _U(16)
+            at = at[rg[at] < _LEAST_RANGE]
         low[:m], rng[:m] = lo, rg
-        lanes.update(now, hit)
+        lanes.update(now, own, hit)
     for k in range(4):  # the rest of low
         flat[fill] = ((low >> _U(48 - 16 * k)) & _U(0xFFFF)).astype(np.uint16)
         fill += 1
     ends = (fill - np.arange(n) * words.shape[1]).tolist()
-    return values, freq, [words[i, : ends[i]] for i in range(n)]
+    return values, freq, kind, [words[i, : ends[i]] for i in range(n)]
 
 
-def decode_blocks(values: np.ndarray, freq: np.ndarray, payloads: list[np.ndarray], sizes: np.ndarray) -> list[np.ndarray]:
+def decode_blocks(values: np.ndarray, freq: np.ndarray, kind: np.ndarray, payloads: list[np.ndarray], sizes: np.ndarray) -> list[np.ndarray]:
     """The ids of each block; the blocks may be any of a file's."""
     if not len(payloads):
         return []
     order = np.argsort(-np.asarray(sizes), kind="stable")
     sizes = np.asarray(sizes)[order]
     n, longest = len(order), int(sizes[0])
-    start0 = np.concatenate([[0], np.cumsum(freq)[:-1]]).astype(np.int32)
-    inverse = np.repeat(np.arange(len(values), dtype=np.int64), freq)
-    values, freq = values.astype(np.int32), freq.astype(np.int32)
+    freq = freq.astype(np.int64)
+    start0, kinds = _starts(freq, kind), kind.astype(np.int16)
+    inverse = np.zeros(CLASSES << WITHIN, dtype=np.int32)
+    by_class = np.argsort(kind, kind="stable")
+    places = np.repeat(kind[by_class].astype(np.int64) << WITHIN, freq[by_class])
+    inverse[places + np.arange(len(places)) % (1 << WITHIN)] = np.repeat(by_class, freq[by_class])
     lengths = np.array([len(payloads[i]) for i in order])
     words = np.zeros((n, lengths.max() + 8), dtype=np.uint16)
     for k, i in enumerate(order):
@@ -193,42 +285,59 @@ def decode_blocks(values: np.ndarray, freq: np.ndarray, payloads: list[np.ndarra
     fill = np.arange(n, dtype=np.int64) * words.shape[1] + 4  # where the next word of each lane comes from
     head = words[:, :4].astype(np.uint64)
     code = (head[:, 0] << _U(48)) | (head[:, 1] << _U(32)) | (head[:, 2] << _U(16)) | head[:, 3]
-    low, rng = np.zeros(n, dtype=np.uint64), np.full(n, (1 << 64) - 1, dtype=np.uint64)
+    rng = np.full(n, (1 << 64) - 1, dtype=np.uint64)
     ids = np.zeros((longest + 2, n), dtype=np.int32)
     lanes = _Lanes(n)
+    flat_border = lanes.border.reshape(-1)
     live = np.searchsorted(-sizes, -np.arange(longest), side="left").tolist()  # lanes with more than t ids
     for t in range(longest):
         m = live[t]
-        one, two = _slots(ids[t + 1, :m], ids[t, :m])
-        lanes.predict(one, two)
-        unit = rng[:m] >> _U(TOTAL0 + SHARES)
-        lo, cd = low[:m], code[:m]
-        value = ((cd - lo) // unit).astype(np.int32)
-        taken, bound2 = lanes.taken << TOTAL0, lanes.share2 << TOTAL0
-        in2 = value < bound2
-        in0 = value >= taken
-        in1 = ~(in0 | in2)
-        s = inverse.take(((value - taken) * in0 / lanes.share0).astype(np.int64), mode="clip")
-        now = values.take(s) * in0 + lanes.ids[0] * in1 + lanes.ids[1] * in2
-        start = (taken + lanes.share0 * start0.take(s)) * in0 + bound2 * in1
-        width = lanes.share0 * freq.take(s) * in0 + (taken - bound2) * in1 + bound2 * in2
-        lo = lo + unit * start.view(np.uint32)
-        rg = unit * width.view(np.uint32)
-        out, rg = _settle(lo, rg)
-        at = np.flatnonzero(out)
+        lanes.predict(ids[t + 1, :m], ids[t, :m])
+        unit = rng[:m] >> _U(SHARES + _ORDER0)
+        value = (code[:m] // unit).view(np.int64)
+        share0 = lanes.share0.astype(np.int64)
+        taken = ((1 << SHARES) - share0) << _ORDER0
+        rest = (np.maximum(value - taken, 0) / share0).astype(np.int64)  # in the shares of the classes; exact below 2**53
+        part = np.minimum(rest >> WITHIN, (1 << SPREAD) - 1).astype(np.int16)
+        own = (part >= lanes.border[1:CLASSES, :m]).view(np.int8).sum(0, dtype=np.int16)
+        at = lanes.lanes[:m] + own * np.int64(n)
+        begin = flat_border.take(at)
+        share = (flat_border.take(at + n) - begin).astype(np.int64)
+        begin = begin.astype(np.int64) << WITHIN
+        place = np.minimum(((rest - begin) / share).astype(np.int64), (1 << WITHIN) - 1)
+        place += own * np.int64(1 << WITHIN)
+        now = inverse.take(place)
+        share *= share0
+        start = share * start0.take(now)
+        start += share0 * begin + taken
+        width = share * freq.take(now)
+        at = np.flatnonzero(value < taken)
+        share2 = lanes.share2[at].astype(np.int64) << _ORDER0
+        two = value[at] < share2
+        guess = np.where(two, lanes.ids[1, at], lanes.ids[0, at])
+        now[at] = guess
+        own[at] = kinds.take(guess)
+        start[at] = share2 * ~two
+        width[at] = np.where(two, share2, taken[at] - share2)
+        cd = code[:m] - unit * start.view(np.uint64)
+        rg = unit * width.view(np.uint64)
+        out = rg < _LEAST_RANGE
+        shift = out * _U(16)
+        cd <<= shift
+        cd |= flat.take(fill[:m]) * out
+        fill[:m] += out
+        rg <<= shift
+        at = np.flatnonzero(rg < _LEAST_RANGE)
         while len(at):
-            x, r, f = lo[at], rg[at], fill[at]
-            cd[at] = (cd[at] << _U(16)) | flat[f]
-            fill[at] = f + 1
-            x, r = x << _U(16), r << _U(16)
-            out, r = _settle(x, r)
-            lo[at], rg[at] = x, r
-            at = at[out]
-        low[:m], rng[:m] = lo, rg
+            cd[at] = (cd[at] << _U(16)) | flat[fill[at]]
+            fill[at] += 1
+            rg[at] <<= _U(16)
+            at = at[rg[at] < _LEAST_RANGE]
+        code[:m], rng[:m] = cd, rg
         ids[t + 2, :m] = now
-        lanes.update(now, lanes.ids == now)
+        lanes.update(now, own, lanes.ids == now)
     got = [np.zeros(0, np.int32)] * n
-    columns = np.ascontiguousarray(ids[2:].T)
+    columns = np.ascontiguousarray(values.astype(np.int32).take(ids[2:]).T)
     for k, i in enumerate(order):
         got[i] = columns[k, : sizes[k]]
     return got
@@ -237,12 +346,12 @@ def decode_blocks(values: np.ndarray, freq: np.ndarray, payloads: list[np.ndarra
 def to_bytes(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, block: int = BLOCK) -> bytes:
     """A file of documents in their order."""
     if len(ids):
-        values, freq, payloads = encode_blocks(ids, block)
+        values, freq, kind, payloads = encode_blocks(ids, block)
     else:
-        values, freq, payloads = np.zeros(0, int), np.zeros(0, int), []
+        values, freq, kind, payloads = np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.uint8), []
     crc = [zlib.crc32(ids[i : i + block].astype("<u4").tobytes()) for i in range(0, len(ids), block)]
-    head = zlib.compress(values.astype("<u4").tobytes() + freq.astype("<u4").tobytes(), 1)
-    index = zlib.compress(np.asarray(doc_ids).astype("<i8").tobytes() + np.asarray(lengths).astype("<u8").tobytes(), 1)
+    head = zlib.compress(np.diff(values, prepend=0).astype("<u4").tobytes() + freq.astype("<u4").tobytes() + kind.tobytes())
+    index = zlib.compress(np.asarray(doc_ids).astype("<i8").tobytes() + np.asarray(lengths).astype("<u8").tobytes())
     return b"".join([
         MAGIC, struct.pack("<IQQII", VERSION, len(doc_ids), len(ids), block, len(values)),
         struct.pack("<I", len(head)), head, struct.pack("<I", len(index)), index,
@@ -260,7 +369,9 @@ def from_bytes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         raise ValueError(f"version {version}")
     at = 4 + struct.calcsize("<IQQII")
     (size,) = struct.unpack_from("<I", data, at)
-    head = np.frombuffer(zlib.decompress(data[at + 4 : at + 4 + size]), "<u4").astype(np.int64)
+    head = zlib.decompress(data[at + 4 : at + 4 + size])
+    values, freq = np.frombuffer(head[: 8 * n_values], "<u4").astype(np.int64).reshape(2, -1)
+    kind = np.frombuffer(head[8 * n_values :], np.uint8)
     at += 4 + size
     (size,) = struct.unpack_from("<I", data, at)
     index = zlib.decompress(data[at + 4 : at + 4 + size])
@@ -275,7 +386,7 @@ def from_bytes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sizes = np.full(n, block)
     if n:
         sizes[-1] = n_ids - (n - 1) * block
-    blocks = decode_blocks(head[:n_values], head[n_values:], payloads, sizes)
+    blocks = decode_blocks(np.cumsum(values), freq, kind, payloads, sizes)
     for k, ids in enumerate(blocks):
         if zlib.crc32(ids.astype("<u4").tobytes()) != crc[k]:
             raise ValueError(f"block {k} is damaged")
@@ -301,7 +412,10 @@ def write_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int =
     """
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), text_or_empty(text_col).alias("text"))
-    sorted_docs = texts.withColumn("h", F.xxhash64("text")).repartitionByRange(parallelism(spark), "id", "h").sortWithinPartitions("id", "h").select("id", "text")
+    parts = max(parallelism(spark), -(-size_of(docs) // PART_BYTES))
+    # the row's place in the input splits up the rows of one id and text, however many
+    keyed = texts.withColumn("h", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id())
+    sorted_docs = keyed.repartitionByRange(parts, "id", "h", "place").sortWithinPartitions("id", "h").select("id", "text")
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,11 +451,11 @@ def write_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int =
             yield flush()
 
     files = materialize(sorted_docs.mapInArrow(run, "part long, k long, file string, documents long, ids long, bytes long"), "token-files")
-    from pyspark.sql import Window
-
-    # one row for each file of FILE_IDS ids: a running sum over the list of files, not over documents
-    before = Window.orderBy("part", "k").rowsBetween(Window.unboundedPreceding, -1)
-    return files.select("file", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("first"), "documents", "ids", "bytes")
+    # running sums over the partitions' totals, one row each, and over the files within a partition
+    upto = lambda w: F.coalesce(F.sum("ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = files.groupBy("part").agg(F.sum("ids").alias("ids")).select("part", upto(Window.orderBy("part")).alias("before"))
+    first = F.col("before") + upto(Window.partitionBy("part").orderBy("k"))
+    return files.join(totals, "part").select("file", first.alias("first"), "documents", "ids", "bytes")
 
 
 def read_files(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,8 +1,10 @@
-"""Ids of the tokenizers library, with the words met before remembered.
+"""Ids of the tokenizers library, made faster than it makes them.
 
-Both vocabularies cut a text into words by a pattern before they merge. Where the text has only the characters of
-PLAIN, a pattern of Python cuts it at the same places; each word is then encoded by the library once and remembered.
-Any other text is encoded by the library as a whole.
+``ByteTokens``: a byte-level vocabulary whose ids are in the order of its merges is encoded by tiktoken from the same
+merges. ``WordTokens``: any vocabulary; a pattern of Python cuts the text into the words that the library cuts, each
+word is encoded by the library once and remembered. Both do so only where the text has only characters of which the
+pattern tells letters, digits and white space apart as the library does; any other text, and one with the name of a
+special token in it, is encoded by the library as a whole.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 
@@ -24,6 +26,12 @@ LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 BYTE_LEVEL = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^\s0-9{LETTERS}]+|\s+(?!\S)|\s+"
 #: Without white space and case: each digit is a word.
 WORD_LEVEL = rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\s0-9{LETTERS}]+"
+#: Words of the byte-level pattern for tiktoken, but for white space.
+PIECES = r"'(?:[stmd]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"
+SPACES = re.compile(r"\s\s")
+#: The names that byte-level vocabularies give to bytes: printable ones themselves, others from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+NAMES = {b: b for b in _PRINTABLE} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
 class WordTokens:
@@ -35,30 +43,12 @@ class WordTokens:
         self.lower = lower
         self.words = re.compile(WORD_LEVEL if lower else BYTE_LEVEL)
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        # The names that byte-level vocabularies give to bytes: printable ones themselves, others from 256 on.
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        self.names = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in plain)}
         self.model = self.lib.model
-        self.ranked = None if lower else self._ranked()
-        self.known = Remembered(self._merge, 500_000)
-
-    def _ranked(self):
-        """tiktoken's merger of the same vocabulary, which is faster with single words; None if its ids aren't in the order of its merges."""
-        import tiktoken
-
-        spec = json.loads(self.lib.to_str())["model"]
-        merges = [m if isinstance(m, list) else m.split(" ") for m in spec["merges"]]
-        if any(spec["vocab"][a + b] != 256 + k for k, (a, b) in enumerate(merges)):
-            return None
-        bytes_of = {name: b for b, name in self.names.items()}
-        ranks = {bytes(bytes_of[c] for c in t): i for t, i in spec["vocab"].items() if i < 256 + len(merges)}
-        return tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.known = Remembered(self._merge)
 
     def _merge(self, word: str) -> bytes:
         """A word that the pattern has cut out, by the vocabulary's merges alone."""
-        if self.ranked:
-            return array("I", self.ranked(word)).tobytes()
-        return array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.names))]).tobytes()
+        return array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(NAMES))]).tobytes()
 
     def encode_bytes(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -68,9 +58,52 @@ class WordTokens:
         return self.known.join(self.words.findall(text.lower() if self.lower else text))
 
 
+class ByteTokens:
+    """Nothing is remembered, so a worker's memory doesn't grow with the words it meets; the library is loaded when a text asks for it."""
+
+    known = None
+
+    def __init__(self, path: str, spec: dict, merges: list[list[str]]):
+        import tiktoken
+
+        bytes_of = {name: b for b, name in NAMES.items()}
+        ranks = {bytes(bytes_of[ord(c)] for c in t): i for t, i in spec["model"]["vocab"].items() if i < 256 + len(merges)}
+        encoder = partial(tiktoken.Encoding, mergeable_ranks=ranks, special_tokens={})
+        self.path, self._lib = path, None
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.full = encoder("bytes", pat_str=PIECES + r"|\s+(?!\S)|\s+").encode_ordinary
+        self.single = encoder("bytes-single", pat_str=PIECES + r"|\s").encode_ordinary  # faster; where white space stands alone
+
+    @property
+    def lib(self):
+        if self._lib is None:
+            from tokenizers import Tokenizer
+
+            self._lib = Tokenizer.from_file(self.path)
+        return self._lib
+
+    def encode_bytes(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
+        if not text.isascii() and NOT_PLAIN.search(text) or ("<|" in text and any(s in text for s in self.special)):
+            return np.array(self.lib.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return array("I", (self.full if SPACES.search(text) else self.single)(text)).tobytes()
+
+
+def _ordered_merges(spec: dict) -> list[list[str]] | None:
+    """The merges of a byte-level vocabulary whose ids from 256 on are in the order of its merges; None for any other."""
+    model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+    if spec.get("normalizer") or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True) or model.get("end_of_word_suffix"):
+        return None
+    merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    return merges if all(model["vocab"].get(a + b) == 256 + k for k, (a, b) in enumerate(merges)) else None
+
+
 @lru_cache(maxsize=4)
-def load(path: str) -> WordTokens:
+def load(path: str) -> WordTokens | ByteTokens:
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    return WordTokens(path)
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    merges = _ordered_merges(spec)
+    return WordTokens(path) if merges is None else ByteTokens(path, spec, merges)

@@ -458,8 +458,8 @@ def test_coder_checks_and_blocks():
     data[-9] ^= 1
     with pytest.raises(ValueError, match="damaged"):
         token_files.from_bytes(bytes(data))
-    values, freq, payloads = token_files.encode_blocks(ids)
-    third = token_files.decode_blocks(values, freq, payloads[2:3], np.array([1024]))[0]
+    values, freq, kind, payloads = token_files.encode_blocks(ids)
+    third = token_files.decode_blocks(values, freq, kind, payloads[2:3], np.array([1024]))[0]
     assert np.array_equal(third, ids[2048:3072])
     same = np.tile(np.random.default_rng(2).integers(0, 40000, 300), 20).astype(np.int32)
     assert len(token_files.to_bytes(np.arange(1), np.array([len(same)]), same)) < 0.7 * 2 * len(same)
