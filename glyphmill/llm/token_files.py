@@ -21,8 +21,7 @@ Ids must be below 2**29, and a file has at most 2**17 different ones.
 
 Defined results: a null or empty text has its end id alone. A text of any length is one document, which may make a file
 as long as itself; files are cut between documents. Rows are all kept: rows of equal ids follow each other in the order
-of their texts' hashes, equal texts in any order; a null id comes first and is read back as null. An empty table makes
-no file and reads back as no rows.
+of the input; a null id comes first and is read back as null. An empty table makes no file and reads back as no rows.
 """
 
 from __future__ import annotations
@@ -38,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphmill.llm.common import BROADCAST_ROWS, materialize, parallelism, shared_path, size_of, text_or_empty
-from glyphmill.llm.remember import claim
+from glyphmill.llm.remember import claim, give_back
 
 MAGIC, VERSION = b"GMTK", 2
 #: Ids to a block and to a file, about.
@@ -193,10 +192,10 @@ def _starts(freq: np.ndarray, kind: np.ndarray) -> np.ndarray:
     return start
 
 
-def _carry(words: np.ndarray, at: np.ndarray) -> None:
-    """Add one to the words before these places, and on to those before where a word is full."""
+def _carry(words: np.ndarray, at: np.ndarray, n: int) -> None:
+    """Add one to the words before these places, n apart, and on to those before where a word is full."""
     while len(at):
-        at = at - 1
+        at = at - n
         words[at] += np.uint16(1)
         at = at[words[at] == 0]
 
@@ -210,12 +209,12 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.n
     grid = np.zeros(n * block, dtype=np.int32)
     grid[: len(ids)] = symbols
     steps = np.ascontiguousarray(grid.reshape(n, block).T)
-    kinds = kind.astype(np.int16)
+    kinds, place0 = kind.astype(np.int16), start0 << 16 | freq
     lanes = _Lanes(n)
     flat_border = lanes.border.reshape(-1)
     low, rng = np.zeros(n, dtype=np.uint64), np.full(n, (1 << 64) - 1, dtype=np.uint64)
-    words = np.zeros((n, 3 * block + 8), dtype=np.uint16)
-    fill = np.arange(n, dtype=np.int64) * words.shape[1]  # where the next word of each lane goes
+    words = np.zeros((3 * block + 8, n), dtype=np.uint16)  # lanes are in step, so their next words are near each other
+    fill = np.arange(n, dtype=np.int64)  # where the next word of each lane goes
     flat, none = words.reshape(-1), np.zeros(n, dtype=np.int32)
     for t in range(block):
         m = n if t < last_size else n - 1  # only the last block may be short
@@ -224,14 +223,15 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.n
         now = steps[t, :m]
         lanes.predict(steps[t - 1, :m] if t else none[:m], steps[t - 2, :m] if t > 1 else none[:m])
         hit = lanes.ids == now
-        own = kinds.take(now)
+        index = now.astype(np.int64)
+        own, both = kinds.take(index), place0.take(index)
         at = lanes.lanes[:m] + own * np.int64(n)
         begin = flat_border.take(at)
         share0 = lanes.share0.astype(np.int64)
         share = share0 * (flat_border.take(at + n) - begin)
-        start = share * start0.take(now)
+        start = share * (both >> 16)
         start += ((share0 * begin) << WITHIN) + (((1 << SHARES) - share0) << _ORDER0)
-        width = share * freq.take(now)
+        width = share * (both & 0xFFFF)
         at = np.flatnonzero(hit[1] | (hit[0] & (lanes.share1 > 0)))
         two = hit[1, at]
         share2 = lanes.share2[at].astype(np.int64) << _ORDER0
@@ -240,10 +240,10 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.n
         unit = rng[:m] >> _U(SHARES + _ORDER0)
         lo = low[:m] + unit * start.view(np.uint64)
         rg = unit * width.view(np.uint64)
-        _carry(flat, fill[np.flatnonzero(lo < low[:m])])
+        _carry(flat, fill[np.flatnonzero(lo < low[:m])], n)
         out = rg < _LEAST_RANGE
         flat[fill[:m]] = (lo >> _U(48)).astype(np.uint16)  # overwritten by the next where it isn't given out
-        fill[:m] += out
+        fill[:m] += out * n
         shift = out * _U(16)
         lo <<= shift
         rg <<= shift
@@ -251,7 +251,7 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.n
         while len(at):  # those that gave out a word may give out another
             x = lo[at]
             flat[fill[at]] = (x >> _U(48)).astype(np.uint16)
-            fill[at] += 1
+            fill[at] += n
             lo[at] = x << _U(16)
             rg[at] <<= _U(16)
             at = at[rg[at] < _LEAST_RANGE]
@@ -259,9 +259,10 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.n
         lanes.update(now, own, hit)
     for k in range(4):  # the rest of low
         flat[fill] = ((low >> _U(48 - 16 * k)) & _U(0xFFFF)).astype(np.uint16)
-        fill += 1
-    ends = (fill - np.arange(n) * words.shape[1]).tolist()
-    return values, freq, kind, [words[i, : ends[i]] for i in range(n)]
+        fill += n
+    ends = fill // n
+    rows = np.ascontiguousarray(words[: ends.max()].T)
+    return values, freq, kind, [row[:end] for row, end in zip(rows, ends.tolist(), strict=True)]
 
 
 def decode_blocks(values: np.ndarray, freq: np.ndarray, kind: np.ndarray, payloads: list[np.ndarray], sizes: np.ndarray) -> list[np.ndarray]:
@@ -272,19 +273,21 @@ def decode_blocks(values: np.ndarray, freq: np.ndarray, kind: np.ndarray, payloa
     sizes = np.asarray(sizes)[order]
     n, longest = len(order), int(sizes[0])
     freq = freq.astype(np.int64)
-    start0, kinds = _starts(freq, kind), kind.astype(np.int16)
+    place0, kinds = _starts(freq, kind) << 16 | freq, kind.astype(np.int16)
     inverse = np.zeros(CLASSES << WITHIN, dtype=np.int32)
     by_class = np.argsort(kind, kind="stable")
     places = np.repeat(kind[by_class].astype(np.int64) << WITHIN, freq[by_class])
     inverse[places + np.arange(len(places)) % (1 << WITHIN)] = np.repeat(by_class, freq[by_class])
     lengths = np.array([len(payloads[i]) for i in order])
-    words = np.zeros((n, lengths.max() + 8), dtype=np.uint16)
+    rows = np.zeros((n, lengths.max() + 8), dtype=np.uint16)
     for k, i in enumerate(order):
-        words[k, : lengths[k]] = payloads[i]
+        rows[k, : lengths[k]] = payloads[i]
+    words = np.ascontiguousarray(rows.T)
+    del rows
     flat = words.reshape(-1)
-    fill = np.arange(n, dtype=np.int64) * words.shape[1] + 4  # where the next word of each lane comes from
-    head = words[:, :4].astype(np.uint64)
-    code = (head[:, 0] << _U(48)) | (head[:, 1] << _U(32)) | (head[:, 2] << _U(16)) | head[:, 3]
+    fill = np.arange(4 * n, 5 * n, dtype=np.int64)  # where the next word of each lane comes from
+    head = words[:4].astype(np.uint64)
+    code = (head[0] << _U(48)) | (head[1] << _U(32)) | (head[2] << _U(16)) | head[3]
     rng = np.full(n, (1 << 64) - 1, dtype=np.uint64)
     ids = np.zeros((longest + 2, n), dtype=np.int32)
     lanes = _Lanes(n)
@@ -308,9 +311,10 @@ def decode_blocks(values: np.ndarray, freq: np.ndarray, kind: np.ndarray, payloa
         place += own * np.int64(1 << WITHIN)
         now = inverse.take(place)
         share *= share0
-        start = share * start0.take(now)
+        both = place0.take(now)
+        start = share * (both >> 16)
         start += share0 * begin + taken
-        width = share * freq.take(now)
+        width = share * (both & 0xFFFF)
         at = np.flatnonzero(value < taken)
         share2 = lanes.share2[at].astype(np.int64) << _ORDER0
         two = value[at] < share2
@@ -325,12 +329,12 @@ def decode_blocks(values: np.ndarray, freq: np.ndarray, kind: np.ndarray, payloa
         shift = out * _U(16)
         cd <<= shift
         cd |= flat.take(fill[:m]) * out
-        fill[:m] += out
+        fill[:m] += out * n
         rg <<= shift
         at = np.flatnonzero(rg < _LEAST_RANGE)
         while len(at):
             cd[at] = (cd[at] << _U(16)) | flat[fill[at]]
-            fill[at] += 1
+            fill[at] += n
             rg[at] <<= _U(16)
             at = at[rg[at] < _LEAST_RANGE]
         code[:m], rng[:m] = cd, rg
@@ -408,14 +412,13 @@ def write_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int =
     """Encode ``docs`` and write them in ascending order of ids to files in ``folder``.
 
     Returns a table of the files: file, first (ids in all files before), documents, ids, bytes. A null id comes first, as
-    the smallest of longs; documents with equal ids are in the order of their texts' hashes.
+    the smallest of longs; documents with equal ids are in the order of the input.
     """
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), text_or_empty(text_col).alias("text"))
     parts = max(parallelism(spark), -(-size_of(docs) // PART_BYTES))
-    # the row's place in the input splits up the rows of one id and text, however many
-    keyed = texts.withColumn("h", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id())
-    sorted_docs = keyed.repartitionByRange(parts, "id", "h", "place").sortWithinPartitions("id", "h").select("id", "text")
+    # the row's place in the input splits up the rows of one id, however many, and needs no text where the ranges are sampled
+    sorted_docs = texts.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(parts, "id", "place").sortWithinPartitions("id", "place").select("id", "text")
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -449,6 +452,7 @@ def write_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int =
                         yield flush()
         if keys:
             yield flush()
+        give_back()
 
     files = materialize(sorted_docs.mapInArrow(run, "part long, k long, file string, documents long, ids long, bytes long"), "token-files")
     # running sums over the partitions' totals, one row each, and over the files within a partition
@@ -472,6 +476,7 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
                     hi = min(lo + 1000, len(keys))
                     cut = [raw[4 * (e - n) : 4 * e] for e, n in zip(ends[lo:hi].tolist(), lengths[lo:hi].tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array([name] * (hi - lo)), pa.array(keys[lo:hi]), pa.array((ends - lengths)[lo:hi]), pa.array(cut, pa.binary())], names=["file", "id", "at", "ids"])
+        give_back()
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gmtk").load(folder).select("path", "content")
     return files.mapInArrow(run, "file string, id long, at long, ids binary")

@@ -28,7 +28,8 @@ BYTE_LEVEL = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^\s0-9{LETTER
 WORD_LEVEL = rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\s0-9{LETTERS}]+"
 #: Words of the byte-level pattern for tiktoken, but for white space.
 PIECES = r"'(?:[stmd]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"
-SPACES = re.compile(r"\s\s")
+#: Without any of these, white space stands alone in a text of the characters above.
+RUNS = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\v", "\f")
 #: The names that byte-level vocabularies give to bytes: printable ones themselves, others from 256 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 NAMES = {b: b for b in _PRINTABLE} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
@@ -86,7 +87,7 @@ class ByteTokens:
         """Ids as little-endian unsigned 32-bit integers."""
         if not text.isascii() and NOT_PLAIN.search(text) or ("<|" in text and any(s in text for s in self.special)):
             return np.array(self.lib.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return array("I", (self.full if SPACES.search(text) else self.single)(text)).tobytes()
+        return array("I", (self.full if any(map(text.__contains__, RUNS)) else self.single)(text)).tobytes()
 
 
 def _ordered_merges(spec: dict) -> list[list[str]] | None:
