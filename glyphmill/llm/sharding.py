@@ -1,14 +1,18 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced together.
 
 A group is the documents of one text. Groups are dealt to cells by their hash; a group of more than one in SPLIT of all
-rows, bytes or tokens is split, so no group fills a shard or a task. Each cell packs its groups into as many
-bundles as there are shards, the largest first, each into the bundle where the dot product of its size and the residual
-capacity is highest. The bundles of all cells, a few numbers each, are then placed in the shards in the same way and swapped
+rows, bytes or tokens, or of over GROUP_ROWS rows, is split, so no group fills a shard or a task. Each cell packs its groups
+into as many bundles as there are shards, the largest first, each into the bundle where the dot product of its size and the
+residual capacity is highest. The bundles of FAN cells are packed into the bundles of a cell above in the same way, level
+by level, until at most FAN cells are left; their bundles, a few thousand, are placed in the shards likewise and swapped
 between shards while that evens out bytes, tokens and rows. ``slot`` counts a shard's documents from 0 without gaps.
 
-Defined results: a null text has no bytes and counts as an empty one. A null id sorts first. Rows that share id and text
-are kept apart. An empty table gives an empty table; other columns are not read. The result does not depend on how
-the input is partitioned but for the number of cells.
+Rows that share id and text are alike: they move as one row with a count and are told apart by their slots only.
+
+Defined results: a null text has no bytes and counts as an empty one. A null id, of any type that ids may have, stays null
+and sorts first. Ids are whole numbers or strings; others raise TypeError. Ties go by text hash and id. An empty table
+gives an empty table; other columns are not read. The result does not depend on how the input is partitioned but for
+the number of cells, which follows the rows and the setting of shuffle partitions.
 """
 
 from __future__ import annotations
@@ -18,12 +22,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import materialize, parallelism
+from glyphmill.llm.common import BROADCAST_ROWS, hot_key_join, materialize, parallelism
 
 #: A group over one in so many rows, bytes or tokens is split: there are fewer than 3 * SPLIT such groups.
 SPLIT = 256
-#: Rows to a cell, about.
-CELL_ROWS = 100_000
+#: Rows to a cell, about; rows from which a group is split; cells whose bundles are packed together.
+CELL_ROWS, GROUP_ROWS, FAN = 100_000, 400_000, 256
 
 
 def place(sizes: np.ndarray, bins: int) -> np.ndarray:
@@ -76,51 +80,91 @@ def even_out(sizes: np.ndarray, where: np.ndarray, bins: int, weight: tuple[floa
     return where
 
 
-def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(sizes: np.ndarray, bins: int) -> np.ndarray:
+    """The bin of each of ``sizes``, placed the largest first; of equals in their order."""
+    order = np.argsort(-(sizes / np.maximum(sizes.sum(0), 1e-12)).max(1), kind="stable")
+    out = np.empty(len(sizes), dtype=np.int64)
+    out[order] = place(sizes[order], bins)
+    return out
+
+
+def _fold(bundles: DataFrame, cells: int, shards: int, fan: int) -> DataFrame:
+    """cell, bundle, shard, first (the slots before it) of the bundles (cell, bundle, b, t, n) of all cells."""
+    spark = bundles.sparkSession
+
+    def above(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["cell", "bundle"], ignore_index=True)
+        group["up_bundle"] = pack(group[["b", "t", "n"]].to_numpy(dtype=float), shards).astype("int32")
+        group["first"] = group.groupby("up_bundle")["n"].cumsum() - group["n"]
+        return group[["cell", "bundle", "b", "t", "n", "up", "up_bundle", "first"]]
+
+    steps = []
+    while cells > fan:
+        packed = bundles.withColumn("up", F.floor(F.col("cell") / fan).cast("int")).groupBy("up").applyInPandas(above, "cell int, bundle int, b long, t long, n long, up int, up_bundle int, first long")
+        packed = materialize(packed, "shard-level")
+        steps.append(packed.select("cell", "bundle", "up", "up_bundle", "first"))
+        bundles = packed.groupBy(F.col("up").alias("cell"), F.col("up_bundle").alias("bundle")).agg(F.sum("b").alias("b"), F.sum("t").alias("t"), F.sum("n").alias("n"))
+        cells = -(-cells // fan)
+    top = bundles.toPandas().sort_values(["cell", "bundle"], ignore_index=True)  # fan * shards rows at most
+    sizes = top[["b", "t", "n"]].to_numpy(dtype=float)
+    order = np.argsort(-(sizes / np.maximum(sizes.sum(0), 1e-12)).max(1), kind="stable")
+    top["shard"] = 0
+    top.loc[order, "shard"] = even_out(sizes[order], place(sizes[order], shards), shards)
+    top = top.sort_values(["shard", "cell", "bundle"], ignore_index=True)
+    top["first"] = top.groupby("shard")["n"].cumsum() - top["n"]
+    where = spark.createDataFrame(top[["cell", "bundle", "shard", "first"]], "cell int, bundle int, shard int, first long")
+    for step in reversed(steps):
+        up = F.broadcast(where) if step is steps[-1] else where
+        up = up.select(F.col("cell").alias("up"), F.col("bundle").alias("up_bundle"), "shard", F.col("first").alias("up_first"))
+        where = step.join(up, ["up", "up_bundle"]).select("cell", "bundle", "shard", (F.col("first") + F.col("up_first")).alias("first"))
+    return where
+
+
+def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", cell_rows: int = CELL_ROWS, group_rows: int = GROUP_ROWS, fan: int = FAN) -> DataFrame:
     """id, size, text_crc32, shard, slot for each row; size is the text's bytes and 1 for its end."""
     spark = docs.sparkSession
+    kind = docs.select(id_col).schema[0].dataType.simpleString()
+    if kind not in ("bigint", "int", "smallint", "tinyint", "string"):
+        raise TypeError(f"ids of type {kind}")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     words = F.length(text) - F.length(F.translate(text, " \t\n\r\f\x0b", "")) + 1
-    rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), words.cast("long").alias("tokens"), F.crc32(text.cast("binary")).alias("crc"), F.unhex(F.md5(text)).alias("digest"), F.monotonically_increasing_id().alias("uid"))
-    rows = materialize(rows, "shard-rows")
-    n, size, tokens = rows.agg(F.count(F.lit(1)), F.sum("size"), F.sum("tokens")).first()
+    rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), words.cast("long").alias("tokens"), F.crc32(text.cast("binary")).alias("crc"), F.unhex(F.md5(text)).alias("digest"))
+    rows = materialize(rows.groupBy("id", "digest", "size", "tokens", "crc").agg(F.count(F.lit(1)).alias("n")), "shard-rows")
+    n, size, tokens = rows.agg(F.sum("n"), F.sum(F.col("size") * F.col("n")), F.sum(F.col("tokens") * F.col("n"))).first()
     if not n:
         return rows.select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
-    groups = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("b"), F.sum("tokens").alias("t"))
-    part = F.ceil(F.greatest(F.col("n") / n, F.col("b") / size, F.col("t") / tokens) * SPLIT)
-    heavy = groups.select("digest", part.cast("long").alias("parts")).where("parts > 1")  # fewer than 3 * SPLIT rows
-    cells = max(parallelism(spark), -(-n // CELL_ROWS))
-    keyed = rows.join(F.broadcast(heavy), "digest", "left").withColumn("salt", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("uid"), F.col("parts"))).otherwise(F.lit(0)))
+    # groups that are split: fewer than 3 * SPLIT + n / GROUP_ROWS rows, each with the number of its parts
+    groups = rows.groupBy("digest").agg(F.sum("n").alias("rows"), F.first("size").alias("b"), F.first("tokens").alias("t"))
+    share = F.greatest(F.col("rows") / n, F.col("rows") * F.col("b") / size, F.col("rows") * F.col("t") / tokens)
+    heavy = groups.select("digest", "rows", F.ceil(F.greatest(share * SPLIT, F.col("rows") / group_rows)).cast("long").alias("parts")).where("parts > 1")
+    heavy = materialize(heavy, "shard-heavy")
+    n_heavy = heavy.count()
+    if n_heavy <= BROADCAST_ROWS:
+        keyed = rows.join(F.broadcast(heavy.select("digest", "parts")), "digest", "left")
+    else:
+        keyed = hot_key_join(rows, heavy, ["digest"], "rows", n).drop("rows")
+    # a row of a split group goes to the part of its id's hash; alike rows, of which one part would have too many, to all parts
+    parts = F.coalesce("parts", F.lit(1))
+    many = (parts > 1) & (F.col("n") >= parts)
+    keyed = keyed.withColumn("salt", F.explode(F.when(many, F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), parts)))))
+    keyed = keyed.withColumn("n", F.when(many, F.floor(F.col("n") / parts) + F.when(F.col("salt") < F.col("n") % parts, 1).otherwise(0)).otherwise(F.col("n")).cast("long"))
+    cells = max(parallelism(spark), -(-n // cell_rows))
     keyed = keyed.withColumn("cell", F.pmod(F.xxhash64("digest", "salt"), F.lit(cells)).cast("int"))
 
     def pack_cell(cell: pd.DataFrame) -> pd.DataFrame:
-        cell = cell.sort_values(["digest", "salt", "id", "uid"], ignore_index=True)
+        cell = cell.sort_values(["digest", "salt", "none", "id"], ascending=[True, True, False, True], ignore_index=True)
         group = cell.groupby(["digest", "salt"], sort=False).ngroup().to_numpy()
-        sizes = np.zeros((group.max() + 1, 3))
-        for k, c in enumerate((cell["size"], cell["tokens"], np.ones(len(cell)))):
-            np.add.at(sizes[:, k], group, np.asarray(c, dtype=float))
-        order = np.argsort(-(sizes / sizes.sum(0)).max(1), kind="stable")
-        bundle = np.empty(len(sizes), dtype=np.int64)
-        bundle[order] = place(sizes[order], shards)
-        cell["bundle"] = bundle[group].astype("int32")
-        cell["at"] = cell.groupby("bundle").cumcount().astype("int64")
-        return cell[["id", "size", "tokens", "crc", "cell", "bundle", "at"]]
-
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
-    if kind not in ("bigint", "int", "smallint", "tinyint", "string"):
-        raise TypeError(f"ids of type {kind}")
-    packed = keyed.select("id", "size", "tokens", "crc", F.col("digest"), "salt", "cell", "uid").withColumn("digest", F.hex("digest"))
-    nulls = packed.withColumn("none", F.col("id").isNull()).withColumn("id", F.coalesce("id", F.lit(-(1 << 63) if kind != "string" else "").cast(kind)))
-    out = nulls.repartition(cells, "cell").groupBy("cell").applyInPandas(pack_cell, f"id {kind}, size long, tokens long, crc long, cell int, bundle int, at long")
+        count = cell["n"].to_numpy()
+        sizes = np.stack([np.bincount(group, c * count) for c in (cell["size"].to_numpy(dtype=float), cell["tokens"].to_numpy(dtype=float), 1.0)], axis=1)
+        cell["bundle"] = pack(sizes, shards)[group].astype("int32")
+        cell["at"] = (cell.groupby("bundle")["n"].cumsum() - cell["n"]).astype("int64")
+        return cell[["id", "none", "size", "tokens", "crc", "n", "cell", "bundle", "at"]]
+
+    packed = keyed.select(F.coalesce("id", F.lit("" if kind == "string" else 0).cast(kind)).alias("id"), F.col("id").isNull().alias("none"), "size", "tokens", "crc", "n", F.hex("digest").alias("digest"), "salt", "cell")
+    out = packed.repartition(cells, "cell").groupBy("cell").applyInPandas(pack_cell, f"id {kind}, none boolean, size long, tokens long, crc long, n long, cell int, bundle int, at long")
     out = materialize(out, "shard-cells")
-    # bundles: cells * shards rows, far fewer than documents
-    bundles = out.groupBy("cell", "bundle").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")).toPandas()
-    sizes = bundles[["b", "t", "n"]].to_numpy(dtype=float)
-    order = np.lexsort((bundles["bundle"], bundles["cell"], -(sizes / sizes.sum(0)).max(1)))
-    bundles["shard"] = 0
-    bundles.loc[bundles.index[order], "shard"] = even_out(sizes[order], place(sizes[order], shards), shards)
-    bundles = bundles.sort_values(["shard", "cell", "bundle"], ignore_index=True)
-    bundles["first"] = bundles.groupby("shard")["n"].cumsum() - bundles["n"]
-    where = spark.createDataFrame(bundles[["cell", "bundle", "shard", "first"]], "cell int, bundle int, shard int, first long")
-    id_back = F.col("id") if kind == "string" else F.when(F.col("id") != -(1 << 63), F.col("id")) if kind == "bigint" else F.col("id")
-    return out.join(F.broadcast(where), ["cell", "bundle"]).select(id_back.alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", (F.col("first") + F.col("at")).alias("slot"))
+    bundles = out.groupBy("cell", "bundle").agg(F.sum(F.col("size") * F.col("n")).alias("b"), F.sum(F.col("tokens") * F.col("n")).alias("t"), F.sum("n").alias("n"))
+    where = _fold(bundles, cells, shards, fan)
+    where = F.broadcast(where) if cells * shards <= BROADCAST_ROWS else where
+    found = out.join(where, ["cell", "bundle"]).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    return found.select(F.when(~F.col("none"), F.col("id")).alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", (F.col("first") + F.col("at") + F.col("k")).alias("slot"))
