@@ -9,12 +9,16 @@ smallest hashes of their ids) is dealt into layouts drawn at random, whose menus
 forms and comments are known; and the pages themselves are labelled where their tags say plainly what a block is. Words
 are the same inside and outside the main text, so only layout and context are learned. Every page is labelled.
 
-Defined results: a null page is empty; a page without blocks has an empty text. Scripts, styles, head, comments,
-templates and other unseen elements give no blocks. Unclosed and stray tags are borne as browsers do, roughly: a new
-paragraph ends the one before, an end tag without a start is left out. A head without an end tag ends at the first tag that
-a head can't hold, an option at the next option or at the end or start of what is around it; of the other unseen elements only
-those of raw text (script, style, title, textarea, noscript, iframe) reach to the page's end without one. Rows that repeat are labelled alike. White space,
-no-break spaces included, becomes one space. An empty table gives an empty table; other columns are not read.
+Defined results: a null page is empty; a page without blocks has an empty text. Scripts, styles, head, comments and the
+fields of forms (textarea, select, option) give no blocks. What stands in for pictures, formulas, sounds and scripts (svg,
+math, object, canvas, audio, video, iframe, noscript, template) is read as the text it holds. Unclosed and stray tags are
+borne as browsers do, roughly: a new paragraph ends the one before, an end tag without a start is left out. A head without an
+end tag ends at the first tag that a head can't hold, an option at the next option or at the end or start of what is around
+it; of the other unseen elements only those of raw text (script, style, title, textarea) reach to the page's end without one.
+Rows that repeat are labelled alike; a row without an id is labelled, but never learned from. White space, no-break spaces
+included, becomes one space. A page of any length is labelled in one run; from BATCH_BLOCKS blocks on, its numbers are made a
+part at a time, for either direction, while the network's state is carried on. Time and memory follow the length of a page,
+however deep its elements are nested. An empty table gives an empty table; other columns are not read, whatever they are called.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import text_or_empty
+from glyphmill.llm.common import free_name, text_or_empty
 
 #: Pages to fit on, at most.
 SAMPLE = 300
@@ -39,9 +43,10 @@ PATHS, PATH_DIM, WORDS, WORD_DIM, NUMBERS, CELLS = 4096, 24, 8192, 8, 7, 24
 #: Blocks in a batch of pages that is labelled at once.
 BATCH_BLOCKS = 20_000
 
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym audio b bdi bdo big canvas cite code data dfn em font i iframe img ins kbd label mark math noscript object q s samp small span strike strong sub sup svg template time tt u var video wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-UNSEEN = frozenset("script style head title template noscript iframe object svg math textarea select option canvas audio video".split())
+UNSEEN = frozenset("script style head title textarea select option".split())
+MAIN_TAGS = frozenset(["article", "main"])
 #: An open element of the first set is ended by the start of one of the second.
 ENDED_BY = {
     "p": frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul li".split()),
@@ -57,17 +62,22 @@ NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""",
 PART = re.compile(r"[A-Za-z]+")
 END_OF = {t: re.compile(rf"</{t}\b[^>]*>?", re.I) for t in UNSEEN}
 #: Unseen elements whose text is no markup: without an end tag they reach to the page's end.
-RAW = frozenset("script style title textarea noscript iframe".split())
+RAW = frozenset("script style title textarea".split())
 #: What a head can hold; any other tag ends it.
 IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 #: Tags that end an option, besides end tags other than its own inline ones'.
 AFTER_OPTION = frozenset("option optgroup select datalist".split())
 
 
-def unseen_end(html: str, at: int, tag: str) -> int:
-    """Where the unseen element ends whose start tag ends at ``at``. Without an end tag, an element that isn't raw text is only its start tag."""
+def unseen_end(html: str, at: int, tag: str, endless: set[str]) -> int:
+    """Where the unseen element ends whose start tag ends at ``at``. Without an end tag, an element that isn't raw text is only its start tag.
+
+    ``endless`` remembers of which tags no end follows, so the page is searched for them once.
+    """
     if tag not in ("head", "option"):
-        end = END_OF[tag].search(html, at)
+        end = None if tag in endless else END_OF[tag].search(html, at)
+        if end is None:
+            endless.add(tag)
         return end.end() if end else len(html) if tag in RAW else at
     while (m := TAG.search(html, at)) is not None:
         name = (m[2] or "").lower()
@@ -80,32 +90,58 @@ def unseen_end(html: str, at: int, tag: str) -> int:
         elif tag == "head" and name not in IN_HEAD or tag == "option" and (name in AFTER_OPTION or name not in INLINE and name not in UNSEEN):
             return m.start()
         else:
-            at = unseen_end(html, m.end(), name) if not m[1] and name in UNSEEN and not m[3].rstrip().endswith("/") else m.end()
+            at = unseen_end(html, m.end(), name, endless) if not m[1] and name in UNSEEN and not m[3].rstrip().endswith("/") else m.end()
     return len(html) if tag == "option" else at
 
 
+class Path:
+    """An element's place in a page: its tag with its class, id and role, and the place it is in.
+
+    Places share what they have in common: ``rows``, those of the vectors of all tags and names on the path, are the
+    ones of the place around where nothing is added, so deep nesting costs no more than its new names.
+    """
+
+    __slots__ = ("around", "item", "labels", "last", "main", "rows")
+
+    def __init__(self, around: Path | None, item: str):
+        tag, _, names = item.partition(" ")
+        own = {f"<{tag}"}
+        for w in PART.findall(names):
+            own |= {"." + w.lower(), "." + w.lower()[:5] + "*"}
+        new = frozenset(zlib.crc32(r.encode()) % PATHS for r in own)
+        before = around.rows if around else frozenset()
+        self.around, self.item = around, item
+        self.rows = before if new <= before else before | new
+        self.last = tag if tag not in INLINE else around.last if around else ""
+        self.main = tag in MAIN_TAGS or bool(around and around.main)
+        self.labels: dict[bool, int | None] = {}
+
+
 @dataclass
 class Block:
     text: str
-    path: tuple[str, ...]
+    path: Path | None
     linked: int  # characters inside links
 
 
 def blocks(html: str) -> list[Block]:
     """The blocks of a page in their order."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []  # tag, and tag with its class, id and role
+    stack: list[tuple[str, Path]] = []
+    solid: list[int] = []  # places in the stack of the elements that aren't inline
+    opened: dict[str, int] = {}
+    endless: set[str] = set()
     text: list[str] = []
     linked = [0]
-    path: list[tuple[str, ...]] = [()]
+    path: list[Path | None] = [None]
 
     def add(raw: str) -> None:
         if raw:
             if not text and not raw.isspace():
-                path[0] = tuple(s[1] for s in stack)
+                path[0] = stack[-1][1] if stack else None
             if text or not raw.isspace():
                 text.append(raw)
-                if any(s[0] == "a" for s in stack):
+                if opened.get("a"):
                     linked[0] += len(raw)
 
     def flush() -> None:
@@ -116,6 +152,13 @@ def blocks(html: str) -> list[Block]:
             text.clear()
         linked[0] = 0
 
+    def close(k: int) -> None:
+        for tag, _ in stack[k:]:
+            opened[tag] -= 1
+        del stack[k:]
+        while solid and solid[-1] >= k:
+            solid.pop()
+
     at, n = 0, len(html)
     while at < n:
         m = TAG.search(html, at)
@@ -131,50 +174,43 @@ def blocks(html: str) -> list[Block]:
         if m[1]:
             if tag not in INLINE:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if opened.get(tag):
+                k = len(stack) - 1
+                while stack[k][0] != tag:
+                    k -= 1
+                close(k)
             continue
         if tag in UNSEEN:
             flush()
             if not m[3].rstrip().endswith("/"):
-                at = unseen_end(html, at, tag)
+                at = unseen_end(html, at, tag, endless)
             continue
         if tag not in INLINE:
             flush()
             # what this tag ends, looking through inline elements only
-            for k in range(len(stack) - 1, -1, -1):
-                if tag in ENDED_BY.get(stack[k][0], ()):
-                    del stack[k:]
-                    break
-                if stack[k][0] not in INLINE:
-                    break
+            if solid and tag in ENDED_BY.get(stack[solid[-1]][0], ()):
+                close(solid[-1])
         if tag not in VOID and not m[3].endswith("/"):
             names = " ".join(x.strip("\"'") for x in NAMED.findall(m[3])) if m[3] else ""
-            stack.append((tag, f"{tag} {names}" if names else tag))
+            if tag not in INLINE:
+                solid.append(len(stack))
+            stack.append((tag, Path(stack[-1][1] if stack else None, f"{tag} {names}" if names else tag)))
+            opened[tag] = opened.get(tag, 0) + 1
     flush()
     return out
 
 
-def path_parts(path: tuple[str, ...]) -> list[int]:
+def path_rows(path: Path | None) -> list[int]:
     """Rows of the path's vectors: its tags, the words of their classes, ids and roles and how these begin, and its last tag."""
-    rows = set()
-    for item in path:
-        tag, _, names = item.partition(" ")
-        rows.add(f"<{tag}")
-        for w in PART.findall(names):
-            rows.add("." + w.lower())
-            rows.add("." + w.lower()[:5] + "*")
-    rows.add("/" + next((t for t in (i.partition(" ")[0] for i in reversed(path)) if t not in INLINE), ""))
-    return sorted(zlib.crc32(r.encode()) % PATHS for r in rows)
+    last = zlib.crc32(b"/" + (path.last if path else "").encode()) % PATHS
+    return sorted((path.rows if path else frozenset()) | {last})
 
 
 class Reader:
     """Blocks as numbers; remembers paths and words."""
 
     def __init__(self) -> None:
-        self.paths: dict[tuple[str, ...], list[int]] = {}
+        self.paths: dict[tuple, list[int]] = {}
         self.words: dict[str, int] = {}
 
     def read(self, page: list[Block]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
@@ -186,8 +222,9 @@ class Reader:
             self.words.clear()
         known = self.words
         for k, b in enumerate(page):
-            if (p := self.paths.get(b.path)) is None:
-                p = self.paths[b.path] = path_parts(b.path)
+            place = (b.path.rows, b.path.last) if b.path else None
+            if (p := self.paths.get(place)) is None:
+                p = self.paths[place] = path_rows(b.path)
             paths.append(p)
             own = b.text.split(" ")
             ids = list(map(known.get, own))
@@ -314,15 +351,44 @@ class Labeller:
                     second[k] += 0.001 * (gk**2 - second[k])
                     self.p[k] -= rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
 
-    def label(self, pages: list[tuple]) -> list[np.ndarray]:
+    def long(self, page: tuple, part: int) -> np.ndarray:
+        """Logits of one page's blocks; vectors are made for ``part`` blocks at a time and no state is kept but the last."""
+        paths, words, numbers = page
+        n = len(numbers)
+        logits = np.full(n, self.p["c"][0])
+        size = PATH_DIM + WORD_DIM + NUMBERS
+        v = self.p["v"]
+        for k, d in enumerate("fb"):
+            h, c = np.zeros(CELLS), np.zeros(CELLS)
+            w, z = self.p["w" + d], self.p["z" + d]
+            starts = range(0, n, part)
+            for lo in starts if d == "f" else reversed(starts):
+                hi = min(lo + part, n)
+                x, _ = self.vectors(paths[lo:hi], words[lo:hi], numbers[lo:hi])
+                if d == "f":
+                    logits[lo:hi] += x @ v[2 * CELLS :]
+                xw = x @ w[:size] + z
+                out = np.empty((hi - lo, CELLS))
+                for t in range(hi - lo) if d == "f" else range(hi - lo - 1, -1, -1):
+                    g = xw[t] + h @ w[size:]
+                    gates = _sigmoid(g)
+                    c = gates[CELLS : 2 * CELLS] * c + gates[:CELLS] * np.tanh(g[2 * CELLS : 3 * CELLS])
+                    h = out[t] = gates[3 * CELLS :] * np.tanh(c)
+                logits[lo:hi] += out @ v[k * CELLS : (k + 1) * CELLS]
+        return logits
+
+    def label(self, pages: list[tuple], most: int = BATCH_BLOCKS) -> list[np.ndarray]:
         """Whether each block is main text."""
         got: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
-        todo = [k for k, p in enumerate(pages) if len(p[2])]
+        for k, p in enumerate(pages):
+            if len(p[2]) > most:
+                got[k] = self.long(p, most) > 0
+        todo = [k for k, p in enumerate(pages) if 0 < len(p[2]) <= most]
         todo.sort(key=lambda k: len(pages[k][2]))
         at = 0
         while at < len(todo):
             batch, n = [], 0
-            while at < len(todo) and (not batch or n + len(pages[todo[at]][2]) <= BATCH_BLOCKS):
+            while at < len(todo) and (not batch or n + len(pages[todo[at]][2]) <= most):
                 batch.append(todo[at])
                 n += len(pages[todo[at]][2])
                 at += 1
@@ -340,20 +406,27 @@ AROUND_WORDS = frozenset(
     "ad ads advert adverts advertisement banner sponsor sponsored promo sidebar widget menu nav navbar navigation breadcrumb breadcrumbs header masthead footer comment comments reply replies respond "
     "disqus cookie cookies consent notice notices alert warning popup modal overlay newsletter subscribe signup login search share sharing social related recommended trending toolbar pagination pager copyright legal disclaimer toc skip contentinfo complementary".split()
 )
-MAIN_TAGS = frozenset(["article", "main"])
-
-
 def plain_label(b: Block) -> int | None:
     """1 and 0 where the path says it plainly, else None. What is nearer to the block counts more."""
-    for item in reversed(b.path):
-        tag, _, names = item.partition(" ")
-        if tag == "header" and any(i.split(" ")[0] in MAIN_TAGS for i in b.path):
-            continue
-        if tag in AROUND_TAGS or any(w.lower() in AROUND_WORDS for w in PART.findall(names)):
-            return 0
-        if tag in MAIN_TAGS:
-            return 1
-    return None
+    inside = bool(b.path and b.path.main)  # a header inside the main text has its title
+    place, passed, label = b.path, [], None
+    while place:
+        if inside in place.labels:
+            label = place.labels[inside]
+            break
+        passed.append(place)
+        tag, _, names = place.item.partition(" ")
+        if not (tag == "header" and inside):
+            if tag in AROUND_TAGS or any(w.lower() in AROUND_WORDS for w in PART.findall(names)):
+                label = 0
+                break
+            if tag in MAIN_TAGS:
+                label = 1
+                break
+        place = place.around
+    for place in passed:
+        place.labels[inside] = label
+    return label
 
 
 def made_page(rng: np.random.Generator, texts: list[str]) -> tuple[str, list[int]]:
@@ -466,10 +539,10 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sampl
     return train([r["html"] for r in sorted(got, key=lambda r: r["id"])])
 
 
-def extract(pages: DataFrame, model: Labeller, keep: list[str], html_col: str = "html") -> DataFrame:
-    """The columns ``keep`` of ``pages`` and ``__text``, the main text; no shuffle."""
+def extract(pages: DataFrame, model: Labeller, keep: list[str], html_col: str = "html", name: str = "text") -> DataFrame:
+    """The columns ``keep`` of ``pages`` and ``name``, the main text; no shuffle."""
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", `__text` string"
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + f", `{name}` string"
     shared = pages.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -480,6 +553,6 @@ def extract(pages: DataFrame, model: Labeller, keep: list[str], html_col: str =
                 own = [blocks(h) for h in rows.column(len(keep)).to_pylist()]
                 main = shared.value.label([reader.read(b) for b in own])
                 texts = [" ".join(b.text for b, m in zip(page, said, strict=True) if m) for page, said in zip(own, main, strict=True)]
-                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(texts, pa.string())], names=[*keep, "__text"])
+                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(texts, pa.string())], names=[*keep, name])
 
-    return pages.select(*[F.col(f"`{c}`") for c in keep], text_or_empty(html_col).alias("__html")).mapInArrow(run, schema)
+    return pages.select(*[F.col(f"`{c}`") for c in keep], text_or_empty(html_col).alias(free_name(pages, "html_read"))).mapInArrow(run, schema)
