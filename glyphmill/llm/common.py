@@ -16,19 +16,35 @@ HOT_SHARE = 512
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (tests, local mode) a folder of this machine is set."""
+    """The folder in ``spark.checkpoint.dir``. Where that is unset, local mode (tests) sets a folder of this machine; a cluster, where others couldn't read it, fails."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.conf.get("spark.glyphmill.shared.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="glyphmill-")
         spark.conf.set("spark.glyphmill.shared.dir", root)
     return root.rstrip("/")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """This application's folder in the shared one."""
+    return f"{shared_root(spark)}/glyphmill/{spark.sparkContext.applicationId}"
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_root(spark)}/glyphmill/{name}-{uuid.uuid4().hex}"
+    """A new path in this application's shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` is called so, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -45,9 +61,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Delete all intermediate tables of this subpackage from the shared folder."""
+    """Delete this application's intermediate tables from the shared folder, none of others'; results not yet read are lost."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/glyphmill")
+    path = jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

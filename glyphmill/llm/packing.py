@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm.common import materialize, text_or_empty
-from glyphmill.llm.remember import claim
+from glyphmill.llm.remember import claim, give_back
 
 WINDOW, OPEN, SCRAP, GROUP = 2048, 16, 8, 16
 FIELDS = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -127,6 +127,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str = "d
             for _, pieces in windows.open:
                 windows.emit(pieces)
             yield table(windows.out, like, part, True)
+        give_back()
 
     def merged(key: tuple, rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("sequence_id", "ascending"), ("offset", "ascending")])

@@ -6,7 +6,8 @@ most ``radius`` bits crosses the border only from the last ``radius`` distances
 on the outer side too. So every linked pair meets in a leaf of the tree. The leaves are the shards; each grows its own
 tree in the same way down to small blocks, where all pairs are compared. Fingerprints that no vantage point parts (a
 dense group) stay in one block, compared in tiles; a shard says of each linked node which root it has there, so no
-group's pairs are ever emitted.
+group's pairs are ever emitted. A shard of over CROWD fingerprints, as a dense group may make, is cut into segments, and
+each pair of segments is a task of its own.
 
 Several fingerprints of a document, of other hashes of its shingles, may be linked at once: copies whose first
 fingerprints differ in a bit too many meet in another.
@@ -27,12 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import hot_key_join, materialize, parallelism, text_or_empty
+from glyphmill.llm.common import free_name, hot_key_join, materialize, parallelism, text_or_empty
 from glyphmill.llm.components import join_roots, local_roots
-from glyphmill.llm.remember import claim
+from glyphmill.llm.remember import claim, give_back
 
 #: Fingerprints to grow the shards' tree over, at least (if there are as many) and at most, and those to a shard.
 SAMPLE, MOST_SAMPLE, SHARD = 20_000, 400_000, 50_000
+#: Fingerprints of a shard from which it is cut into segments of half as many.
+CROWD = 200_000
 #: Fingerprints to a block in which all pairs are compared.
 BLOCK = 192
 #: Side of the tiles in which a large block is compared.
@@ -96,6 +99,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     more += [majority(remix(h, k)) for k in range(1, further + 1)]
                 lists = pa.ListArray.from_arrays(pa.array([k * further for k in range(len(fps) + 1)], pa.int32()), pa.array(np.array(more, dtype=np.uint64).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), lists], names=["id", "fp", "more"])
+        give_back()
 
     return docs.select(F.col(id_col), text_or_empty(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long, more array<long>")
 
@@ -185,7 +189,7 @@ def links(points: np.ndarray, radius: int, block: int = BLOCK) -> tuple[np.ndarr
     return np.concatenate(left or [np.zeros(0, int)]), np.concatenate(right or [np.zeros(0, int)])
 
 
-def components_of(fps: DataFrame, radius: int = 2, shard: int = SHARD, further: int = 0) -> DataFrame:
+def components_of(fps: DataFrame, radius: int = 2, shard: int = SHARD, further: int = 0, crowd: int = CROWD) -> DataFrame:
     """id, fp, comp (the smallest id reachable by links of at most ``radius`` bits) for ``fps`` (id, fp, more), a table.
 
     With ``further`` fingerprints, rows are linked if any of theirs are; each has trees and shards of its own.
@@ -231,7 +235,19 @@ def components_of(fps: DataFrame, radius: int = 2, shard: int = SHARD, further:
         return pd.DataFrame({"node": ids[touched], "root": ids[root[touched]]})
 
     shards = points.mapInPandas(dealt, "kind int, leaf int, node long, fp long")
-    found = shards.repartition(n_shards, "kind", "leaf").groupBy("kind", "leaf").applyInPandas(linked, "node long, root long")
+    keys = ["kind", "leaf"]
+    if (further + 1) * n_nodes > crowd:  # else no shard is crowded
+        shards = materialize(shards, "simhash-shards")
+        # a shard has at least ``crowd`` points here, so there are few
+        cut = shards.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / (crowd / 2)).cast("int").alias("cuts")).where(F.col("cuts") > 2).collect()
+        if cut:
+            cuts = F.broadcast(spark.createDataFrame(cut, "kind int, leaf int, cuts int"))
+            shards = shards.join(cuts, keys, "left").fillna(1, ["cuts"]).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("cuts")).cast("int"))
+            shards = shards.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+            shards = shards.where("own <> other or cuts = 1")  # a segment meets itself in its pairs with others
+            shards = shards.select(*keys, "node", "fp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+            keys += ["i", "j"]
+    found = shards.repartition(n_shards, *keys).groupBy(*keys).applyInPandas(linked, "node long, root long")
     found = found.unionByName(same) if same is not None else found
     comps = join_roots(materialize(found, "simhash-roots"))
     named = nodes.join(comps, "node", "left").select("fp", "n", F.coalesce("comp", "node").alias("comp"))
@@ -253,16 +269,16 @@ def keep_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     Rows are numbered in a table first and linked by number, so rows that share an id are told apart.
     """
-    names = docs.columns
-    numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "simhash-input")
-    fps = materialize(fingerprints(numbered, "__row", text_col, shingle, further=further), "simhash-fingerprints")
-    comps = materialize(components_of(fps, radius, further=further).select(F.col("id").alias("__row"), "comp"), "simhash-rows")
+    row, own = free_name(docs, "row"), free_name(docs, "own")
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "simhash-input")
+    fps = materialize(fingerprints(numbered, row, text_col, shingle, further=further), "simhash-fingerprints")
+    comps = materialize(components_of(fps, radius, further=further).select(F.col("id").alias(row), "comp"), "simhash-rows")
     # components of one row stay whatever its id is
     shared = materialize(comps.groupBy("comp").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "simhash-shared")
     grouped = hot_key_join(comps, shared, ["comp"], "rows", comps.count()).where("rows is not null").drop("rows")
     grouped = materialize(grouped, "simhash-grouped")
-    ids = numbered.select("__row", F.col(id_col).alias("__id")).join(grouped, "__row")
+    ids = numbered.select(row, F.col(id_col).alias(own)).join(grouped, row)
     ids = materialize(ids, "simhash-ids")
-    keep = ids.groupBy("comp").agg(F.min(F.struct("__id", "__row"))["__row"].alias("__row"))
-    gone = ids.select("__row").join(keep, "__row", "left_anti")
-    return numbered.join(gone, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in names])
+    keep = ids.groupBy("comp").agg(F.min(F.struct(own, row))[row].alias(row))
+    gone = ids.select(row).join(keep, row, "left_anti")
+    return numbered.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -10,7 +10,9 @@ either label where there are as many); every row is scored, over its whole text.
 
 Defined results: a null text counts as empty; a text without words gets the score of no filter answering. Rows that
 repeat are scored alike. Without labelled rows of both labels, all scores are 0. Labels of one id that differ count as
-toxic. An empty table gives an empty table; other columns are not read.
+toxic. A row without an id is scored, never learned from, and not held out. A text of any length is scored whole, in
+spans that overlap by a filter's width. An empty table gives an empty table; other columns are not read, whatever they
+are called.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import text_or_empty
-from glyphmill.llm.remember import claim
+from glyphmill.llm.common import free_name, text_or_empty
+from glyphmill.llm.remember import claim, give_back
 
 WORDS = re.compile(r"[^\W\d_]+")
 #: Hashed vectors, their length, the beginnings of a word that have one, filters of each width, and the widths.
@@ -256,8 +258,8 @@ def _threshold(logits: np.ndarray, y: np.ndarray) -> float:
 
 
 def held_out(column: str):
-    """Whether crc32 of the id as text leaves no rest of 5: such rows are never learned from."""
-    return F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0
+    """Whether crc32 of the id as text leaves no rest of 5: such rows are never learned from. False for a null id."""
+    return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model | None:
@@ -272,10 +274,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit([r["text"] for r in got], [r["y"] for r in got])
 
 
-def score(docs: DataFrame, model: Model | None, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` of ``docs``, score (0 to 1; from 0.5 the text is toxic); no shuffle."""
+def score(docs: DataFrame, model: Model | None, keep: list[str], text_col: str = "text", name: str = "score") -> DataFrame:
+    """The columns ``keep`` of ``docs`` and ``name``, the score (0 to 1; from 0.5 the text is toxic); no shuffle."""
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", `__score` double"
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + f", `{name}` double"
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: ROWS x DIM numbers and the filters
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,6 +303,8 @@ def score(docs: DataFrame, model: Model | None, keep: list[str], text_col: str =
                     if len(vocabulary.rows) > vocabulary.size:
                         vocabulary.clear()
                         vectors = vectors[:0]
-                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(scores)], names=[*keep, "__score"])
+                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(scores)], names=[*keep, name])
+        give_back()
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep], text_or_empty(text_col).alias("__text")).mapInArrow(run, schema)
+    text = free_name(docs, "text_read")
+    return docs.select(*[F.col(f"`{c}`") for c in keep], text_or_empty(text_col).alias(text)).mapInArrow(run, schema)

@@ -86,7 +86,7 @@ def test_toxicity_held_out(spark):
     docs = documents(spark, rows)
     known = spark.createDataFrame([*labels, (5, 1, None), (None, 1, 1), labels[8]], "doc_id long, quality int, toxic int")
     model = toxicity.train(docs, known)
-    out = {r.doc_id: r["__score"] for r in toxicity.score(docs, model, ["doc_id"]).collect()}
+    out = {r.doc_id: r["score"] for r in toxicity.score(docs, model, ["doc_id"]).collect()}
     assert len(out) == len(rows)
     held = [i for i, _, _ in labels if zlib.crc32(str(i).encode()) % 5 == 0]
     right = [(out[i] >= 0.5) == bool(labels[i][2]) for i in held]
@@ -94,7 +94,7 @@ def test_toxicity_held_out(spark):
     assert out[1000] == out[1001] < 0.5 and out[1002] >= 0.5 and out[1003] >= 0.5
     assert all(0 <= s <= 1 for s in out.values())
     none = toxicity.train(docs, known.where("toxic = 0"))
-    assert none is None and {r["__score"] for r in toxicity.score(docs, none, ["doc_id"]).collect()} == {0.0}
+    assert none is None and {r["score"] for r in toxicity.score(docs, none, ["doc_id"]).collect()} == {0.0}
     assert toxicity.score(documents(spark, EMPTY), model, ["doc_id"]).count() == 0
 
 
@@ -150,7 +150,7 @@ def test_blocks():
     html = """<html><head><title>t</title><script>var a="</p>";</script></head><body><nav><ul><li>a<li>b</ul></nav>
     <!-- <p>no</p> --><p>One &amp; <b>two</b>three<br>four<p>five &lt;x&gt; <div class='ad x'>six</div></article></b> a < b"""
     assert [b.text for b in html_extract.blocks(html)] == ["a", "b", "One & twothree", "four", "five <x>", "six", "a < b"]
-    assert html_extract.blocks(html)[5].path[-1] == "div ad x"
+    assert html_extract.blocks(html)[5].path.item == "div ad x"
     for odd in ("", "<", "<p", "</", "<!--", "<script>", "<a href='x>y", "&#x26;&#0;&bogus;", "<p>" * 3000, 'x<p a="1', "<style>p{"):
         html_extract.blocks(odd)
 
@@ -167,7 +167,7 @@ def test_html_extraction(spark):
     pages += [(500, None, None, None), (501, "u", "", ""), (None, "u", "<nav>a</nav>", ""), pages[0]]
     df = spark.createDataFrame(pages, "page_id long, url string, html string, text string")
     out = html_extract.extract(df, html_extract.fit(df), ["page_id", "url"]).collect()
-    got = {r.page_id: r["__text"] for r in out}
+    got = {r.page_id: r["text"] for r in out}
     assert len(out) == len(pages)
     assert np.mean([got[k] == want[k] for k in range(120)]) > 0.95
     assert got[500] == got[501] == ""
@@ -262,15 +262,15 @@ def test_exact_dedup(spark, corpus, weak):
 def test_directory_doubles():
     counts = {k: 1 for k in range(100)}
     slots = exact_dedup.split_buckets(counts, 10, 8)
-    assert [s for s, _, _ in slots] == list(range(len(slots)))
-    assert len(slots) == 1 << max(d for _, _, d in slots)
+    assert [s for s, _, _, _ in slots] == list(range(len(slots)))
+    assert len(slots) == 1 << max(d for _, _, d, _ in slots)
     depth = (len(slots) - 1).bit_length()
     held = {}
     for k in counts:
         held[slots[k >> (8 - depth)][1]] = held.get(slots[k >> (8 - depth)][1], 0) + 1
     assert max(held.values()) <= 10
-    assert exact_dedup.split_buckets({}, 10) == [(0, 0, 0)]
-    assert max(d for _, _, d in exact_dedup.split_buckets({5: 1000}, 10, 8)) == 8
+    assert exact_dedup.split_buckets({}, 10) == [(0, 0, 0, 0)]
+    assert max(d for _, _, d, _ in exact_dedup.split_buckets({5: 1000}, 10, 8)) == 8
 
 
 def test_exact_dedup_keeps_rows(spark, corpus):
