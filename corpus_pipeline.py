@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.llm import exact_dedup, packing, simhash, toxicity
-from glyphmill.llm.common import materialize, tokenizer_path
+from glyphmill.llm.common import free_name, materialize, tokenizer_path
 from glyphmill.llm.queries import table
 
 #: Score from which a document is rejected.
@@ -21,7 +21,8 @@ FINGERPRINTS = 15
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier doesn't reject; it learns from ``labels``."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, docs.columns).where(F.col("__score") < REJECT).drop("__score")
+    name = free_name(docs, "score")
+    return toxicity.score(docs, model, docs.columns, name=name).where(F.col(name) < REJECT).drop(name)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
