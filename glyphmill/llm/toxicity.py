@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,7 +41,7 @@ LEAST, LEAST_OF_FEW, FEW = 6, 4, 1000
 #: Kept texts of either label that a threshold of their own takes; else the logit 0 is the threshold.
 ENOUGH, ENOUGH_OF_LANGUAGE = 30, 15
 #: Words in a span that is scored at once.
-SPAN = 100_000
+SPAN = 50_000
 #: Function words by which a text's language is guessed.
 LANGUAGES = {
     "en": "the of and to in is that for it was on are with as be by this from".split(),
@@ -61,24 +62,32 @@ def features(word: str) -> tuple[int, ...]:
 class Vocabulary:
     """Words met so far by number; number 0 is the padding."""
 
-    def __init__(self, size: int = 200_000):
+    def __init__(self, size: int = 150_000):
         self.size = size
         self.clear()
 
+    def __len__(self) -> int:
+        return len(self.number)
+
     def clear(self) -> None:
         self.number = {PAD: 0}
-        self.rows: list[tuple[int, ...]] = [(0,) * (1 + len(BEGINNINGS))]
+        self.flat = array("i", (0,) * (1 + len(BEGINNINGS)))
+
+    def rows(self, first: int = 0) -> np.ndarray:
+        """Rows of the hashed vectors of the words from number ``first`` on."""
+        width = 1 + len(BEGINNINGS)
+        return np.array(self.flat[first * width :], dtype=np.int32).reshape(-1, width)
 
     def numbers(self, words: list[str]) -> np.ndarray:
-        known, rows = self.number, self.rows
+        known, flat = self.number, self.flat
         got = list(map(known.get, words))
         if None in got:
             for k, g in enumerate(got):
                 if g is None:
                     w = words[k]
                     if (g := known.get(w)) is None:
-                        g = known[w] = len(rows)
-                        rows.append(features(w))
+                        g = known[w] = len(known)
+                        flat.extend(features(w))
                     got[k] = g
         return np.array(got, dtype=np.int32)
 
@@ -162,7 +171,7 @@ def fit(texts: list[str], labels: list[int], epochs: int | None = None, seed: in
         words = WORDS.findall(t.lower())
         languages.append(language(words))
         docs.append(vocabulary.numbers(words or [PAD]))
-    rows = np.array(vocabulary.rows)
+    rows = vocabulary.rows()
     order = rng.permutation(len(docs))
     held, train = order[::5], np.setdiff1d(order, order[::5])
     m = Model(
@@ -295,12 +304,11 @@ def score(docs: DataFrame, model: Model | None, keep: list[str], text_col: str =
                         words = WORDS.findall(t.lower())
                         spoken.append(language(words))
                         numbers.append(vocabulary.numbers(words))
-                    if len(vocabulary.rows) > len(vectors):
-                        fresh = np.array(vocabulary.rows[len(vectors) :])
-                        vectors = np.concatenate([vectors, m.vectors[fresh].sum(1)])
+                    if len(vocabulary) > len(vectors):
+                        vectors = np.concatenate([vectors, m.vectors[vocabulary.rows(len(vectors))].sum(1)])
                     z = m.logits(m.pooled(numbers, vectors)) - m.thresholds[spoken]
                     scores = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-                    if len(vocabulary.rows) > vocabulary.size:
+                    if len(vocabulary) > vocabulary.size:
                         vocabulary.clear()
                         vectors = vectors[:0]
                 yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(scores)], names=[*keep, name])
