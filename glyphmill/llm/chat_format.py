@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import BROADCAST_ROWS, materialize
+from glyphmill.llm.common import BROADCAST_ROWS, hot_key_join, materialize
 
 #: Turn numbers to a piece.
 PIECE = 64
@@ -51,10 +51,13 @@ def perspectives(turns: DataFrame, piece: int = PIECE, narrators: tuple[str, ...
         said = said.withColumn("turn_key", F.lit(None).cast("long")).withColumn("part", F.lit(0).cast("long"))
     pieces = said.groupBy("conv_id", "block", "turn_key", "part").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("messages"), F.sum("n_rows").alias("n_rows"))
 
-    roles = said.groupBy("conv_id").agg(F.collect_set("role").alias("roles"))
+    # a row for each conversation with its speakers; the pieces of a hot conversation meet it by a broadcast
+    key = F.when(F.col("conv_id").isNull(), "").otherwise(F.concat(F.lit("="), F.col("conv_id").cast("string")))
+    roles = said.groupBy(key.alias("c")).agg(F.collect_set("role").alias("roles"), F.count(F.lit(1)).alias("messages_of"))
     speaking = F.filter("roles", lambda r: ~r.isin(*narrators))
-    speakers = roles.select(F.col("conv_id").alias("c"), F.explode(F.when(F.size(speaking) > 0, speaking).otherwise(F.col("roles"))).alias("speaker"))
-    out = pieces.join(speakers, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
+    roles = roles.select("c", "messages_of", F.when(F.size(speaking) > 0, speaking).otherwise(F.col("roles")).alias("speakers"))
+    out = hot_key_join(pieces.withColumn("c", key), materialize(roles, "chat-roles"), ["c"], "messages_of", said.count())
+    out = out.withColumn("speaker", F.explode("speakers")).drop("c", "messages_of", "speakers")
 
     head = lambda m: F.when(m["role"] == F.col("speaker"), F.lit("<|assistant|>\n")).when(m["role"].isin(*narrators), F.concat(F.lit("<|"), m["role"], F.lit("|>\n"))).otherwise(F.concat(F.lit("<|user name="), m["role"], F.lit("|>\n")))
     foot = F.lit("<|end|>\n")
