@@ -58,3 +58,10 @@ def box_angle(ax: Column, ay: Column, aw: Column, ah: Column, bx: Column, by: Co
     dx = F.when((ax < bx + bw) & (bx < ax + aw), 0).otherwise(F.abs(centre_x(bx, bw) - centre_x(ax, aw)))
     dy = F.when((ay < by + bh) & (by < ay + ah), 0).otherwise(F.abs(centre_y(by, bh) - centre_y(ay, ah)))
     return F.when(dx == 0, F.when(dy == 0, 0.0).otherwise(90.0)).otherwise(F.degrees(F.atan(dy / dx)))
+
+
+def point_to_line(px: Column, py: Column, angle: Column, x: Column, y: Column) -> Column:
+    """Whole distance of (x, y) from the line through (px, py) that falls 1000 sin(angle) on 1000."""
+    fall = _truncate(1000 * F.sin(angle)).cast("long")
+    off = F.abs((x - px) * fall - 1000 * (y - py)).cast("double")
+    return F.floor(off / F.sqrt((F.lit(1000 * 1000) + fall * fall).cast("double"))).cast("long")

@@ -31,10 +31,10 @@ TEMPLATES = {
 
 
 def shifted(plane: np.ndarray, dx: int, dy: int) -> np.ndarray:
-    """plane[y + dy, x + dx], background outside."""
-    h, w = plane.shape
+    """plane[y + dy, x + dx], background outside; of a stack of planes, each plane's."""
+    h, w = plane.shape[-2:]
     out = np.zeros_like(plane)
-    out[max(0, -dy) : h - max(0, dy), max(0, -dx) : w - max(0, dx)] = plane[max(0, dy) : h - max(0, -dy), max(0, dx) : w - max(0, -dx)]
+    out[..., max(0, -dy) : h - max(0, dy), max(0, -dx) : w - max(0, dx)] = plane[..., max(0, dy) : h - max(0, -dy), max(0, dx) : w - max(0, -dx)]
     return out
 
 
@@ -51,19 +51,27 @@ def pixel_types(plane: np.ndarray) -> np.ndarray:
     return np.where(plane, np.where(n == 1, 2, np.where(n >= 3, 3, 1)), 0)
 
 
+def _in_columns(plane: np.ndarray) -> tuple[list[list[bool]], list[tuple[int, int]]]:
+    """The plane with a border of background as lists, and its foreground (y, x) column by column."""
+    p = np.pad(plane, 1)
+    x, y = np.nonzero(p.T)
+    return p.tolist(), list(zip(y.tolist(), x.tolist(), strict=True))
+
+
 def drop_diagonal_pairs(plane: np.ndarray) -> np.ndarray:
     """Without pairs that touch by a corner alone, in either direction; column by column, later tests see earlier effects."""
-    p = np.pad(plane, 1)
-    for x in range(1, p.shape[1] - 1):
-        for y in range(1, p.shape[0] - 1):
+    p, found = _in_columns(plane)
+    for y, x in found:
+        here, below = p[y], p[y + 1]
+        if here[x] and not below[x]:
             for side in (1, -1):
-                if p[y, x] and p[y + 1, x + side] and not p[y, x + side] and not p[y + 1, x]:
-                    p[y, x] = p[y + 1, x + side] = False
-    return p[1:-1, 1:-1].copy()
+                if here[x] and below[x + side] and not here[x + side]:
+                    here[x] = below[x + side] = False
+    return np.array(p, dtype=bool)[1:-1, 1:-1].copy()
 
 
 def thin_condensed(plane: np.ndarray, iterations: int = 255) -> np.ndarray:
-    """Thinning by templates: pixels that match any are erased together, until none does."""
+    """Thinning by templates: pixels that match any are erased together, until none does. A stack of planes is thinned plane by plane at once."""
     plane = plane.copy()
     for _ in range(iterations):
         plate = plane & (neighbours(plane) == 8)
@@ -133,12 +141,31 @@ def thin_midpoints(plane: np.ndarray) -> np.ndarray:
 
 def drop_staircases(plane: np.ndarray) -> np.ndarray:
     """Without pixels at the inner corner of a step; column by column, later tests see earlier effects."""
-    p = np.pad(plane, 1)
-    for x in range(1, p.shape[1] - 1):
-        for y in range(1, p.shape[0] - 1):
-            if p[y, x] and any(p[y + v, x] and p[y, x + u] and not p[y - v, x - u] for u in (-1, 1) for v in (-1, 1)):
-                p[y, x] = False
-    return p[1:-1, 1:-1].copy()
+    p, found = _in_columns(plane)
+    for y, x in found:
+        above, here, below = p[y - 1], p[y], p[y + 1]
+        for v, near, far in ((-1, above, below), (1, below, above)):
+            if near[x] and ((here[x - 1] and not far[x + 1]) or (here[x + 1] and not far[x - 1])):
+                here[x] = False
+                break
+    return np.array(p, dtype=bool)[1:-1, 1:-1].copy()
+
+
+def drop_spurs(plane: np.ndarray) -> np.ndarray:
+    """Without pixels that on some side have nothing beside and before them, until none is left."""
+    plane = plane.copy()
+    sides = [[(-1, 0), (-1, -1), (0, -1), (1, -1), (1, 0)], [(0, -1), (1, -1), (1, 0), (1, 1), (0, 1)], [(1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0)], [(0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1)]]
+    while True:
+        at = {o: shifted(plane, *o) for o in AROUND}
+        gone = np.zeros_like(plane)
+        for side in sides:
+            hit = plane.copy()
+            for o in side:
+                hit &= ~at[o]
+            gone |= hit
+        if not gone.any():
+            return plane
+        plane &= ~gone
 
 
 def prune(gray: np.ndarray, peak: int, threshold: int, depth: int = 1) -> np.ndarray:
@@ -156,21 +183,25 @@ def prune(gray: np.ndarray, peak: int, threshold: int, depth: int = 1) -> np.nda
             h, w = g.shape
             for y in range(1, h + 1):
                 x = 1
+                starts = None
                 while x <= w:
-                    start = any(
-                        not p[y - 1 : y + d, x - 1].any() and p[y + d, x - 1] and not p[y - 1, x] and p[y : y + d + 1, x].all()
-                        for d in range(1, depth + 1)
-                    )
-                    if not start:
-                        x += 1
-                        continue
+                    if starts is None:  # of this row, again after it changed
+                        edge = p[y, 1:-1] & ~p[y - 1, 1:-1]
+                        starts = np.zeros(w, dtype=bool)
+                        if edge.any():
+                            for d in range(1, depth + 1):
+                                starts |= edge & ~p[y - 1 : y + d, : w].any(0) & p[y + d, : w] & p[y : y + d + 1, 1:-1].all(0)
+                    after = np.flatnonzero(starts[x - 1 :])
+                    if not len(after):
+                        break
+                    x += int(after[0])
                     end = x
                     while end <= w and p[y, end] and p[y + 1, end] and not p[y - 1, end]:
                         end += 1
                     if end > x and (g[y - 1, x - 1 : end - 1] > dark).all():
                         g[y - 1, x - 1 : end - 1] = 255
                         p[y, x:end] = False
-                        changed = True
+                        changed, starts = True, None
                     x = max(end, x + 1)
             gray = np.rot90(g, -turn).copy()
         if not changed:
@@ -327,13 +358,51 @@ def strokes(plane: np.ndarray) -> tuple[np.ndarray, int]:
     return codes, count
 
 
+def glyph_plane(gray: np.ndarray, peak: int = 0, threshold: int = 170) -> tuple[np.ndarray, int, int]:
+    """The 32 x 32 plane of a glyph's gray raster (255 is background), and its width and height.
+
+    A glyph smaller than the plane is pruned by one row as it is, and cropped; the scaled one is pruned by up to three.
+    Black pixels on white keep all, for pruning erases pale edges only.
+    """
+    h, w = gray.shape
+    if w < SIDE and h < SIDE:
+        pruned = prune(gray, peak, threshold, 1)
+        ys, xs = np.flatnonzero((pruned != 255).any(1)), np.flatnonzero((pruned != 255).any(0))
+        if len(ys):
+            gray = pruned[ys[0] : ys[-1] + 1, xs[0] : xs[-1] + 1]
+    h, w = gray.shape
+    out = np.full((SIDE, SIDE), 255, dtype=gray.dtype)
+    scaled = normalise(gray != 255)
+    sx, sy = min(SIDE / w, 2 * SIDE / h), min(SIDE / h, 2 * SIDE / w)
+    tw, th = int(w * sx), int(h * sy)
+    xs, ys = np.minimum((np.arange(tw) / sx).astype(int), w - 1), np.minimum((np.arange(th) / sy).astype(int), h - 1)
+    x0, y0 = (SIDE - tw) // 2, (SIDE - th) // 2
+    out[y0 : y0 + th, x0 : x0 + tw] = gray[np.ix_(ys, xs)]
+    return scaled & (prune(out, peak, threshold, 3) != 255), w, h
+
+
 def features48(plane: np.ndarray, width: int, height: int, position: tuple[int, ...] = (0, 0, 0, 0, 0)) -> np.ndarray:
     """The network's 48 inputs of a normalised glyph of ``width`` x ``height``.
 
     8 column and 8 row sums of stroke codes, 4 and 4 counts of diagonal codes by quadrant, 9 and 9 flags of ends and
     junctions by ninth, the ratio of width to height, and 5 flags of the position on the line.
     """
-    skeleton = thin_condensed(drop_diagonal_pairs(plane))
+    return _features(skeletons([plane])[0], width, height, position)
+
+
+def features48_of(glyphs: list[tuple[np.ndarray, int, int, tuple[int, ...]]]) -> list[np.ndarray]:
+    """The same for many (plane, width, height, position); their planes are thinned as one stack."""
+    return [_features(s, w, h, at) for s, (_, w, h, at) in zip(skeletons([g[0] for g in glyphs]), glyphs, strict=True)]
+
+
+def skeletons(planes: list[np.ndarray]) -> list[np.ndarray]:
+    """Skeletons of planes of one size."""
+    if not planes:
+        return []
+    return [drop_staircases(p) for p in thin_condensed(np.stack([drop_diagonal_pairs(p) for p in planes]))]
+
+
+def _features(skeleton: np.ndarray, width: int, height: int, position: tuple[int, ...]) -> np.ndarray:
     codes, _ = strokes(skeleton)
     types = pixel_types(skeleton)
     columns = np.where(np.isin(codes, (16, 80)), codes, 0).sum(0).reshape(8, -1).sum(1)
@@ -430,3 +499,44 @@ def deskew(gray: np.ndarray, degrees: float, least: float = 2.0) -> np.ndarray:
     out = np.full_like(gray, 255)
     out[inside] = gray[sy[inside], sx[inside]]
     return out
+
+
+def line_distance(px: int, py: int, angle: float, x: int, y: int) -> int:
+    """Whole distance of (x, y) from the line through (px, py) that falls 1000 sin(angle) on 1000."""
+    fall = int(1000 * np.sin(angle))
+    return int(abs((x - px) * fall - 1000 * (y - py)) / np.sqrt(1_000_000 + fall * fall))
+
+
+def line_cost(px: int, py: int, angle: float, points: list[tuple[int, int]], quirk: bool = False) -> int:
+    """Sum of the squared distances of points from a line; ``quirk``: of the distances XOR 2."""
+    each = [line_distance(px, py, angle, x, y) for x, y in points]
+    return sum(d ^ 2 if quirk else d * d for d in each)
+
+
+def fit_angle(px: int, py: int, angle: float, points: list[tuple[int, int]], quirk: bool = False, most: int = 90) -> float:
+    """The angle with the least cost, looked for from ``angle`` on one degree farther either way in each step, until a step finds none as good."""
+    best, cost, step = angle, line_cost(px, py, angle, points, quirk), 1
+    while step <= most:
+        found = False
+        for side in (1, -1):
+            turned = angle + side * step * np.pi / 180
+            if (c := line_cost(px, py, turned, points, quirk)) <= cost:
+                best, cost, found = turned, c, True
+        if not found:
+            break
+        step += 1
+    return float(best)
+
+
+def fit_height(px: int, py: int, angle: float, points: list[tuple[int, int]], quirk: bool = False, most: int = 10_000) -> int:
+    """The height of the line with the least cost, looked for a row farther up and down in each step. ``quirk``: costs are those of the first height, which therefore stays."""
+    best, cost, step = py, line_cost(px, py, angle, points, quirk), 1
+    while step <= most:
+        found = False
+        for y in (py + step, py - step):
+            if (c := line_cost(px, py if quirk else y, angle, points, quirk)) < cost:
+                best, cost, found = y, c, True
+        if not found:
+            break
+        step += 1
+    return best

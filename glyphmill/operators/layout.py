@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmill.functions.geometry import box_angle, box_gap, centre_distance, centre_x, centre_y, half, intersects
+from glyphmill.functions.geometry import box_angle, box_gap, centre_distance, centre_x, centre_y, half, intersects, point_to_line
 
 PER_CELL = 20
 
@@ -178,3 +178,74 @@ def content(kind: Column, label: Column) -> Column:
     for name, shown in PLACEHOLDERS.items():
         said = F.when(label == name, shown).otherwise(said)
     return F.when(kind == "space", " ").when(kind.isin("character", "split"), F.coalesce(said, F.lit(""))).otherwise("")
+
+
+# --- lines by their bottoms ---------------------------------------------------------------------------------------
+
+
+def line_bases(members: DataFrame) -> DataFrame:
+    """page_id, line_id, base, descent: the sorted bottoms of a line cut where both halves lie nearest to their medians.
+
+    Costs come from running sums, the medians from equi joins on the place; of equal costs the later cut counts. A line of
+    one member has its bottom for both.
+    """
+    line = Window.partitionBy(*LINE)
+    bottom = (F.col("y0") + F.col("h")).cast("long")
+    order = line.orderBy("b", "comp_id")
+    p = members.select(*LINE, "comp_id", bottom.alias("b"))
+    p = p.select(*LINE, "b", (F.row_number().over(order) - 1).alias("k"), F.count(F.lit(1)).over(line).alias("n"), F.sum("b").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("s"), F.sum(F.col("b") * F.col("b")).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("q"), F.sum("b").over(line).alias("st"), F.sum(F.col("b") * F.col("b")).over(line).alias("qt"))
+    cut = F.when(F.col("n") > 1, F.col("k") + 1).otherwise(0)
+    cuts = p.where("k < n - 1 or n = 1").select(*LINE, "n", "s", "q", "st", "qt", cut.alias("cut"))
+    cuts = cuts.withColumn("ka", half(F.col("cut"))).withColumn("kd", F.col("cut") + half(F.col("n") - F.col("cut")))
+    at = lambda k, name: p.select(*LINE, F.col("k").cast("long").alias(k), F.col("b").alias(name))
+    c = cuts.join(at("ka", "base"), [*LINE, "ka"]).join(at("kd", "descent"), [*LINE, "kd"])
+    spread = lambda q, s, n, m: q - 2 * m * s + n * m * m
+    cost = spread(F.col("q"), F.col("s"), F.col("cut"), F.col("base")) + spread(F.col("qt") - F.col("q"), F.col("st") - F.col("s"), F.col("n") - F.col("cut"), F.col("descent"))
+    best = F.min_by(F.struct("base", "descent"), F.struct(cost, -F.col("cut")))
+    return c.groupBy(*LINE).agg(best.alias("m")).select(*LINE, "m.base", "m.descent")
+
+
+def sequential_bases(members: DataFrame, metrics: DataFrame) -> DataFrame:
+    """page_id, line_id, base, descent (arrays of x, y): each member's bottom goes to the line whose last point is nearer, from left to right.
+
+    The descent line starts at the bottom of the line's box, the base line a tenth of its height above; ties go to the descent.
+    A line's members are one row's array, as they lie on one line of one page.
+    """
+    point = F.struct(F.col("x0").cast("long").alias("x"), (F.col("y0") + F.col("h")).cast("long").alias("y"))
+    own = members.groupBy(*LINE).agg(F.sort_array(F.collect_list(F.struct("x0", "comp_id", point.alias("p")))).alias("own"))
+    foot = (F.col("ly") + F.col("lh")).cast("long")
+    m = own.join(metrics.select(*LINE, F.col("lx").cast("long").alias("lx"), foot.alias("foot"), F.floor(F.col("lh") / 10).cast("long").alias("tenth")), LINE)
+    start = F.struct(F.array(F.struct(F.col("lx").alias("x"), (F.col("foot") - F.col("tenth")).alias("y"))).alias("base"), F.array(F.struct(F.col("lx").alias("x"), F.col("foot").alias("y"))).alias("descent"))
+    away = lambda points, p: F.abs(F.element_at(points, -1)["y"] - p["y"])
+
+    def put(a: Column, x: Column) -> Column:
+        p, base = x["p"], away(a["descent"], x["p"]) > away(a["base"], x["p"])
+        return F.struct(F.when(base, F.concat(a["base"], F.array(p))).otherwise(a["base"]).alias("base"), F.when(base, a["descent"]).otherwise(F.concat(a["descent"], F.array(p))).alias("descent"))
+
+    return m.select(*LINE, F.aggregate("own", start, put).alias("r")).select(*LINE, "r.base", "r.descent")
+
+
+def line_fit(points: DataFrame, keys: list[str], x: Column, y: Column, px: Column, py: Column, angle: Column) -> DataFrame:
+    """keys, squares, xors: how far points lie from the line through (px, py) at ``angle``: the sum of squared distances, and of distances XOR 2."""
+    d = point_to_line(px, py, angle, x, y)
+    return points.groupBy(*keys).agg(F.sum(d * d).alias("squares"), F.sum(d.bitwiseXOR(F.lit(2).cast("long"))).alias("xors"))
+
+
+def sliding_means(rows: DataFrame, keys: list[str], order: list[str], value: str, width: int = 4) -> DataFrame:
+    """``rows`` with mean: of a row's ``value`` and those of the ``width`` - 1 rows after it, fewer at the end."""
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(0, width - 1)
+    return rows.withColumn("mean", F.round(F.avg(value).over(w), 6))
+
+
+def annotations(members: DataFrame, metrics: DataFrame, thresholds: DataFrame, marks: DataFrame) -> DataFrame:
+    """page_id, kind, x0, y0, x1, y1: what an annotated picture shows of lines beside their boxes.
+
+    The centre, ascent and descent lines; the reading order from each member's centre to the next one's; a mark for each space.
+    """
+    ends = metrics.select(*LINE, F.col("lx").alias("x0"), (F.col("lx") + F.col("lw")).alias("x1")).join(thresholds, LINE)
+    across = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("y")) for k in ("centre", "ascent", "descent")]))
+    across = ends.select("page_id", "x0", "x1", across.alias("a")).select("page_id", "a.kind", "x0", F.col("a.y").alias("y0"), "x1", F.col("a.y").alias("y1"))
+    n = neighbours_on_line(members).where("p_id is not null")
+    path = n.select("page_id", F.lit("order").alias("kind"), centre_x(F.col("px"), F.col("pw")).alias("x0"), centre_y(F.col("py"), F.col("ph")).alias("y0"), centre_x(F.col("x0"), F.col("w")).alias("x1"), centre_y(F.col("y0"), F.col("h")).alias("y1"))
+    space = marks.select("page_id", F.lit("space").alias("kind"), F.col("sx").alias("x0"), F.col("sy").alias("y0"), (F.col("sx") + 2).alias("x1"), (F.col("sy") + 2).alias("y1"))
+    return across.unionByName(path).unionByName(space)

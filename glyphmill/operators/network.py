@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -28,12 +30,17 @@ def _layer(nodes: Column, values: Column) -> Column:
     return F.transform(nodes, output)
 
 
+def _bound(nodes: Column) -> Callable[[Column], Column]:
+    return lambda values: _layer(nodes, values)
+
+
 def forward(inputs: Column, layers: Layers) -> Column:
     """Outputs of the network for an array of doubles: sigmoid(sum of weight * input - threshold), layer by layer."""
     values = inputs
     for weights, thresholds in layers:
         nodes = F.array(*[F.struct(F.array(*[F.lit(float(x)) for x in row]).alias("w"), F.lit(float(t)).alias("t")) for row, t in zip(weights, thresholds, strict=True)])
-        values = _layer(nodes, values)
+        # bound to a variable, a layer is worked out once and not again for each node of the next one
+        values = F.transform(F.array(values), _bound(nodes))[0]
     return values
 
 
@@ -106,18 +113,32 @@ def sample_per_label(examples: DataFrame, key: str, label: str, n: int) -> DataF
     return examples.select(key, label, F.row_number().over(w).alias("rn")).where(F.col("rn") <= n).drop("rn")
 
 
-def train(x: np.ndarray, target: np.ndarray, hidden: tuple[int, ...] = (20, 20), repetitions: int = 50, rate: float = 0.5, seed: int = 1, layers: Layers | None = None) -> Layers:
+def one_hot(examples: DataFrame, key: str, label: str = "label", labels: int = 10) -> DataFrame:
+    """key, node, target: 1 for the output of an example's label, 0 for the others."""
+    hot = F.transform(F.sequence(F.lit(0), F.lit(labels - 1)), lambda i: (i == F.col(label)).cast("int"))
+    return examples.select(key, F.posexplode(hot).alias("node", "target"))
+
+
+def split_scores(parts: DataFrame, glyph: str, part: str, label: str = "label", prob: str = "prob") -> DataFrame:
+    """glyph, score (the mean probability of its parts) and text (their labels in the order of ``part``)."""
+    text = F.transform(F.sort_array(F.collect_list(F.struct(part, label))), lambda p: p[label])
+    return parts.groupBy(glyph).agg(F.round(F.avg(prob), 6).alias("score"), F.array_join(text, "").alias("text"))
+
+
+def train(x: np.ndarray, target: np.ndarray, hidden: tuple[int, ...] = (20, 20), repetitions: int = 50, rate: float = 0.5, seed: int = 1, layers: Layers | None = None, quirk: bool = False, after: Callable[[int, Layers], bool | None] | None = None) -> Layers:
     """Online back-propagation: each repetition draws as many examples as there are, with replacement.
 
-    Weights start uniform in (-0.5, 0.5] in steps of 0.001; ``layers`` goes on from earlier ones.
+    Weights start uniform in (-0.5, 0.5] in steps of 0.001; ``layers`` goes on from earlier ones. ``quirk``: the last example
+    is never drawn. ``after`` gets the number of each repetition and the layers, to keep them or tell of them, and ends the
+    training by returning True.
     """
     rng = np.random.default_rng(seed)
     sizes = (x.shape[1], *hidden, target.shape[1])
     if layers is None:
         layers = [((rng.integers(0, 1000, (m, n)) - 499) / 1000, (rng.integers(0, 1000, m) - 499) / 1000) for n, m in zip(sizes, sizes[1:], strict=False)]
     layers = [(w.copy(), t.copy()) for w, t in layers]
-    for _ in range(repetitions):
-        for k in rng.integers(0, len(x), len(x)):
+    for done in range(repetitions):
+        for k in rng.integers(0, max(1, len(x) - quirk), len(x)):
             values = [x[k]]
             for w, t in layers:
                 values.append(1 / (1 + np.exp(t - w @ values[-1])))
@@ -128,4 +149,6 @@ def train(x: np.ndarray, target: np.ndarray, hidden: tuple[int, ...] = (20, 20),
                 w += rate * np.outer(delta, values[i])
                 t -= rate * delta
                 delta = back
+        if after is not None and after(done, layers):
+            break
     return layers

@@ -37,7 +37,7 @@ def per_glyph(labelled: DataFrame, schema: str, f: Callable[[np.ndarray], tuple]
 
 def thinned(labelled: DataFrame, kind: str) -> DataFrame:
     """page_id, comp_id, before, after: pixels of the normalised glyph and of its skeleton."""
-    f = {"condensed": kernels.thin_condensed, "standard": kernels.thin_standard, "eroding": kernels.thin_eroding, "midpoints": kernels.thin_midpoints, "staircases": kernels.drop_staircases, "runs": kernels.prune_runs}[kind]
+    f = {"condensed": kernels.thin_condensed, "standard": kernels.thin_standard, "eroding": kernels.thin_eroding, "midpoints": kernels.thin_midpoints, "staircases": kernels.drop_staircases, "runs": kernels.prune_runs, "spurs": kernels.drop_spurs}[kind]
 
     def one(plane: np.ndarray) -> tuple:
         n = kernels.normalise(plane)
@@ -47,8 +47,15 @@ def thinned(labelled: DataFrame, kind: str) -> DataFrame:
 
 
 def features(labelled: DataFrame) -> DataFrame:
-    """page_id, comp_id, features: the 48 inputs of each glyph."""
-    return per_glyph(labelled, "features array<double>", lambda p: (kernels.features48(kernels.normalise(p), p.shape[1], p.shape[0]).tolist(),))
+    """page_id, comp_id, features: the 48 inputs of each glyph, without a position; a page's glyphs are thinned as one stack."""
+
+    def run(page: pd.DataFrame) -> pd.DataFrame:
+        own = list(glyphs(page))
+        found = kernels.features48_of([(kernels.normalise(p), p.shape[1], p.shape[0], (0, 0, 0, 0, 0)) for _, p in own])
+        rows = [(int(page["page_id"].iloc[0]), comp, f.tolist()) for (comp, _), f in zip(own, found, strict=True)]
+        return pd.DataFrame(rows, columns=["page_id", "comp_id", "features"])
+
+    return labelled.groupBy("page_id").applyInPandas(run, "page_id long, comp_id long, features array<double>")
 
 
 def stroke_counts(labelled: DataFrame) -> DataFrame:

@@ -11,10 +11,13 @@ BX_SQL = """bx as (select l_orderkey // 1500 as page_id, l_orderkey*10 + l_linen
  cast(min((l_partkey*37) % 2000) as int) as x0, cast(min((l_suppkey*53 + l_linenumber*11 + l_orderkey) % 2800) as int) as y0,
  cast(min(4 + cast(floor(l_quantity) as bigint) % 30) as int) as w, cast(min(6 + l_partkey % 20) as int) as h from lineitem group by 1,2)"""
 LEX_SQL = """lex as (select w, count(*) as n from (select unnest(regexp_extract_all(lower(text),'[a-z]+')) as w from benchmark) where length(w) >= 2 group by w)"""
-QW_SQL = """qw as (select distinct w from (select unnest(regexp_extract_all(lower(text),'[a-z]+')) as w from documents where lang='en') where length(w) >= 2)"""
-CHARS_SQL = """chars as (select conv_id, turn, pos, substring(text, pos::int, 1) as ch from (select conv_id, turn, text, unnest(range(1, least(length(text),80)+1)) as pos from conversations where length(text) > 0))"""
+QW_SQL = """qw as (select distinct w from (select unnest(regexp_extract_all(lower(text),'[a-z]+')) as w from documents) where length(w) >= 2)"""
+CHARS_SQL = """chars as (select conv_id, turn, pos, substring(text, pos::int, 1) as ch from (select conv_id, turn, text, unnest(range(1, length(text)+1)) as pos from conversations where length(text) > 0))"""
 NN_SQL = """nnin as (select vec_id, label, list_transform(embedding[1:48], lambda v: cast(v as double)) as f from embeddings)"""
 
+#: Over the width of the rasters below, which are 100 x 100; the SQL numbers components by it.
+STRIDE = 1000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -51,16 +54,16 @@ def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """qw(w): words to check."""
-    return _words(table(spark, sf_dir, "documents").where("lang = 'en'")).distinct()
+    """qw(w): words to check, of all documents."""
+    return _words(table(spark, sf_dir, "documents")).distinct()
 
 
 def chars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """chars(conv_id, turn, pos, ch): the members of lines."""
+    """chars(conv_id, turn, pos, ch): the members of lines, of whole texts."""
     return (
         table(spark, sf_dir, "conversations")
         .where(F.length("text") > 0)
-        .select("conv_id", "turn", "text", F.explode(F.sequence(F.lit(1), F.least(F.length("text"), F.lit(80)))).alias("pos"))
+        .select("conv_id", "turn", "text", F.explode(F.sequence(F.lit(1), F.length("text"))).alias("pos"))
         .select("conv_id", "turn", F.col("pos").cast("long").alias("pos"), F.expr("substring(text, pos, 1)").alias("ch"))
     )
 

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glyphmill.functions.geometry import box_angle, box_gap, centre_x, centre_y, contains_point
-from glyphmill.operators import components, layout, lexicon, network, pages, raster
+from glyphmill.functions.geometry import box_angle, box_gap, contains_point
+from glyphmill.operators import components, glyphs, layout, lexicon, network, pages, raster
 from glyphmill.plans import fixtures as fx
 from glyphmill.plans.fixtures import BX_SQL, CHARS_SQL, LEX_SQL, NN_SQL, PX_SQL, QW_SQL
 
@@ -49,12 +49,12 @@ s as (select * from a where w <= 10*aw and h <= 10*ah)
 select page_id, comp_id, x0, y0, w, h, pixel_count, case when w*h > 25*avg(w*h) over (partition by page_id) then 'image' else 'character' end as type from s""",
 )
 def components_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components.find_components(fx.pixels(spark, sf_dir), DARK).select("page_id", "comp_id", "x0", "y0", "w", "h", "pixel_count", "type")
+    return components.find_components(fx.pixels(spark, sf_dir), DARK, stride=fx.STRIDE).select("page_id", "comp_id", "x0", "y0", "w", "h", "pixel_count", "type")
 
 
 @query("component_pixels", f"with recursive {COMP_SQL} select page_id, x, y, comp_id from lab")
 def component_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components.connected_components(fx.pixels(spark, sf_dir).where(F.col("gray") <= DARK))
+    return components.connected_components(fx.pixels(spark, sf_dir).where(F.col("gray") <= DARK), fx.STRIDE)
 
 
 @query(
@@ -73,9 +73,7 @@ def component_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("component_density", f"with recursive {COMP_SQL} select page_id, comp_id, w*h as area, x0 + w//2 as cx, y0 + h//2 as cy, round(pixel_count/(w*h), 6) as density from cc where pixel_count >= 8")
 def component_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = components.boxes(components.connected_components(fx.pixels(spark, sf_dir).where(F.col("gray") <= DARK))).where("pixel_count >= 8")
-    area = F.col("w") * F.col("h")
-    return c.select("page_id", "comp_id", area.alias("area"), centre_x(F.col("x0"), F.col("w")).alias("cx"), centre_y(F.col("y0"), F.col("h")).alias("cy"), F.round(F.col("pixel_count") / area, 6).alias("density"))
+    return components.density(components.boxes(_labelled(spark, sf_dir)).where("pixel_count >= 8")).select("page_id", "comp_id", "area", "cx", "cy", "density")
 
 
 @query(
@@ -86,7 +84,7 @@ select page_id, count(*) as n_components, count(*) filter (type = 'image') as n_
 )
 def page_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = layout.with_line(components.classify(fx.boxes(spark, sf_dir), 2))
-    return t.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_components"), F.count_if(F.col("type") == "image").alias("n_images"), F.count_if(F.col("type") == "character").alias("n_characters"), F.countDistinct("line_id").alias("n_lines"))
+    return components.counters(t, t)
 
 
 # --- rasters ----------------------------------------------------------------------------------------------------
@@ -149,7 +147,7 @@ nrm as (select page_id, comp_id, i + (32-tw)//2 as x, unnest(range(ceil(y*sy)::i
 
 
 def _normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lab = components.connected_components(fx.pixels(spark, sf_dir).where(F.col("gray") <= DARK))
+    lab = components.connected_components(fx.pixels(spark, sf_dir).where(F.col("gray") <= DARK), fx.STRIDE)
     keys = ["page_id", "comp_id"]
     big = lab.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).where("__n >= 8").drop("__n")
     return raster.normalise32(big, keys)
@@ -477,8 +475,7 @@ def sample_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("one_hot_targets", "select vec_id, unnest(range(0, 10)) as node, (unnest(range(0, 10)) = label)::int as target from embeddings")
 def one_hot_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hot = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: (i == F.col("label")).cast("int"))
-    return fx.table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(hot).alias("node", "target")).select("vec_id", F.col("node").cast("long").alias("node"), "target")
+    return network.one_hot(fx.table(spark, sf_dir, "embeddings"), "vec_id").select("vec_id", F.col("node").cast("long").alias("node"), "target")
 
 
 @query(
@@ -524,8 +521,7 @@ def not_on_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("padded_ids", f"with {BX_SQL} select comp_id, 'image_' || lpad((comp_id % 1000000)::varchar, 6, '0') || '_org.bmp' as file, lpad((comp_id % 100000000)::varchar, 8, '0') || '.bmp' as sample from bx")
 def padded_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pad = lambda n: F.lpad((F.col("comp_id") % 10**n).cast("string"), n, "0")
-    return fx.boxes(spark, sf_dir).select("comp_id", F.concat(F.lit("image_"), pad(6), F.lit("_org.bmp")).alias("file"), F.concat(pad(8), F.lit(".bmp")).alias("sample"))
+    return components.padded_ids(fx.boxes(spark, sf_dir))
 
 
 LABEL_SQL = "case label when 9 then 'connected' when 8 then 'garbage' else chr((97 + label)::int) end"
@@ -549,8 +545,7 @@ def component_content(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("split_score", f"with {RANK_SQL} select vec_id // 3 as glyph, round(avg(prob), 6) as score, string_agg({LABEL_SQL}, '' order by vec_id) as text from rk where rank = 1 group by 1")
 def split_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = F.transform(F.sort_array(F.collect_list(F.struct("vec_id", "label"))), lambda p: p["label"])
-    return _said(spark, sf_dir).groupBy(F.floor(F.col("vec_id") / 3).alias("glyph")).agg(F.round(F.avg("prob"), 6).alias("score"), F.array_join(parts, "").alias("text"))
+    return network.split_scores(_said(spark, sf_dir).withColumn("glyph", F.floor(F.col("vec_id") / 3)), "glyph", "vec_id")
 
 
 @query(
@@ -569,7 +564,7 @@ def gated_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components.connected_components(fx.pixels(spark, sf_dir).where(F.col("gray") <= DARK))
+    return components.connected_components(fx.pixels(spark, sf_dir).where(F.col("gray") <= DARK), fx.STRIDE)
 
 
 def _thinning(kind: str) -> None:
@@ -578,7 +573,7 @@ def _thinning(kind: str) -> None:
         return pages.thinned(_labelled(spark, sf_dir), kind)
 
 
-for _kind in ("condensed", "standard", "eroding", "midpoints", "staircases", "runs"):
+for _kind in ("condensed", "standard", "eroding", "midpoints", "staircases", "runs", "spurs"):
     _thinning(_kind)
 
 
@@ -607,10 +602,23 @@ def line_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.lines(fx.boxes(spark, sf_dir), 2000, 2800)
 
 
-@query("trie_suggest")
+RULES = [(a, b) for a, b in lexicon.CONFUSIONS if b.isalpha()]
+
+
+@query(
+    "trie_suggest",
+    f"""with recursive {LEX_SQL}, {QW_SQL}, q as (select w from qw where w not in (select w from lex)),
+r as (select * from (values {', '.join(f"('{a}','{b}')" for a, b in RULES)}) as r(rd, mt)),
+st(w, done, rest, undone) as (select w, '', w, false from q union
+  select * from (select w, done || left(rest, 1), substring(rest, 2), false from st where rest <> ''
+  union all select w, done, mt || substring(rest, length(rd)::int + 1), true from st join r on starts_with(rest, rd) where not undone)),
+v as (select distinct w, done as v from st where rest = ''),
+p as (select v.w, lex.w as word, levenshtein(v.v, lex.w) as distance from v join lex on abs(length(v.v) - length(lex.w)) <= 2),
+k as (select *, row_number() over (partition by w order by distance, word) as rn from p where distance <= 2)
+select w, word as suggestion, distance from k where rn = 1""",
+)
 def trie_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = [r["w"] for r in fx.lexicon(spark, sf_dir).select("w").collect()]
-    return lexicon.trie_suggestions(fx.lexicon(spark, sf_dir).select(F.concat("w", F.lit("x")).alias("w")), words)
+    return lexicon.trie_suggestions(lexicon.missing(fx.query_words(spark, sf_dir), fx.lexicon(spark, sf_dir)), fx.lexicon(spark, sf_dir))
 
 
 @query("osa_distance")
@@ -632,9 +640,287 @@ def train_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.success(nn.select("label", network.forward_udf(layers)("f").alias("outputs")))
 
 
-@query("line_bases")
+# --- the same operators at the thresholds that pages are read with ----------------------------------------------
+
+
+@query("component_clean_default", f"with {BX_SQL}, a as (select *, avg(w) over (partition by page_id) as aw, avg(h) over (partition by page_id) as ah from bx) select page_id, comp_id, x0, y0, w, h from a where w <= 10*aw and h <= 10*ah")
+def component_clean_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components.drop_outsized(fx.boxes(spark, sf_dir)).select("page_id", "comp_id", "x0", "y0", "w", "h")
+
+
+@query("component_types_default", f"with {BX_SQL} select page_id, comp_id, case when w*h > 25*avg(w*h) over (partition by page_id) then 'image' else 'character' end as type from bx")
+def component_types_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components.classify(fx.boxes(spark, sf_dir)).select("page_id", "comp_id", "type")
+
+
+FINE_SQL = f"{BX_SQL}, ln as (select *, ((y0 + h//2)//10)::bigint as line_id from bx)"
+
+
+def _fine_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of ten rows of pixels, some of which have few members."""
+    return layout.with_line(fx.boxes(spark, sf_dir), 10)
+
+
+@query("small_lines_default", f"with {FINE_SQL}, c as (select *, count(*) over (partition by page_id, line_id) as n from ln) select page_id, line_id, comp_id from c where n >= 3")
+def small_lines_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.small_lines_dropped(_fine_lines(spark, sf_dir)).select("page_id", "line_id", "comp_id")
+
+
+@query("success_pct_default", f"with {MLP_SQL}, s as (select list_bool_and(list_transform(range(0, 10), lambda i: abs(f[i + 1] - (i = label)::int) <= 0.2)) as good from out) select count(*) as total, count(*) filter (good) as good, (100*count(*) filter (good)) // count(*) as percent from s")
+def success_pct_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return network.success(_outputs(spark, sf_dir))
+
+
+@query("line_thresholds_as_written", f"with {METRIC_SQL} select page_id, line_id, (ly + floor(0.11*lh))::bigint as ascent, (ly + lh - floor(0.11*lh))::bigint as descent, lh::bigint as centre from d")
+def line_thresholds_as_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.line_thresholds(layout.line_metrics(_lines(spark, sf_dir)), quirk=True)
+
+
+# --- pixels of components ---------------------------------------------------------------------------------------
+
+MESH = "y % 2 = 0 and (x + (y % 4)//2) % 2 = 0"
+
+
+@query("mesh_components", f"with recursive {COMP_SQL} select page_id, x, y, comp_id from lab where (page_id, comp_id) in (select page_id, comp_id from lab where {MESH})")
+def mesh_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components.on_mesh(_labelled(spark, sf_dir))
+
+
+BIG_SQL = f"{COMP_SQL}, bg as (select * from cc where pixel_count >= 8), bl as (select lab.* from lab join bg using (page_id, comp_id)), loc as (select bl.page_id, bl.comp_id, bl.x - x0 as x, bl.y - y0 as y, gray from bl join bg using (page_id, comp_id) join px on px.page_id = bl.page_id and px.x = bl.x and px.y = bl.y)"
+
+
+def _big(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels of the components of at least eight."""
+    return _labelled(spark, sf_dir).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("page_id", "comp_id"))).where("__n >= 8").drop("__n")
+
+
+def _rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return glyphs.local_rasters(_big(spark, sf_dir), fx.pixels(spark, sf_dir))
+
+
+@query("component_rasters", f"with recursive {BIG_SQL} select * from loc")
+def component_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rasters(spark, sf_dir)
+
+
+@query("component_slices", f"with recursive {BIG_SQL} select page_id, comp_id, count(*) as pixel_count, sum(x*31 + y)::bigint as checksum from (select page_id, comp_id, x - 1 as x, y - 2 as y from loc where x >= 1 and x < 5 and y >= 2 and y < 8) group by all")
+def component_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = glyphs.slices(_rasters(spark, sf_dir), F.lit(1), F.lit(2), F.lit(4), F.lit(6))
+    return part.groupBy("page_id", "comp_id").agg(F.count(F.lit(1)).alias("pixel_count"), F.sum(F.col("x") * 31 + F.col("y")).alias("checksum"))
+
+
+@query("component_crops", f"with recursive {BIG_SQL} select page_id, comp_id, min(x) as x0, min(y) as y0, max(x) - min(x) + 1 as w, max(y) - min(y) + 1 as h, count(*) as pixel_count from loc where gray <= 60 group by all")
+def component_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return glyphs.cropped(_rasters(spark, sf_dir), 60)
+
+
+PAIRS_SQL = f"{BIG_SQL}, pairs as (select page_id, lag(comp_id) over (partition by page_id order by comp_id) as a_id, comp_id as b_id from bg)"
+
+
+def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = components.boxes(_big(spark, sf_dir))
+    return b.select("page_id", F.lag("comp_id").over(Window.partitionBy("page_id").orderBy("comp_id")).alias("a_id"), F.col("comp_id").alias("b_id")).where("a_id is not null")
+
+
+@query(
+    "united_boxes",
+    f"""with recursive {PAIRS_SQL} select p.page_id, a_id, b_id, least(a.x0, b.x0) as x0, least(a.y0, b.y0) as y0, greatest(a.x0 + a.w, b.x0 + b.w) - least(a.x0, b.x0) as w,
+ greatest(a.y0 + a.h, b.y0 + b.h) - least(a.y0, b.y0) as h, a.pixel_count + b.pixel_count as pixel_count
+ from pairs p join bg a on a.page_id = p.page_id and a.comp_id = a_id join bg b on b.page_id = p.page_id and b.comp_id = b_id""",
+)
+def united_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return glyphs.united_boxes(components.boxes(_big(spark, sf_dir)), _neighbours(spark, sf_dir))
+
+
+@query(
+    "united_rasters",
+    f"""with recursive {PAIRS_SQL}, own as (select bl.page_id, comp_id, bl.x, bl.y, gray from bl join px on px.page_id = bl.page_id and px.x = bl.x and px.y = bl.y)
+select p.page_id, a_id, b_id, count(*) as n, sum(o.x*37 + o.y*101 + o.gray)::bigint as checksum from pairs p join own o on o.page_id = p.page_id and o.comp_id in (a_id, b_id) where a_id is not null group by all""",
+)
+def united_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = glyphs.united(_big(spark, sf_dir), fx.pixels(spark, sf_dir), _neighbours(spark, sf_dir))
+    return u.groupBy("page_id", "a_id", "b_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("x") * 37 + F.col("y") * 101 + F.col("gray")).alias("checksum"))
+
+
+PROFILE_SQL = f"{BIG_SQL}, cp as (select page_id, comp_id, l.x, count(*) as n, min(l.y) as top, max(b.h) - 1 - max(l.y) as bottom from loc l join bg b using (page_id, comp_id) group by page_id, comp_id, l.x)"
+
+
+@query("column_profiles", f"with recursive {PROFILE_SQL} select * from cp")
+def column_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return glyphs.column_profiles(_big(spark, sf_dir))
+
+
+@query("row_counts", f"with recursive {BIG_SQL} select page_id, comp_id, y, count(*) as n from loc group by all")
+def row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return glyphs.row_counts(_big(spark, sf_dir))
+
+
+@query(
+    "cut_candidates",
+    f"""with recursive {PROFILE_SQL}, sd as (select page_id, comp_id, x, 'top' as side, top as depth from cp union all select page_id, comp_id, x, 'bottom', bottom from cp),
+t as (select *, depth - lag(depth) over (partition by page_id, comp_id, side order by x desc) as turn from sd),
+k as (select *, last_value(case when turn <> 0 then turn end ignore nulls) over (partition by page_id, comp_id, side order by x desc rows between unbounded preceding and 1 preceding) as before from t)
+select page_id, comp_id, side, x + 1 as cut from k where turn < 0 and before > 0""",
+)
+def cut_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return glyphs.cut_candidates(glyphs.column_profiles(_big(spark, sf_dir)))
+
+
+RUNS_SQL = f"""{BIG_SQL}, ax as (select page_id, comp_id, 'y' as axis, y as line, x as pos from bl union all select page_id, comp_id, 'x', x, y from bl),
+rs as (select page_id, comp_id, axis, line, count(*) as runs from (select *, lag(pos) over (partition by page_id, comp_id, axis, line order by pos) as p from ax) where p is null or p < pos - 1 group by all),
+df as (select *, abs(runs - lag(runs) over (partition by page_id, comp_id, axis order by line)) as diff from rs),
+rv as (select page_id, comp_id, axis, round(coalesce(avg(diff), 0), 6) as mean_diff, round(coalesce(var_pop(diff), 0), 6) as var_diff from df group by all)"""
+
+
+@query("run_statistics", f"with recursive {RUNS_SQL} select * from rv")
+def run_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return glyphs.run_statistics(_big(spark, sf_dir))
+
+
+@query(
+    "shape_classes",
+    f"""with recursive {RUNS_SQL}, st as (select page_id, comp_id, max(var_diff) filter (axis = 'y') as r, max(var_diff) filter (axis = 'x') as c from rv group by all),
+m as (select *, w*h as area, avg(w*h) over (partition by page_id) as mean from bg),
+j as (select *, -1.09::double*r + 2.8::double <= c as busy, least(w, h)::double/greatest(w, h) <= 0.8::double as long from m join st using (page_id, comp_id))
+select page_id, comp_id, case when area <= mean then 'character' when long then case when pixel_count::double/area >= 0.7::double or not busy then 'image' else 'inverted' end when busy then 'character' else 'image' end as class from j""",
+)
+def shape_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    big = _big(spark, sf_dir)
+    return glyphs.shape_classes(components.boxes(big), glyphs.run_statistics(big))
+
+
+@query(
+    "run_midpoints",
+    f"""with recursive {BIG_SQL}, hr as (select page_id, comp_id, y, (min(x) + max(x))//2 as x from (select *, x - row_number() over (partition by page_id, comp_id, y order by x) as run from bl) group by page_id, comp_id, y, run),
+vr as (select page_id, comp_id, x, (min(y) + max(y))//2 as y from (select *, y - row_number() over (partition by page_id, comp_id, x order by y) as run from bl) group by page_id, comp_id, x, run)
+select page_id, comp_id, x, y from hr union select page_id, comp_id, x, y from vr""",
+)
+def run_midpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return glyphs.run_midpoints(_big(spark, sf_dir))
+
+
+AROUND_SQL = ", ".join(f"({k}, {dx}, {dy})" for k, (dx, dy) in enumerate(glyphs.AROUND))
+BITS = [f"(mask & {1 << k} <> 0)" for k in range(8)]
+TURNS = " + ".join(f"(not {BITS[k]} and {BITS[(k + 1) % 8]})::int" for k in range(8))
+
+
+@query(
+    "thinned_once",
+    f"""with recursive {COMP_SQL}, bg as (select page_id, comp_id from cc where pixel_count >= 8), bl as (select lab.* from lab join bg using (page_id, comp_id)), o as (select * from (values {AROUND_SQL}) as o(k, dx, dy)),
+m as (select d.page_id, d.comp_id, d.x, d.y, coalesce(sum(case when e.x is not null then 1 << o.k end), 0)::int as mask from bl d cross join o
+ left join bl e on e.page_id = d.page_id and e.comp_id = d.comp_id and e.x = d.x + o.dx and e.y = d.y + o.dy group by all)
+select page_id, comp_id, x, y from m where not (bit_count(mask) between 2 and 6 and ({TURNS}) = 1 and not ({BITS[0]} and {BITS[2]} and {BITS[4]}) and not ({BITS[2]} and {BITS[4]} and {BITS[6]}))""",
+)
+def thinned_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return glyphs.thinned_once(_big(spark, sf_dir), ["page_id", "comp_id"])
+
+
+# --- lines ------------------------------------------------------------------------------------------------------
+
+
+@query(
+    "line_bases",
+    f"""with {LINE_SQL}, p as (select page_id, line_id, (y0 + h)::bigint as b, row_number() over o - 1 as k, count(*) over (partition by page_id, line_id) as n,
+ sum(y0 + h) over o as s, sum((y0 + h)*(y0 + h)) over o as q, sum(y0 + h) over (partition by page_id, line_id) as st, sum((y0 + h)*(y0 + h)) over (partition by page_id, line_id) as qt
+ from ln window o as (partition by page_id, line_id order by y0 + h, comp_id rows unbounded preceding)),
+c as (select p.*, case when n > 1 then k + 1 else 0 end as cut from p where k < n - 1 or n = 1),
+j as (select c.*, a.b as base, d.b as descent from c join p a on a.page_id = c.page_id and a.line_id = c.line_id and a.k = c.cut//2 join p d on d.page_id = c.page_id and d.line_id = c.line_id and d.k = c.cut + (c.n - c.cut)//2),
+r as (select *, row_number() over (partition by page_id, line_id order by q - 2*base*s + cut*base*base + (qt - q) - 2*descent*(st - s) + (n - cut)*descent*descent, cut desc) as rn from j)
+select page_id, line_id, base, descent from r where rn = 1""",
+)
 def line_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.line_bases(_lines(spark, sf_dir))
+    return layout.line_bases(_lines(spark, sf_dir))
+
+
+@query("sequential_bases")
+def sequential_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _lines(spark, sf_dir)
+    return layout.sequential_bases(lines, layout.line_metrics(lines)).select("page_id", "line_id", F.size("base").alias("n_base"), F.size("descent").alias("n_descent"), F.element_at("base", -1)["y"].alias("base"), F.element_at("descent", -1)["y"].alias("descent"))
+
+
+@query(
+    "line_fit",
+    f"""with {LINE_SQL}, f as (select page_id, line_id, min(x0)::bigint as px, min(y0 + h)::bigint as py from ln group by all),
+d as (select page_id, line_id, floor(abs((x0 - px)*c - 1000*(y0 + h - py))::double/sqrt((1000*1000 + c*c)::double))::bigint as d from ln join f using (page_id, line_id), (select trunc(1000*sin(0.02::double))::bigint as c))
+select page_id, line_id, sum(d*d)::bigint as squares, sum(xor(d, 2))::bigint as xors from d group by all""",
+)
+def line_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _lines(spark, sf_dir)
+    first = lines.groupBy("page_id", "line_id").agg(F.min("x0").cast("long").alias("px"), F.min(F.col("y0") + F.col("h")).cast("long").alias("py"))
+    return layout.line_fit(lines.join(first, ["page_id", "line_id"]), ["page_id", "line_id"], F.col("x0"), F.col("y0") + F.col("h"), F.col("px"), F.col("py"), F.lit(0.02))
+
+
+@query("sliding_means", f"with {LINE_SQL} select page_id, line_id, comp_id, round(avg(h) over (partition by page_id, line_id order by x0, comp_id rows between current row and 3 following), 6) as mean from ln")
+def sliding_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.sliding_means(_lines(spark, sf_dir), ["page_id", "line_id"], ["x0", "comp_id"], "h").select("page_id", "line_id", "comp_id", "mean")
+
+
+@query(
+    "page_annotations",
+    f"""with {THRESHOLD_SQL}, th2 as (select d.page_id, d.line_id, lx, lx + lw as rx, ascent, descent, centre from d join th using (page_id, line_id)),
+t as (select *, floor(0.6*avg(w) over (partition by page_id, line_id)) as t, lag(x0) over v as px, lag(y0) over v as py, lag(w) over v as pw, lag(h) over v as ph from ln window v as (partition by page_id, line_id order by x0, comp_id)),
+g as (select *, floor((x0 - (px + pw))/t)::bigint as ns from t where px is not null and t > 0 and x0 - (px + pw) >= t),
+sp as (select page_id, (px + pw//2 + floor((x0 + w//2 - (px + pw//2))/ns))::bigint as sx, (py + ph//2 + floor((y0 + h//2 - (py + ph//2))/ns))::bigint as sy from g)
+select page_id, 'centre' as kind, lx as x0, centre as y0, rx as x1, centre as y1 from th2 union all select page_id, 'ascent', lx, ascent, rx, ascent from th2 union all select page_id, 'descent', lx, descent, rx, descent from th2
+union all select page_id, 'order', px + pw//2, py + ph//2, x0 + w//2, y0 + h//2 from t where px is not null union all select page_id, 'space', sx, sy, sx + 2, sy + 2 from sp""",
+)
+def page_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _lines(spark, sf_dir)
+    metrics = layout.line_metrics(lines)
+    return layout.annotations(lines, metrics, layout.line_thresholds(metrics), layout.spaces(lines))
+
+
+# --- dictionaries as tables -------------------------------------------------------------------------------------
+
+
+@query(
+    "trie_nodes",
+    f"""with {PREFIX_SQL}, e as (select substring(w, 1, n::int) as prefix, n as depth, substring(w, n::int + 1, 1) as f from pf)
+select prefix, left(prefix, depth::int - 1) as parent, right(prefix, 1) as letter, depth, coalesce(string_agg(distinct nullif(f, ''), '' order by nullif(f, '')), '') as children, bool_or(f = '') as ends from e group by prefix, depth""",
+)
+def trie_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon.trie_nodes(fx.lexicon(spark, sf_dir)).withColumn("children", F.array_join("children", ""))
+
+
+@query(
+    "automaton_states",
+    f"""with {PREFIX_SQL}, e as (select substring(w, 1, n::int) as prefix, string_agg(substring(w, n::int + 1), ',' order by substring(w, n::int + 1)) as rest from pf group by 1)
+select prefix, min(prefix) over (partition by right(prefix, 1), rest) as state from e""",
+)
+def automaton_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon.automaton(fx.lexicon(spark, sf_dir))
+
+
+CASED_SQL = f"{LEX_SQL}, cl as (select case when length(w) % 3 = 0 then upper(w) else w end as w from lex), {QW_SQL}, cw as (select case when length(w) % 2 = 0 then upper(w) else w end as w from qw)"
+
+
+def _cased(words: DataFrame, every: int) -> DataFrame:
+    return words.select(F.when(F.length("w") % every == 0, F.upper("w")).otherwise(F.col("w")).alias("w"))
+
+
+@query("lexicon_spelling", f"with {CASED_SQL} select cw.w, cl.w as known, coalesce(cl.w = cw.w, false) as same from cw left join cl on lower(cl.w) = lower(cw.w)")
+def lexicon_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon.spelt_as_known(_cased(fx.query_words(spark, sf_dir), 2), _cased(fx.lexicon(spark, sf_dir), 3))
+
+
+@query("lexicon_match_case", f"with {CASED_SQL} select cw.w, cl.w as known from cw left join cl on cl.w = cw.w")
+def lexicon_match_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon.members(_cased(fx.query_words(spark, sf_dir), 2), _cased(fx.lexicon(spark, sf_dir), 3), match_case=True)
+
+
+WILD_SQL = f"{LEX_SQL}, wl as (select substring(w, 1, 1) || '?' || substring(w, 3) as w from lex where length(w) >= 3)"
+
+
+@query(
+    "confusion_wildcard",
+    f"""with {WILD_SQL}, r as (select * from (values {', '.join(f"('{a}','{b}')" for a, b in lexicon.CONFUSIONS)}) as r(rd, mt)),
+e as (select w, rd, mt, unnest(range(1, length(w) + 1)) as k from (select distinct w from wl) cross join r)
+select w, k as "at", substring(w, 1, k::int - 1) || mt || substring(w, k::int + length(rd)::int) as candidate from e
+where length(substring(w, k::int, length(rd)::int)) = length(rd) and rd like replace(substring(w, k::int, length(rd)::int), '?', '_')""",
+)
+def confusion_wildcard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = fx.lexicon(spark, sf_dir).where("length(w) >= 3").select(F.concat(F.substring("w", 1, 1), F.lit("?"), F.expr("substring(w, 3)")).alias("w"))
+    return lexicon.confusions(words.distinct())
 
 
 @query("glyph_shapes")
