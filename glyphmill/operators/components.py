@@ -126,17 +126,17 @@ def size_filter(comps: DataFrame, least_pixels: int, most_w: float, most_h: floa
     return comps.where((F.col("pixel_count") >= least_pixels) & (F.col("w") < most_w) & (F.col("h") < most_h))
 
 
-def drop_outsized(comps: DataFrame, factor: float = 10) -> DataFrame:
+def drop_outsized(comps: DataFrame, factor: float = 10, key: str = "page_id") -> DataFrame:
     """Without components over ``factor`` times the page's mean width or height."""
-    page = Window.partitionBy("page_id")
+    page = Window.partitionBy(key)
     sized = comps.withColumn("__w", F.avg("w").over(page)).withColumn("__h", F.avg("h").over(page))
     return sized.where((F.col("w") <= factor * F.col("__w")) & (F.col("h") <= factor * F.col("__h"))).drop("__w", "__h")
 
 
-def classify(comps: DataFrame, factor: float = 25) -> DataFrame:
+def classify(comps: DataFrame, factor: float = 25, key: str = "page_id") -> DataFrame:
     """With type: image where the area is over ``factor`` times the page's mean, else character."""
     area = F.col("w") * F.col("h")
-    return comps.withColumn("type", F.when(area > factor * F.avg(area).over(Window.partitionBy("page_id")), "image").otherwise("character"))
+    return comps.withColumn("type", F.when(area > factor * F.avg(area).over(Window.partitionBy(key)), "image").otherwise("character"))
 
 
 def find_components(px: DataFrame, threshold: int = 100, side: int = 100, stride: int = STRIDE) -> DataFrame:

@@ -7,11 +7,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmill.operators import kernels, network
+from glyphmill.operators import components, kernels, lexicon, network
 from glyphmill.operators.components import label_pixels
+from glyphmill.operators.layout import PLACEHOLDERS
 
 
 def glyphs(page: pd.DataFrame, least: int = 8) -> Iterator[tuple[int, np.ndarray]]:
@@ -126,32 +127,41 @@ def grow(boxes: list[tuple], cell: tuple[int, int]) -> list[list[int]]:
     free = set(range(len(boxes)))
     lines = []
 
-    def nearest(line: list[int], end: int, side: int) -> int | None:
-        top, bottom = min(boxes[k][1] for k in line), max(boxes[k][1] + boxes[k][3] for k in line)
-        best, most = None, min(2000, int(1.5 * sum(boxes[k][3] for k in line) / len(line)))
+    top = bottom = tall = count = 0  # of the line that grows
+
+    def taken(k: int) -> None:
+        nonlocal top, bottom, tall, count
+        top, bottom = (min(top, boxes[k][1]), max(bottom, boxes[k][1] + boxes[k][3])) if count else (boxes[k][1], boxes[k][1] + boxes[k][3])
+        tall, count = tall + boxes[k][3], count + 1
+        free.discard(k)
+        cells[where[k]].remove(k)
+
+    def nearest(end: int, side: int) -> int | None:
+        best, most = None, min(2000, int(1.5 * tall / count))
         e = boxes[end]
         for column in (where[end][0], where[end][0] + side):
             for row in range(where[end][1] - 1, where[end][1] + 2):
                 for k in cells.get((column, row), ()):
                     b = boxes[k]
-                    if k in free and side * (b[0] - e[0]) > 0 and (_angle(e, b) < 5 or (b[1] < bottom and top < b[1] + b[3])) and (d := _gap(e, b)) < most:
+                    if side * (b[0] - e[0]) > 0 and (_angle(e, b) < 5 or (b[1] < bottom and top < b[1] + b[3])) and (d := _gap(e, b)) < most:
                         best, most = k, d
         return best
 
-    for own in cells.values():
-        for first in own:
+    for own in list(cells.values()):
+        for first in list(own):
             if first not in free:
                 continue
-            free.discard(first)
+            count = tall = 0
+            taken(first)
             line = [first]
             while True:
-                right = nearest(line, line[-1], 1)
+                right = nearest(line[-1], 1)
                 if right is not None:
-                    free.discard(right)
+                    taken(right)
                     line.append(right)
-                left = nearest(line, line[0], -1)
+                left = nearest(line[0], -1)
                 if left is not None:
-                    free.discard(left)
+                    taken(left)
                     line.insert(0, left)
                 if right is None and left is None:
                     break
@@ -178,8 +188,8 @@ def _host(orphan: tuple, line: list[int], boxes: list[tuple]) -> int | None:
     return host
 
 
-def clean(boxes: list[tuple], lines: list[list[int]], least: int = 3, margin: int = 2) -> tuple[list[list[int]], list[tuple]]:
-    """Lines cleaned up, by top and left, and the boxes; a merged box stands in the place of its first part.
+def clean(boxes: list[tuple], lines: list[list[int]], least: int = 3, margin: int = 2, merged: list[tuple[int, int]] | None = None) -> tuple[list[list[int]], list[tuple]]:
+    """Lines cleaned up, by top and left, and the boxes; a merged box stands in the place of its first part, ``merged`` gets (its place, the other part's).
 
     The boxes of a line inside another (by ``margin``) go to the members above or below them, or are dropped; lines that
     meet become one; lines of under ``least`` members are dropped; parts stacked on each other become one box.
@@ -203,6 +213,8 @@ def clean(boxes: list[tuple], lines: list[list[int]], least: int = 3, margin: in
                     host = _host(boxes[k], lines[outer], boxes)
                     if host is not None:
                         boxes[host] = _union(boxes[host], boxes[k])
+                        if merged is not None:
+                            merged.append((host, k))
                 lines[inner], areas[inner], areas[outer] = [], None, area(lines[outer])
             elif a[0] < b[0] + b[2] and b[0] < a[0] + a[2] and _overlap(a, b):
                 left, right = (outer, inner) if a[0] <= b[0] else (inner, outer)
@@ -217,6 +229,8 @@ def clean(boxes: list[tuple], lines: list[list[int]], least: int = 3, margin: in
         k = 0
         while k + 1 < len(line):
             if 88 < _angle(boxes[line[k]], boxes[line[k + 1]]) < 92:
+                if merged is not None:
+                    merged.append((line[k], line[k + 1]))
                 boxes[line[k]] = _union(boxes[line[k]], boxes[line.pop(k + 1)])
             k += 1
         out.append(line)
@@ -236,7 +250,7 @@ def base_and_descent(bottoms: list[int]) -> tuple[int, int]:
     return lines
 
 
-def line_bases(members: DataFrame) -> DataFrame:
+def line_bases_of(members: DataFrame) -> DataFrame:
     """page_id, line_id, base, descent of lines' members; a task holds one line."""
 
     def run(line: pd.DataFrame) -> pd.DataFrame:
@@ -271,7 +285,7 @@ def lines(boxes: DataFrame, width: int, height: int, cleaned: bool = True) -> Da
 
 
 def page_components(pages: DataFrame, threshold: int = 170, least: int = 8, straighten: bool = True) -> DataFrame:
-    """path, comp_id, x0, y0, w, h, pixel_count, glyph of page images (path, width, height, raster), row by row.
+    """path, comp_id, x0, y0, w, h, pixel_count, glyph (its gray raster, 255 around it) of page images (path, width, height, raster), row by row.
 
     A page is one row, so nothing is shuffled; the same function serves batches and streams.
     """
@@ -286,52 +300,191 @@ def page_components(pages: DataFrame, threshold: int = 170, least: int = 8, stra
                 rows = []
                 if len(x):
                     first = label_pixels(x, y)
-                    page = pd.DataFrame({"comp_id": y[first] * gray.shape[1] + x[first], "x": x, "y": y})
+                    page = pd.DataFrame({"comp_id": y[first].astype(np.int64) * gray.shape[1] + x[first], "x": x, "y": y})
                     for comp, g in page.groupby("comp_id", sort=True):
-                        w, h = int(g["x"].max() - g["x"].min()) + 1, int(g["y"].max() - g["y"].min()) + 1
+                        u, v = g["x"].to_numpy(), g["y"].to_numpy()
+                        w, h = int(u.max() - u.min()) + 1, int(v.max() - v.min()) + 1
                         if len(g) >= least and w < 0.9 * r.width and h < 0.9 * r.height:
-                            plane = np.zeros((h, w), dtype=np.uint8)
-                            plane[g["y"] - g["y"].min(), g["x"] - g["x"].min()] = 1
-                            rows.append((r.path, int(comp), int(g["x"].min()), int(g["y"].min()), w, h, len(g), plane.tobytes()))
+                            plane = np.full((h, w), 255, dtype=np.uint8)
+                            plane[v - v.min(), u - u.min()] = gray[v, u]
+                            rows.append((r.path, int(comp), int(u.min()), int(v.min()), w, h, len(g), plane.tobytes()))
                 yield pd.DataFrame(rows, columns=["path", "comp_id", "x0", "y0", "w", "h", "pixel_count", "glyph"])
 
     return pages.select("path", "width", "height", "raster").mapInPandas(run, "path string, comp_id long, x0 long, y0 long, w long, h long, pixel_count long, glyph binary")
 
 
-def recognise(components: DataFrame, layers: network.Layers, labels: list[str], input_max: np.ndarray | None = None) -> DataFrame:
-    """``components`` with label and prob, the network's best answer for each glyph; no shuffle, weights are shared once."""
-    shared = components.sparkSession.sparkContext.broadcast((layers, labels, input_max))
+def typed_components(comps: DataFrame) -> DataFrame:
+    """Components of pages without outsized ones, with type."""
+    return components.classify(components.drop_outsized(comps, key="path"), key="path")
+
+
+def position_flags(top: int, bottom: int, line_top: int, line_bottom: int) -> list[int]:
+    """Ascent, height, center, base, descent of a glyph between its line's thresholds."""
+    inset = int(0.11 * (line_bottom - line_top))
+    ascent, descent, centre = line_top + inset, line_bottom - inset, line_top + (line_bottom - line_top) // 2
+    out = [0] * 5
+    out[0 if top < ascent else 1 if top < centre else 2] = 1
+    out[4 if bottom > descent else 3 if bottom > centre else 2] = 1
+    return out
+
+
+PLACED = "path string, line_id long, pos long, comp_id long, x0 long, y0 long, w long, h long, pixel_count long, glyph binary, position array<int>, spaces long"
+
+
+def placed_components(comps: DataFrame, width: int, height: int, least: int = 3, spaces: float = 0.6) -> DataFrame:
+    """Characters (type) on lines: line_id, pos, position (five flags) and the spaces before them; what is on no line has line_id null.
+
+    Parts that clean-up merges become one glyph: boxes and rasters united, pixel counts added, the later part's pixels above
+    the earlier one's. A task holds one page.
+    """
+
+    def run(page: pd.DataFrame) -> pd.DataFrame:
+        page = page.sort_values("comp_id", ignore_index=True)
+        path = page["path"].iloc[0]
+        chars = page[page["type"] == "character"].reset_index(drop=True)
+        own = list(chars[["x0", "y0", "w", "h"]].astype(int).itertuples(index=False, name=None))
+        merged: list[tuple[int, int]] = []
+        found, boxes = clean(own, grow(own, _cell(len(own), width, height)), least, merged=merged) if own else ([], [])
+        parts: dict[int, list[int]] = {}
+        for a, b in merged:
+            parts.setdefault(a, [a]).extend(parts.pop(b, [b]))
+        rows, used = [], set()
+        for number, line in enumerate(found):
+            area = boxes[line[0]]
+            for k in line[1:]:
+                area = _union(area, boxes[k])
+            t = int(spaces * sum(boxes[k][2] for k in line) / len(line))
+            for pos, k in enumerate(line):
+                x, y, w, h = boxes[k]
+                raster = np.full((h, w), 255, dtype=np.uint8)
+                for part in parts.get(k, [k]):
+                    px, py, pw, ph = own[part]
+                    glyph = np.frombuffer(chars["glyph"].iloc[part], np.uint8).reshape(ph, pw)
+                    view = raster[py - y : py - y + ph, px - x : px - x + pw]
+                    view[glyph != 255] = glyph[glyph != 255]
+                    used.add(part)
+                gap = x - (boxes[line[pos - 1]][0] + boxes[line[pos - 1]][2]) if pos else 0
+                count = int(sum(chars["pixel_count"].iloc[part] for part in parts.get(k, [k])))
+                rows.append((path, number, pos, int(chars["comp_id"].iloc[k]), x, y, w, h, count, raster.tobytes(), position_flags(y, y + h, area[1], area[1] + area[3]), gap // t if pos and t > 0 and gap >= t else 0))
+        on_lines = {int(chars["comp_id"].iloc[k]) for k in used}
+        for r in page.itertuples(index=False):
+            if r.comp_id not in on_lines:
+                rows.append((path, None, None, r.comp_id, r.x0, r.y0, r.w, r.h, r.pixel_count, r.glyph, [0] * 5, 0))
+        out = pd.DataFrame(rows, columns=[c.split(" ")[0] for c in PLACED.split(", ")])
+        return out.astype({"line_id": "Int64", "pos": "Int64"})
+
+    return comps.groupBy("path").applyInPandas(run, PLACED)
+
+
+def glyph_features(glyphs: list[tuple[np.ndarray, tuple[int, ...]]], threshold: int = 170) -> np.ndarray:
+    """The network's inputs of gray rasters and positions."""
+    planes = [(*kernels.glyph_plane(g, 0, threshold), tuple(at)) for g, at in glyphs]
+    return np.array(kernels.features48_of(planes)).reshape(-1, 48)
+
+
+def recognise(comps: DataFrame, layers: network.Layers, labels: list[str], input_max: np.ndarray | None = None, split: bool = False, threshold: int = 170, least: float = 0.2) -> DataFrame:
+    """``comps`` (glyph, w, h, and position where there is one) with label and prob, the network's best answer; no shuffle, weights are shared once.
+
+    ``split``: glyphs whose best answer is under ``least`` or that may be ``connected`` are cut into parts that are told
+    better; label is then what all parts say, prob their mean.
+    """
+    shared = comps.sparkSession.sparkContext.broadcast((layers, labels, input_max))
+    placed = "position" in comps.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         net, names, most = shared.value
+
+        def answers(glyphs: list) -> np.ndarray:
+            return network.forward_numpy(glyph_features(glyphs, threshold) / (most if most is not None else 1), net)
+
         for batch in batches:
-            x = np.array([kernels.features48(kernels.normalise(np.frombuffer(g, np.uint8).reshape(h, w).astype(bool)), w, h) for g, w, h in zip(batch["glyph"], batch["w"], batch["h"], strict=True)]).reshape(-1, 48)
-            out = network.forward_numpy(x / (most if most is not None else 1), net)
-            best = out.argmax(1) if len(out) else np.zeros(0, int)
-            yield batch.drop(columns="glyph").assign(label=[names[b] for b in best], prob=out[np.arange(len(best)), best] if len(out) else [])
+            rasters = [np.frombuffer(g, np.uint8).reshape(h, w) for g, w, h in zip(batch["glyph"], batch["w"], batch["h"], strict=True)]
+            at = [tuple(p) for p in batch["position"]] if placed else [(0,) * 5] * len(rasters)
+            said, probs = [], []
+            for k, out in enumerate(answers(list(zip(rasters, at, strict=True))) if rasters else []):
+                b = int(out.argmax())
+                label, p = names[b], float(out[b])
+                results = [names[j] for j in np.argsort(-out, kind="stable")[:4] if out[j] > 0.01]
+                if split and results and (p < least or "connected" in results):
+                    raster = rasters[k]
+
+                    def told(plane: np.ndarray, position: tuple = at[k]) -> tuple[str, float]:
+                        o = answers([(np.where(plane, 0, 255).astype(np.uint8), position)])[0]
+                        return names[int(o.argmax())], float(o.max())
+
+                    parts = kernels.split(raster != 255, told)
+                    if len(parts) > 1:
+                        label, p = "".join(PLACEHOLDERS.get(x[2], x[2]) for x in parts), float(np.mean([x[3] for x in parts]))
+                said.append(label)
+                probs.append(p)
+            yield batch.drop(columns=["glyph", *(["position"] if placed else [])]).assign(label=said, prob=np.array(probs, dtype=float))
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in comps.schema if f.name not in ("glyph", "position"))
+    return comps.mapInPandas(run, f"{schema}, label string, prob double")
+
+
+def lines_text(recognised: DataFrame) -> DataFrame:
+    """path, line_id, content of recognised components on lines: their labels or placeholders, with the spaces before them."""
+    label = F.col("label")
+    for name, shown in PLACEHOLDERS.items():
+        label = F.when(F.col("label") == name, shown).otherwise(label)
+    said = recognised.where("line_id is not null").select("path", "line_id", "pos", F.concat(F.repeat(F.lit(" "), F.col("spaces").cast("int")), label).alias("s"))
+    return said.groupBy("path", "line_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]), "").alias("content"))
+
+
+def corrected(lines: DataFrame, dictionary: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """``lines`` (keys, content) with what their words are in the ``dictionary`` (w): its spelling, else its best suggestion, else the word as it is.
+
+    Words are the runs between single spaces; each different word is looked up once.
+    """
+    keys = keys or ["path", "line_id"]
+    words = lines.select(*keys, F.posexplode(F.split("content", " ")).alias("k", "word"))
+    asked = words.select(F.col("word").alias("w")).where("word <> ''").distinct()
+    known = lexicon.members(asked, dictionary)
+    better = lexicon.trie_suggestions(known.where("known is null").select(F.lower("w").alias("w")).distinct(), dictionary.select(F.lower("w").alias("w")).distinct())
+    told = known.join(better.withColumnRenamed("w", "l"), F.lower("w") == F.col("l"), "left").select(F.col("w").alias("word"), F.coalesce("known", "suggestion", "w").alias("said"))
+    out = words.join(told, "word", "left").groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", F.coalesce("said", F.lit("")).alias("said")))), lambda x: x["said"]).alias("said"))
+    return out.select(*keys, F.array_join("said", " ").alias("content"))
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in components.schema if f.name != "glyph")
-    return components.mapInPandas(run, f"{schema}, label string, prob double")
 
+def read_text(pages: DataFrame, width: int, height: int, layers: network.Layers, labels: list[str], input_max: np.ndarray | None = None, dictionary: DataFrame | None = None, threshold: int = 170, least: int = 3, split: bool = True) -> DataFrame:
+    """path, line_id, content of page images: components, types, lines, positions, recognition, words."""
+    comps = typed_components(page_components(pages, threshold))
+    placed = placed_components(comps, width, height, least)
+    lines = lines_text(recognise(placed, layers, labels, input_max, split, threshold))
+    return corrected(lines, dictionary) if dictionary is not None else lines
 
-def page_lines_text(recognised: DataFrame, width: int, height: int, spaces: float = 0.6) -> DataFrame:
-    """path, line_id, content of recognised components, one page at a time."""
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("comp_id", ignore_index=True)
-        own = list(page[["x0", "y0", "w", "h"]].astype(int).itertuples(index=False, name=None))
-        found, boxes = clean(own, grow(own, _cell(len(own), width, height)), 1)
-        rows = []
-        for k, members in enumerate(found):
-            t = int(spaces * sum(boxes[m][2] for m in members) / len(members))
-            content, last = "", None
-            for m in members:
-                if last is not None and t > 0 and boxes[m][0] - (boxes[last][0] + boxes[last][2]) >= t:
-                    content += " " * ((boxes[m][0] - (boxes[last][0] + boxes[last][2])) // t)
-                label = page["label"].iloc[m]
-                content += {"connected": "??", "garbage": "?"}.get(label, label)
-                last = m
-            rows.append((page["path"].iloc[0], k, content))
-        return pd.DataFrame(rows, columns=["path", "line_id", "content"])
-
-    return recognised.groupBy("path").applyInPandas(run, "path string, line_id long, content string")
+# --- learning glyphs --------------------------------------------------------------------------------------------
+
+
+def training_set(samples: DataFrame, labels: DataFrame) -> DataFrame:
+    """path, label, label_id, features of glyph samples (path, width, height, raster, label).
+
+    ``labels`` (label, label_id, position): the network's outputs. A sample's position is the one its label is expected at.
+    """
+    known = labels.select("label", "label_id", F.array(*[F.col(f"position.{f}").cast("int") for f in ("ascent", "height", "center", "base", "descent")]).alias("position"))
+    rows = samples.select("path", "width", "height", "raster", "label").join(F.broadcast(known), "label")  # one row for each output of a network
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            glyphs = [(np.frombuffer(r, np.uint8).reshape(h, w), tuple(p)) for r, w, h, p in zip(batch["raster"], batch["width"], batch["height"], batch["position"], strict=True)]
+            yield batch[["path", "label", "label_id"]].assign(features=list(glyph_features(glyphs))) if glyphs else pd.DataFrame(columns=["path", "label", "label_id", "features"])
+
+    return rows.select("path", "label", "label_id", "width", "height", "raster", "position").mapInPandas(run, "path string, label string, label_id int, features array<double>")
+
+
+def learn(examples: DataFrame, labels: int, per_label: int = 100, hidden: tuple[int, ...] = (20, 20), repetitions: int = 50, **options) -> tuple[network.Layers, np.ndarray]:
+    """A network and its input maxima, from up to ``per_label`` examples of each label: they come to the driver, no others."""
+    place = Window.partitionBy("label_id").orderBy(F.xxhash64("path"), "path")
+    rows = examples.withColumn("k", F.row_number().over(place)).where(F.col("k") <= per_label).orderBy("label_id", "k").select("label_id", "features").collect()
+    x, y = np.array([r.features for r in rows]), np.array([r.label_id for r in rows])
+    most = np.maximum(1.0, x.max(0))
+    return network.train(x / most, np.eye(labels)[y], hidden, repetitions, **options), most
+
+
+def tested(samples: DataFrame, layers: network.Layers, labels: list[str], input_max: np.ndarray | None = None) -> DataFrame:
+    """path, label, predicted, prob, right of samples; the label counts whatever its case. ``where("predicted = ...")`` is the list for a label."""
+    comps = samples.select("path", F.col("label").alias("expected") if "label" in samples.columns else F.lit(None).cast("string").alias("expected"), F.col("width").cast("long").alias("w"), F.col("height").cast("long").alias("h"), F.col("raster").alias("glyph"))
+    out = recognise(comps, layers, labels, input_max)
+    return out.select("path", F.col("expected").alias("label"), F.col("label").alias("predicted"), "prob", (F.lower("label") == F.lower("expected")).alias("right"))

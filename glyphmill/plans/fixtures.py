@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,3 +73,14 @@ def chars(spark: SparkSession, sf_dir: str) -> DataFrame:
 def network_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """nnin(vec_id, label, f): 48 numbers for the network."""
     return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform(F.slice("embedding", 1, 48), lambda v: v.cast("double")).alias("f"))
+
+
+def page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, width, height, raster: the rasters as page images of 100 x 100, white where there is no pixel."""
+
+    def draw(page: pd.DataFrame) -> pd.DataFrame:
+        gray = np.full((100, 100), 255, dtype=np.uint8)
+        gray[page["y"].to_numpy(), page["x"].to_numpy()] = page["gray"].to_numpy()
+        return pd.DataFrame({"path": [f"page-{page['page_id'].iloc[0]:06d}"], "width": [100], "height": [100], "raster": [gray.tobytes()]})
+
+    return pixels(spark, sf_dir).groupBy("page_id").applyInPandas(draw, "path string, width int, height int, raster binary")

@@ -926,3 +926,10 @@ def confusion_wildcard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("glyph_shapes")
 def glyph_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.shapes(_labelled(spark, sf_dir))
+
+
+@query("page_run")
+def page_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From page images to the text of their lines: components, types, lines, positions, recognition, words."""
+    labels = [*"abcdefgh", "garbage", "connected"]
+    return pages.read_text(fx.page_images(spark, sf_dir), 100, 100, network.synthetic(), labels, dictionary=fx.lexicon(spark, sf_dir), threshold=DARK)

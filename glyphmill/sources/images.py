@@ -59,8 +59,26 @@ def read_pages(spark: SparkSession, folder: str, pattern: str = "*.bmp", recursi
 
 
 def read_samples(spark: SparkSession, folder: str, pattern: str = "*.bmp") -> DataFrame:
-    """Glyph samples: pages with label, the folder that a file is in."""
-    return read_pages(spark, folder, pattern).withColumn("label", F.element_at(F.split("path", "/"), -2))
+    """Glyph samples: pages with label, the folder that a file is in, pixel_count, the pixels that aren't white (255), and threshold, the highest level below white (null if all is white)."""
+
+    @F.pandas_udf("pixel_count long, threshold int")
+    def told(rasters: pd.Series) -> pd.DataFrame:
+        levels = [np.bincount(np.frombuffer(r, np.uint8), minlength=256)[:255] for r in rasters]
+        return pd.DataFrame({"pixel_count": [int(n.sum()) for n in levels], "threshold": pd.array([int(np.flatnonzero(n)[-1]) if n.any() else None for n in levels], dtype="Int32")})
+
+    pages = read_pages(spark, folder, pattern).withColumn("label", F.element_at(F.split("path", "/"), -2)).withColumn("told", told("raster"))
+    return pages.select("path", "width", "height", "raster", "label", "told.pixel_count", "told.threshold")
+
+
+def read_unlabelled(spark: SparkSession, folder: str) -> DataFrame:
+    """Glyph dumps without a label: the files ``*_org.bmp`` of a folder, not of those below it."""
+    return read_pages(spark, folder, "*_org.bmp", recursive=False)
+
+
+def write_trace(frames: dict[str, DataFrame], folder: str) -> None:
+    """Intermediate tables of a run, one folder for each, to look at later."""
+    for name, df in frames.items():
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
 def sample_counts(samples: DataFrame) -> DataFrame:

@@ -30,8 +30,9 @@ def test_page_end_to_end(spark, tmp_path):
     comps = pages.page_components(df)
     assert comps.count() == 30
     names = [chr(97 + k) for k in range(10)]
-    said = pages.recognise(comps, network.synthetic(), names)
-    text = pages.page_lines_text(said, 160, 100).orderBy("line_id").collect()
+    placed = pages.placed_components(pages.typed_components(comps), 160, 100)
+    said = pages.recognise(placed, network.synthetic(), names)
+    text = pages.lines_text(said).orderBy("line_id").collect()
     assert len(text) == 3 and all(len(r.content.replace(" ", "")) == 10 for r in text)
     assert images.sample_counts(images.read_samples(spark, str(tmp_path))).first() == ("a", 1)
     assert images.decode_bmp(images.encode_pages(df).first().content).shape == (100, 160)
