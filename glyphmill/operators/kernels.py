@@ -447,22 +447,26 @@ def merge_cuts(found: list[int], apart: int = 3) -> list[int]:
     return out
 
 
-def split(plane: np.ndarray, classify: Callable[[np.ndarray], tuple[str, float]], rejected: tuple[str, ...] = ("connected", "garbage")) -> list[tuple[int, int, str, float]]:
-    """Parts (from, to, label, probability) of touching glyphs: each part grows while a longer slice is told better."""
+def split(plane: np.ndarray, classify: Callable[[list[np.ndarray]], list[tuple[str, float]]], rejected: tuple[str, ...] = ("connected", "garbage"), ahead: int = 6) -> list[tuple[int, int, str, float]]:
+    """Parts (from, to, label, probability) of touching glyphs: each part grows while a longer slice is told better.
+
+    ``classify`` tells slices of a part, ``ahead`` of them at a time, the longer ones only once they are asked for.
+    """
     h, w = plane.shape
     edges = sorted({0, *(c for c in cuts(plane) if 0 < c < w), w})
     parts: list[tuple[int, int, str, float]] = []
     start = 0
     while start < len(edges) - 1:
-        best = None
-        for end in range(start + 1, len(edges)):
-            piece = crop(plane[:, edges[start] : edges[end]])
-            if not piece.size:
-                continue
-            label, p = classify(piece)
-            if best is None or (p > best[3] and label not in rejected):
+        best, grows = None, True
+        for first in range(start + 1, len(edges), ahead):
+            ends = range(first, min(first + ahead, len(edges)))
+            pieces = {end: piece for end in ends if (piece := crop(plane[:, edges[start] : edges[end]])).size}
+            for end, (label, p) in zip(pieces, classify(list(pieces.values())) if pieces else [], strict=True):
+                grows = best is None or (p > best[3] and label not in rejected)
+                if not grows:
+                    break
                 best = (edges[start], edges[end], label, p)
-            else:
+            if not grows:
                 break
         if best is None:
             break

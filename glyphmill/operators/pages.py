@@ -177,14 +177,22 @@ def _union(a: tuple, b: tuple) -> tuple:
 def _host(orphan: tuple, line: list[int], boxes: list[tuple]) -> int | None:
     """The member of a line that a box inside the line belongs to: above or below it, near, better than those before."""
     tilt = _angle(boxes[line[0]], boxes[line[-1]]) if len(line) > 1 else 0.0
+    x, y, w, h = np.array([boxes[k] for k in line], dtype=np.int64).T
+    ox, oy, ow, oh = orphan
+    dx = np.where((x < ox + ow) & (ox < x + w), 0, np.abs(ox + ow // 2 - x - w // 2))
+    dy = np.where((y < oy + oh) & (oy < y + h), 0, np.abs(oy + oh // 2 - y - h // 2))
+    off = np.abs(np.degrees(np.arctan2(dy, dx)) % 180 - 90 + tilt)
     host, nearest, squarest = None, 1000, 90.0
-    for k in line:
+    # a gap is no less than the centres' distance without both boxes' longer sides: most members need no closer look
+    least = np.hypot(ox + ow // 2 - x - w // 2, oy + oh // 2 - y - h // 2).astype(np.int64) - np.maximum(w, h) - max(ow, oh) - 1
+    for j in np.flatnonzero((off <= 10 + 1e-9) & (least < nearest) & ((least <= 3 * np.maximum(w, h)) | (off < 1e-9))).tolist():
+        k = line[j]
         b = boxes[k]
-        off = abs(_angle(b, orphan) % 180 - 90 + tilt)
-        if off <= min(10, squarest):
+        off_k = abs(_angle(b, orphan) % 180 - 90 + tilt)
+        if off_k <= min(10, squarest) and least[j] < nearest:
             d = _gap(b, orphan)
-            if d < nearest and (d <= 3 * max(b[2], b[3]) or off == 0):
-                host, nearest, squarest = k, d, off
+            if d < nearest and (d <= 3 * max(b[2], b[3]) or off_k == 0):
+                host, nearest, squarest = k, d, off_k
     return host
 
 
@@ -202,24 +210,43 @@ def clean(boxes: list[tuple], lines: list[list[int]], least: int = 3, margin: in
             out = _union(out, boxes[k])
         return out
 
-    areas: list[tuple | None] = [area(x) if x else None for x in lines]
+    # areas as columns: of each line, the next other line that lies within it or meets it is found at once
+    found = [area(x) if x else (0, 0, 0, 0) for x in lines]
+    x0, y0, w, h = np.array(found, dtype=np.int64).reshape(-1, 4).T.copy()
+    alive = np.array([bool(x) for x in lines], dtype=bool)
+
+    def wider(k: int, box: tuple) -> None:
+        """The area of line ``k`` with a box that it has got."""
+        x0[k], y0[k], w[k], h[k] = _union((int(x0[k]), int(y0[k]), int(w[k]), int(h[k])), box)
+
     for outer in range(len(lines)):
-        for inner in range(len(lines)):
-            a, b = areas[outer], areas[inner]
-            if outer == inner or a is None or b is None:
-                continue
-            if b[0] + margin >= a[0] and b[1] + margin >= a[1] and b[0] + b[2] - margin <= a[0] + a[2] and b[1] + b[3] - margin <= a[1] + a[3]:
-                for k in lines[inner]:
-                    host = _host(boxes[k], lines[outer], boxes)
+        inner = -1
+        while alive[outer]:
+            ax, ay, aw, ah = x0[outer], y0[outer], w[outer], h[outer]
+            after = slice(inner + 1, None)
+            bx, by, bw, bh = x0[after], y0[after], w[after], h[after]
+            within = (bx + margin >= ax) & (by + margin >= ay) & (bx + bw - margin <= ax + aw) & (by + bh - margin <= ay + ah)
+            hit = alive[after] & (within | ((ax < bx + bw) & (bx < ax + aw) & (ay < by + bh) & (by < ay + ah)))
+            if inner < outer:
+                hit[outer - inner - 1] = False
+            k = int(hit.argmax()) if len(hit) else 0
+            if not len(hit) or not hit[k]:
+                break
+            inner += 1 + k
+            if within[k]:
+                for part in lines[inner]:
+                    host = _host(boxes[part], lines[outer], boxes)
                     if host is not None:
-                        boxes[host] = _union(boxes[host], boxes[k])
+                        boxes[host] = _union(boxes[host], boxes[part])
+                        wider(outer, boxes[part])
                         if merged is not None:
-                            merged.append((host, k))
-                lines[inner], areas[inner], areas[outer] = [], None, area(lines[outer])
-            elif a[0] < b[0] + b[2] and b[0] < a[0] + a[2] and _overlap(a, b):
-                left, right = (outer, inner) if a[0] <= b[0] else (inner, outer)
+                            merged.append((host, part))
+                lines[inner], alive[inner] = [], False
+            else:
+                left, right = (outer, inner) if ax <= x0[inner] else (inner, outer)
                 lines[left] += lines[right]
-                lines[right], areas[right], areas[left] = [], None, area(lines[left])
+                lines[right], alive[right] = [], False
+                wider(left, (int(x0[right]), int(y0[right]), int(w[right]), int(h[right])))
         lines[outer].sort(key=lambda k: (boxes[k][0], k))
     out = []
     for line in lines:
@@ -408,9 +435,8 @@ def recognise(comps: DataFrame, layers: network.Layers, labels: list[str], input
                 if split and results and (p < least or "connected" in results):
                     raster = rasters[k]
 
-                    def told(plane: np.ndarray, position: tuple = at[k]) -> tuple[str, float]:
-                        o = answers([(np.where(plane, 0, 255).astype(np.uint8), position)])[0]
-                        return names[int(o.argmax())], float(o.max())
+                    def told(planes: list[np.ndarray], position: tuple = at[k]) -> list[tuple[str, float]]:
+                        return [(names[int(o.argmax())], float(o.max())) for o in answers([(np.where(p, 0, 255).astype(np.uint8), position) for p in planes])]
 
                     parts = kernels.split(raster != 255, told)
                     if len(parts) > 1:

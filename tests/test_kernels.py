@@ -114,10 +114,11 @@ def test_cuts_and_split():
     two[0:10, 2:6] = two[0:10, 13:17] = True
     two[9, 2:17] = True
 
-    def classify(p):
-        return ("I", 0.9) if p.shape[1] < 9 else ("connected", 0.3)
+    def classify(planes):
+        return [("I", 0.9) if p.shape[1] < 9 else ("connected", 0.3) for p in planes]
 
     parts = kernels.split(two, classify)
+    assert parts == kernels.split(two, classify, ahead=1)
     assert parts and parts[0][0] == 0 and all(a[1] == b[0] for a, b in zip(parts, parts[1:], strict=False))
 
 
