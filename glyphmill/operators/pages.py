@@ -25,6 +25,12 @@ def glyphs(page: pd.DataFrame, least: int = 8) -> Iterator[tuple[int, np.ndarray
             yield int(comp), plane
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt out by ``key`` for work that is long for its bytes: to a number of partitions that adaptive execution doesn't lower."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), key)
+
+
 def per_glyph(labelled: DataFrame, schema: str, f: Callable[[np.ndarray], tuple], least: int = 8) -> DataFrame:
     """page_id, comp_id and what ``f`` tells of each component's plane."""
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
@@ -327,7 +333,7 @@ def page_components(pages: DataFrame, threshold: int = 170, least: int = 8, stra
                 rows = []
                 if len(x):
                     first = label_pixels(x, y)
-                    page = pd.DataFrame({"comp_id": y[first].astype(np.int64) * gray.shape[1] + x[first], "x": x, "y": y})
+                    page = pd.DataFrame({"comp_id": y[first].astype(np.int64) * gray.shape[1] + x[first], "x": x, "y": y})[np.bincount(first, minlength=len(x))[first] >= least]
                     for comp, g in page.groupby("comp_id", sort=True):
                         u, v = g["x"].to_numpy(), g["y"].to_numpy()
                         w, h = int(u.max() - u.min()) + 1, int(v.max() - v.min()) + 1
@@ -427,22 +433,24 @@ def recognise(comps: DataFrame, layers: network.Layers, labels: list[str], input
         for batch in batches:
             rasters = [np.frombuffer(g, np.uint8).reshape(h, w) for g, w, h in zip(batch["glyph"], batch["w"], batch["h"], strict=True)]
             at = [tuple(p) for p in batch["position"]] if placed else [(0,) * 5] * len(rasters)
-            said, probs = [], []
+            said, probs, unsure = [], [], []
             for k, out in enumerate(answers(list(zip(rasters, at, strict=True))) if rasters else []):
                 b = int(out.argmax())
-                label, p = names[b], float(out[b])
+                said.append(names[b])
+                probs.append(float(out[b]))
                 results = [names[j] for j in np.argsort(-out, kind="stable")[:4] if out[j] > 0.01]
-                if split and results and (p < least or "connected" in results):
-                    raster = rasters[k]
+                if split and results and (probs[k] < least or "connected" in results):
+                    unsure.append(k)
+            for some in (unsure[j : j + kernels.STACK] for j in range(0, len(unsure), kernels.STACK)):
+                owners: list[int] = []
 
-                    def told(planes: list[np.ndarray], position: tuple = at[k]) -> list[tuple[str, float]]:
-                        return [(names[int(o.argmax())], float(o.max())) for o in answers([(np.where(p, 0, 255).astype(np.uint8), position) for p in planes])]
+                def told(planes: list[np.ndarray], some: list[int] = some, owners: list[int] = owners) -> list[tuple[str, float]]:
+                    asked = [(np.where(p, 0, 255).astype(np.uint8), at[some[j]]) for p, j in zip(planes, owners, strict=True)]  # noqa: B023
+                    return [(names[int(o.argmax())], float(o.max())) for o in answers(asked)]
 
-                    parts = kernels.split(raster != 255, told)
+                for k, parts in zip(some, kernels.split_all([rasters[k] != 255 for k in some], told, owners=owners), strict=True):
                     if len(parts) > 1:
-                        label, p = "".join(PLACEHOLDERS.get(x[2], x[2]) for x in parts), float(np.mean([x[3] for x in parts]))
-                said.append(label)
-                probs.append(p)
+                        said[k], probs[k] = "".join(PLACEHOLDERS.get(x[2], x[2]) for x in parts), float(np.mean([x[3] for x in parts]))
             yield batch.drop(columns=["glyph", *(["position"] if placed else [])]).assign(label=said, prob=np.array(probs, dtype=float))
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in comps.schema if f.name not in ("glyph", "position"))
@@ -461,9 +469,11 @@ def lines_text(recognised: DataFrame) -> DataFrame:
 def corrected(lines: DataFrame, dictionary: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """``lines`` (keys, content) with what their words are in the ``dictionary`` (w): its spelling, else its best suggestion, else the word as it is.
 
-    Words are the runs between single spaces; each different word is looked up once.
+    Words are the runs between single spaces; each different word is looked up once. Lines are read several times, by
+    jobs of their own, too, so they are kept (``persist``: a lost executor costs its own lines only) until the cache is cleared.
     """
     keys = keys or ["path", "line_id"]
+    lines = lines.select(*keys, "content").persist()
     words = lines.select(*keys, F.posexplode(F.split("content", " ")).alias("k", "word"))
     asked = words.select(F.col("word").alias("w")).where("word <> ''").distinct()
     known = lexicon.members(asked, dictionary)
@@ -475,7 +485,7 @@ def corrected(lines: DataFrame, dictionary: DataFrame, keys: list[str] | None =
 
 def read_text(pages: DataFrame, width: int, height: int, layers: network.Layers, labels: list[str], input_max: np.ndarray | None = None, dictionary: DataFrame | None = None, threshold: int = 170, least: int = 3, split: bool = True) -> DataFrame:
     """path, line_id, content of page images: components, types, lines, positions, recognition, words."""
-    comps = typed_components(page_components(pages, threshold))
+    comps = typed_components(spread(page_components(pages, threshold), "path"))
     placed = placed_components(comps, width, height, least)
     lines = lines_text(recognise(placed, layers, labels, input_max, split, threshold))
     return corrected(lines, dictionary) if dictionary is not None else lines

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphmill.operators.pages import spread
+
 PX_SQL = """px as (select l_orderkey // 1500 as page_id, l_partkey % 100 as x, (l_suppkey*7 + l_linenumber*13 + l_orderkey) % 100 as y,
  cast(min(cast(floor(l_extendedprice) as bigint) % 256) as int) as gray from lineitem group by 1,2,3)"""
 BX_SQL = """bx as (select l_orderkey // 1500 as page_id, l_orderkey*10 + l_linenumber as comp_id,
@@ -83,4 +85,4 @@ def page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
         gray[page["y"].to_numpy(), page["x"].to_numpy()] = page["gray"].to_numpy()
         return pd.DataFrame({"path": [f"page-{page['page_id'].iloc[0]:06d}"], "width": [100], "height": [100], "raster": [gray.tobytes()]})
 
-    return pixels(spark, sf_dir).groupBy("page_id").applyInPandas(draw, "path string, width int, height int, raster binary")
+    return spread(pixels(spark, sf_dir), "page_id").groupBy("page_id").applyInPandas(draw, "path string, width int, height int, raster binary")

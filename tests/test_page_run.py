@@ -261,3 +261,48 @@ def test_training_keeps_and_ends(spark):
     assert len(seen) == 3
     drawn = network.train(np.array([[0.0], [9.0]]), np.array([[0.0], [1.0]]), hidden=(2,), repetitions=40, quirk=True)
     assert network.forward_numpy(np.array([[0.0]]), drawn)[0, 0] < 0.5
+
+
+def test_lines_are_read_once_and_pages_spread(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    given = spark.createDataFrame([("p", k, f"caat w{'rn' * 9}{k}") for k in range(5)], "path string, line_id long, content string").mapInPandas(seen, "path string, line_id long, content string")
+    dictionary = spark.createDataFrame([("cat",)], "w string")
+    out = pages.corrected(given, dictionary).orderBy("line_id").collect()
+    assert [r.content.split(" ")[0] for r in out] == ["cat"] * 5 and read.value == 5
+    spark.catalog.clearCache()
+    many = spark.range(40).select(F.col("id").alias("page"))
+    assert pages.spread(many, "page").groupBy("page").applyInPandas(lambda p: p, "page long").rdd.getNumPartitions() >= 16
+
+
+def test_splits_of_many_glyphs_ask_together():
+    rng = np.random.default_rng(4)
+    planes = [rng.random((9, w)) < 0.5 for w in (12, 20, 31, 40)]
+    calls = []
+
+    def told(pieces):
+        calls.append(len(pieces))
+        return [("garbage" if p.sum() % 7 == 0 else "a", int(p.sum()) * 37 % 101 / 101) for p in pieces]
+
+    alone = [kernels.split(p, told) for p in planes]
+    one_by_one, calls[:] = len(calls), []
+    assert kernels.split_all(planes, told) == alone and len(calls) < one_by_one
+
+
+def test_stacked_thinning_and_pruning_are_as_plain_ones():
+    rng = np.random.default_rng(9)
+    for k in range(60):
+        h, w = rng.integers(1, 70, 2)
+        plane = rng.random((h, w)) < rng.choice([0.3, 0.6, 0.9])
+        assert (kernels.thin_condensed(plane) == kernels._thin_condensed_wide(plane, 255)).all()
+    stack = rng.random((20, 32, 32)) < 0.7
+    assert (kernels.thin_condensed(stack) == np.stack([kernels.thin_condensed(p) for p in stack])).all()
+    pale = np.full((8, 12), 255, np.uint8)
+    pale[3:6, 1:11] = 0
+    pale[2, 4:7] = 150
+    assert (kernels.prune(pale, 0, 170)[2] == 255).all() and (kernels.prune(pale, 0, 170)[3:6, 1:11] == 0).all()
