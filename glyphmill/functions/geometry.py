@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -35,22 +35,52 @@ def _truncate(c: Column) -> Column:
     return F.when(c < 0, -F.floor(-c)).otherwise(F.floor(c))
 
 
-def steps_inside(cx: Column, cy: Column, dx: Column, dy: Column, x0: Column, y0: Column, w: Column, h: Column) -> Column:
-    """Steps from the centre along the longer axis of (dx, dy) that stay inside the box, the centre included."""
-    wide = F.abs(dx) >= F.abs(dy)
-    major = F.greatest(F.abs(dx), F.abs(dy)).cast("double")
-    step_x = F.when(wide, F.signum(dx.cast("double"))).otherwise(dx / major)
-    step_y = F.when(wide, dy / major).otherwise(F.signum(dy.cast("double")))
-    inside = lambda k: contains_point(x0, y0, w, h, cx + _truncate(k * step_x), cy + _truncate(k * step_y))
-    return F.size(F.filter(F.sequence(F.lit(0), F.greatest(w, h).cast("int")), inside))
-
-
-def box_gap(ax: Column, ay: Column, aw: Column, ah: Column, bx: Column, by: Column, bw: Column, bh: Column) -> Column:
-    """Distance of the centres and 1, less the steps from each centre that stay in its own box; 0 for equal centres."""
-    acx, acy, bcx, bcy = centre_x(ax, aw), centre_y(ay, ah), centre_x(bx, bw), centre_y(by, bh)
-    dx, dy = bcx - acx, bcy - acy
-    gap = centre_distance(dx, dy) + 1 - steps_inside(acx, acy, dx, dy, ax, ay, aw, ah) - steps_inside(bcx, bcy, -dx, -dy, bx, by, bw, bh)
-    return F.when((dx == 0) & (dy == 0), F.lit(0)).otherwise(gap).cast("long")
+def _gap_steps(ax: Column, ay: Column, aw: Column, ah: Column, bx: Column, by: Column, bw: Column, bh: Column) -> list:
+    """What a gap is worked out by, as rounds of (name, expression over the columns of the rounds before, by name).
+
+    Steps from a box's centre along the longer axis that stay inside the box, the centre included and at most its longer
+    side and 1, are counted without taking them: step k is off by the whole part of k * (d / longer) on an axis, which never
+    falls, so the first step beyond ``n`` whole ones is ceil(n * longer / d), or the next where floating point falls short of n.
+    Right while sides times distances are under 2^50.
+    """
+    sides = (("ax", "dx", aw, 1), ("ay", "dy", ah, 1), ("bx", "dx", bw, -1), ("by", "dy", bh, -1))
+    far = lambda c, d: F.greatest(F.abs(c[d]), F.lit(1)).cast("double")
+
+    def inside(c: dict[str, Column], p: str, w: Column, h: Column) -> Column:
+        along = lambda d, n, k: F.when(c[d] == 0, F.lit(1e18)).otherwise(c[k] + F.when(c[k] * c[f"r{d}"] < c[n], 1.0).otherwise(0.0))
+        steps = F.least((F.greatest(w, h) + 1).cast("double"), along("dx", f"n{p}x", f"k{p}x"), along("dy", f"n{p}y", f"k{p}y"))
+        return F.when((w < 1) | (h < 1), 0.0).otherwise(steps)
+
+    return [
+        [("dx", lambda c: centre_x(bx, bw) - centre_x(ax, aw)), ("dy", lambda c: centre_y(by, bh) - centre_y(ay, ah))],
+        [
+            ("longer", lambda c: F.greatest(F.abs(c["dx"]), F.abs(c["dy"]), F.lit(1)).cast("double")),
+            *[(f"n{p}", lambda c, d=d, side=side, to=to: F.when(c[d] * to > 0, side - half(side)).otherwise(half(side) + 1).cast("double")) for p, d, side, to in sides],
+        ],
+        [("rdx", lambda c: far(c, "dx") / c["longer"]), ("rdy", lambda c: far(c, "dy") / c["longer"]), *[(f"k{p}", lambda c, p=p, d=d: F.ceil(c[f"n{p}"] * c["longer"] / far(c, d)).cast("double")) for p, d, *_ in sides]],
+        [("ina", lambda c: inside(c, "a", aw, ah)), ("inb", lambda c: inside(c, "b", bw, bh))],
+        [("gap", lambda c: F.when((c["dx"] == 0) & (c["dy"] == 0), F.lit(0)).otherwise(centre_distance(c["dx"], c["dy"]) + 1 - c["ina"] - c["inb"]).cast("long"))],
+    ]
+
+
+def box_gap(*sides: Column) -> Column:
+    """Distance of the centres and 1, less the steps from each centre that stay in its own box; 0 for equal centres. ``sides``: x, y, w, h of either box."""
+    known: dict[str, Column] = {}
+    for found in _gap_steps(*sides):
+        known |= {name: f(known) for name, f in found}
+    return known["gap"]
+
+
+def with_box_gap(df: DataFrame, name: str, *sides: str) -> DataFrame:
+    """``df`` with ``box_gap`` of the columns ``sides``. It is worked out step by step: as one expression it is too long for the JVM to compile."""
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    own, known = df.columns, {}
+    for found in _gap_steps(*map(F.col, sides)):
+        df = df.withColumns({prefix + n: f(known) for n, f in found})
+        known |= {n: F.col(prefix + n) for n, _ in found}
+    return df.select(*[F.col(f"`{c}`") for c in own], known["gap"].alias(name))
 
 
 def box_angle(ax: Column, ay: Column, aw: Column, ah: Column, bx: Column, by: Column, bw: Column, bh: Column) -> Column:

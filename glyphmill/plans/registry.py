@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glyphmill.functions.geometry import box_angle, box_gap, contains_point
+from glyphmill.functions.geometry import box_angle, contains_point, with_box_gap
 from glyphmill.operators import components, glyphs, layout, lexicon, network, pages, raster
 from glyphmill.plans import fixtures as fx
 from glyphmill.plans.fixtures import BX_SQL, CHARS_SQL, LEX_SQL, NN_SQL, PX_SQL, QW_SQL
@@ -270,7 +270,7 @@ _STEPS = """(select count(*) from (select unnest(range(0, greatest({p}w, {p}h) +
 select page_id, a_id, b_id, case when dx = 0 and dy = 0 then 0 else (floor(sqrt((dx*dx + dy*dy)::double)) + 1 - {_STEPS.format(p="a", s="")} - {_STEPS.format(p="b", s="*-1")})::bigint end as gap from g""",
 )
 def box_gap_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir).select("page_id", "a_id", "b_id", box_gap(*_sides()).alias("gap"))
+    return with_box_gap(_pairs(spark, sf_dir), "gap", *[f"{p}{c}" for p in "ab" for c in ("x0", "y0", "w", "h")]).select("page_id", "a_id", "b_id", "gap")
 
 
 _ANGLE = "case when {dx} = 0 then case when {dy} = 0 then 0.0 else 90.0 end else degrees(atan({dy}::double/{dx})) end"

@@ -269,3 +269,26 @@ def test_prune_runs():
     bump[3, 6:8] = True
     assert (kernels.prune_runs(bump) == block).all()
     assert (kernels.prune_runs(block) == block).all()
+
+
+def test_gaps_are_counted_without_steps(spark):
+    rng = np.random.default_rng(12)
+    at = rng.integers(0, 60, (300, 4)), rng.integers(0, 24, (300, 4))
+    rows = [tuple(int(v) for v in (a, b, w, h, c, d, u, v)) for (a, b, c, d), (w, h, u, v) in zip(*at, strict=True)]
+    names = [f"{p}{c}" for p in "ab" for c in "xywh"]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} int" for n in names))
+
+    def inside(x, y, w, h, dx, dy):
+        longer = max(abs(dx), abs(dy))
+        sx, sy = (float(np.sign(dx)), dy / longer) if abs(dx) >= abs(dy) else (dx / longer, float(np.sign(dy)))
+        cx, cy = x + w // 2, y + h // 2
+        return sum(x <= cx + int(k * sx) < x + w and y <= cy + int(k * sy) < y + h for k in range(max(w, h) + 1))
+
+    def gap(ax, ay, aw, ah, bx, by, bw, bh):
+        dx, dy = bx + bw // 2 - ax - aw // 2, by + bh // 2 - ay - ah // 2
+        return int((dx * dx + dy * dy) ** 0.5) + 1 - inside(ax, ay, aw, ah, dx, dy) - inside(bx, by, bw, bh, -dx, -dy) if dx or dy else 0
+
+    staged = geometry.with_box_gap(df.withColumn("g", geometry.box_gap(*map(F.col, names))), "gap", *names)
+    got = staged.collect()
+    assert [(r.g, r.gap) for r in got] == [(gap(*r),) * 2 for r in rows]
+    assert "lambda" not in staged._jdf.queryExecution().executedPlan().toString()
