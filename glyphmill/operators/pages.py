@@ -96,9 +96,13 @@ def _overlap(a: tuple, b: tuple) -> bool:
     return a[1] < b[1] + b[3] and b[1] < a[1] + a[3]
 
 
-def _angle(a: tuple, b: tuple) -> float:
+def _apart(a: tuple, b: tuple) -> tuple[int, int]:
     dx = 0 if a[0] < b[0] + b[2] and b[0] < a[0] + a[2] else abs(b[0] + b[2] // 2 - a[0] - a[2] // 2)
-    dy = 0 if _overlap(a, b) else abs(b[1] + b[3] // 2 - a[1] - a[3] // 2)
+    return dx, 0 if _overlap(a, b) else abs(b[1] + b[3] // 2 - a[1] - a[3] // 2)
+
+
+def _angle(a: tuple, b: tuple) -> float:
+    dx, dy = _apart(a, b)
     return math.degrees(math.atan2(dy, dx)) if dx or dy else 0.0
 
 
@@ -108,14 +112,66 @@ def _gap(a: tuple, b: tuple) -> int:
     if not dx and not dy:
         return 0
 
-    def inside(box: tuple, cx: int, cy: int, dx: int, dy: int) -> int:
-        longest = max(abs(dx), abs(dy))
-        k = 0
-        while box[0] <= cx + math.trunc(k * dx / longest) < box[0] + box[2] and box[1] <= cy + math.trunc(k * dy / longest) < box[1] + box[3]:
-            k += 1
-        return k
-
-    return int(math.hypot(dx, dy)) + 1 - inside(a, acx, acy, dx, dy) - inside(b, bcx, bcy, -dx, -dy)
+    longest = max(abs(dx), abs(dy))
+
+    def inside(w: int, h: int, dx: int, dy: int) -> int:
+        """Steps from the centre that stay in the box: on an axis, the first one beyond n whole ones is ceil(n * longest / d)."""
+        if w < 1 or h < 1:
+            return 0
+        return min(-(-(s - s // 2 if d > 0 else s // 2 + 1) * longest // abs(d)) for d, s in ((dx, w), (dy, h)) if d)
+
+    return math.isqrt(dx * dx + dy * dy) + 1 - inside(a[2], a[3], dx, dy) - inside(b[2], b[3], -dx, -dy)
+
+
+def _gaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``_gap`` of columns of boxes: x, y, w, h as rows."""
+    dx, dy = b[0] + b[2] // 2 - a[0] - a[2] // 2, b[1] + b[3] // 2 - a[1] - a[3] // 2
+    longest = np.maximum(np.abs(dx), np.abs(dy))
+
+    def inside(w: np.ndarray, h: np.ndarray, dx: np.ndarray, dy: np.ndarray) -> np.ndarray:
+        first = [np.where(d != 0, -(-np.where(d > 0, s - s // 2, s // 2 + 1) * longest // np.maximum(np.abs(d), 1)), np.iinfo(np.int64).max) for d, s in ((dx, w), (dy, h))]
+        return np.where((w < 1) | (h < 1), 0, np.minimum(*first))
+
+    square = dx * dx + dy * dy
+    out = np.sqrt(square.astype(float)).astype(np.int64) + 1
+    away = square > 0
+    return np.where(away, out - np.where(away, inside(a[2], a[3], dx, dy) + inside(b[2], b[3], -dx, -dy), 0), 0)
+
+
+def _near(boxes: np.ndarray, cw: int, ch: int, side: int) -> tuple[list[int], list[int], list[int], list[bool]]:
+    """For each box (columns x, y, w, h) those on a side of it that a line can go on with, looked for in its own and the next
+    column of cells, the nearest first, then as they stand in the cells: where a box's begin, their numbers, gaps, and whether level within 5 degrees."""
+    x, y, w, h = boxes
+    cx, cy, reach = x + w // 2, y + h // 2, np.maximum(w, h) // 2 + 1
+    column, row = cx // cw, cy // ch
+    tall = int(row.max() - row.min()) + 3
+    cell = (column - column.min() + 1) * tall + row - row.min() + 1  # three rows of a column follow each other
+    order = np.argsort(cell, kind="stable")
+    there = cell[order]
+    ask = np.stack([cell, cell + side * tall], 1).ravel()
+    low, high = np.searchsorted(there, ask - 1, "left"), np.searchsorted(there, ask + 1, "right")
+    most = min(2000, int(1.5 * int(h.max())))
+    found = []
+    ends = np.cumsum(high - low)
+    first = 0
+    while first < len(ask):  # a million pairs at a time
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + 1_000_000, "right")))
+        n = high[first:last] - low[first:last]
+        at = np.repeat(np.arange(first, last), n)
+        place = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + low[at]
+        a, b = at // 2, order[place]
+        keep = (side * (x[b] - x[a]) > 0) & (np.maximum(np.abs(cx[b] - cx[a]), np.abs(cy[b] - cy[a])) - reach[a] - reach[b] < most)
+        a, b, at, place = a[keep], b[keep], at[keep], place[keep]
+        gap = _gaps(boxes[:, a], boxes[:, b])
+        keep = gap < most
+        found.append((a[keep], gap[keep], at[keep], place[keep], b[keep]))
+        first = last
+    a, gap, at, place, b = (np.concatenate(c) for c in zip(*found, strict=True))
+    by = np.lexsort((place, at, gap, a))
+    a, b, gap = a[by], b[by], gap[by]
+    dx = np.where((x[a] < x[b] + w[b]) & (x[b] < x[a] + w[a]), 0, np.abs(cx[b] - cx[a]))
+    dy = np.where((y[a] < y[b] + h[b]) & (y[b] < y[a] + h[a]), 0, np.abs(cy[b] - cy[a]))
+    return np.searchsorted(a, np.arange(len(x) + 1)).tolist(), b.tolist(), gap.tolist(), (np.degrees(np.arctan2(dy, dx)) < 5).tolist()
 
 
 def grow(boxes: list[tuple], cell: tuple[int, int]) -> list[list[int]]:
@@ -125,53 +181,54 @@ def grow(boxes: list[tuple], cell: tuple[int, int]) -> list[list[int]]:
     left end, until neither has one: within one and a half times the line's mean height, level within 5 degrees or
     overlapping the line vertically, looked for in the end's own and the next column of cells, three rows each.
     """
+    if not boxes:
+        return []
     cw, ch = max(1, cell[0]), max(1, cell[1])
-    where = [((b[0] + b[2] // 2) // cw, (b[1] + b[3] // 2) // ch) for b in boxes]
-    cells: dict[tuple[int, int], list[int]] = {}
-    for k in sorted(range(len(boxes)), key=lambda k: (where[k][1], where[k][0], k)):
-        cells.setdefault(where[k], []).append(k)
-    free = set(range(len(boxes)))
+    sides = np.array(boxes, dtype=np.int64).reshape(-1, 4).T
+    near = {side: _near(sides, cw, ch, side) for side in (1, -1)}
+    column, row = (sides[0] + sides[2] // 2) // cw, (sides[1] + sides[3] // 2) // ch
+    order = np.lexsort((column, row)).tolist()
+    tops, bottoms, heights = sides[1].tolist(), (sides[1] + sides[3]).tolist(), sides[3].tolist()
+    free = [True] * len(boxes)
     lines = []
 
     top = bottom = tall = count = 0  # of the line that grows
 
     def taken(k: int) -> None:
         nonlocal top, bottom, tall, count
-        top, bottom = (min(top, boxes[k][1]), max(bottom, boxes[k][1] + boxes[k][3])) if count else (boxes[k][1], boxes[k][1] + boxes[k][3])
-        tall, count = tall + boxes[k][3], count + 1
-        free.discard(k)
-        cells[where[k]].remove(k)
+        top, bottom = (min(top, tops[k]), max(bottom, bottoms[k])) if count else (tops[k], bottoms[k])
+        tall, count = tall + heights[k], count + 1
+        free[k] = False
 
     def nearest(end: int, side: int) -> int | None:
-        best, most = None, min(2000, int(1.5 * tall / count))
-        e = boxes[end]
-        for column in (where[end][0], where[end][0] + side):
-            for row in range(where[end][1] - 1, where[end][1] + 2):
-                for k in cells.get((column, row), ()):
-                    b = boxes[k]
-                    if side * (b[0] - e[0]) > 0 and (_angle(e, b) < 5 or (b[1] < bottom and top < b[1] + b[3])) and (d := _gap(e, b)) < most:
-                        best, most = k, d
-        return best
-
-    for own in list(cells.values()):
-        for first in list(own):
-            if first not in free:
-                continue
-            count = tall = 0
-            taken(first)
-            line = [first]
-            while True:
-                right = nearest(line[-1], 1)
-                if right is not None:
-                    taken(right)
-                    line.append(right)
-                left = nearest(line[0], -1)
-                if left is not None:
-                    taken(left)
-                    line.insert(0, left)
-                if right is None and left is None:
-                    break
-            lines.append(line)
+        starts, found, gaps, level = near[side]
+        most = min(2000, int(1.5 * tall / count))
+        for j in range(starts[end], starts[end + 1]):
+            if gaps[j] >= most:
+                return None
+            k = found[j]
+            if free[k] and (level[j] or (tops[k] < bottom and top < bottoms[k])):
+                return k
+        return None
+
+    for first in order:
+        if not free[first]:
+            continue
+        count = tall = 0
+        taken(first)
+        line = [first]
+        while True:
+            right = nearest(line[-1], 1)
+            if right is not None:
+                taken(right)
+                line.append(right)
+            left = nearest(line[0], -1)
+            if left is not None:
+                taken(left)
+                line.insert(0, left)
+            if right is None and left is None:
+                break
+        lines.append(line)
     return lines
 
 
@@ -180,11 +237,31 @@ def _union(a: tuple, b: tuple) -> tuple:
     return x, y, max(a[0] + a[2], b[0] + b[2]) - x, max(a[1] + a[3], b[1] + b[3]) - y
 
 
-def _host(orphan: tuple, line: list[int], boxes: list[tuple]) -> int | None:
-    """The member of a line that a box inside the line belongs to: above or below it, near, better than those before."""
+def _columns(boxes: list[tuple]) -> np.ndarray:
+    """x, y, w, h, the centres' x and y, and the longer sides of boxes."""
+    out = np.array([(*b, b[0] + b[2] // 2, b[1] + b[3] // 2, max(b[2:])) for b in boxes], dtype=np.int64).reshape(-1, 7)
+    return out.T.copy()
+
+
+def _host(orphan: tuple, line: list[int], own: np.ndarray, boxes: list[tuple]) -> int | None:
+    """The place in a line of the member that a box inside the line belongs to: above or below it, near, better than those before.
+
+    ``own``: the members' ``_columns``.
+    """
     tilt = _angle(boxes[line[0]], boxes[line[-1]]) if len(line) > 1 else 0.0
-    x, y, w, h = np.array([boxes[k] for k in line], dtype=np.int64).T
     ox, oy, ow, oh = orphan
+    # a host is within three times its longer side, or exactly square to the line, which few members are: only these need a look
+    wide = 4 * own[6] + (max(ow, oh) + 1)
+    across, down = np.abs(own[4] - (ox + ow // 2)), np.abs(own[5] - (oy + oh // 2))
+    if tilt in (0, 90):
+        near = (down if tilt else across) <= wide
+    else:
+        run, rise = _apart(boxes[line[0]], boxes[line[-1]])
+        near = ((across <= wide) & (down <= wide)) | (down * rise == across * run)
+    some = np.flatnonzero(near)
+    if not len(some):
+        return None
+    x, y, w, h = own[:4, some]
     dx = np.where((x < ox + ow) & (ox < x + w), 0, np.abs(ox + ow // 2 - x - w // 2))
     dy = np.where((y < oy + oh) & (oy < y + h), 0, np.abs(oy + oh // 2 - y - h // 2))
     off = np.abs(np.degrees(np.arctan2(dy, dx)) % 180 - 90 + tilt)
@@ -192,13 +269,12 @@ def _host(orphan: tuple, line: list[int], boxes: list[tuple]) -> int | None:
     # a gap is no less than the centres' distance without both boxes' longer sides: most members need no closer look
     least = np.hypot(ox + ow // 2 - x - w // 2, oy + oh // 2 - y - h // 2).astype(np.int64) - np.maximum(w, h) - max(ow, oh) - 1
     for j in np.flatnonzero((off <= 10 + 1e-9) & (least < nearest) & ((least <= 3 * np.maximum(w, h)) | (off < 1e-9))).tolist():
-        k = line[j]
-        b = boxes[k]
+        b = boxes[line[some[j]]]
         off_k = abs(_angle(b, orphan) % 180 - 90 + tilt)
         if off_k <= min(10, squarest) and least[j] < nearest:
             d = _gap(b, orphan)
             if d < nearest and (d <= 3 * max(b[2], b[3]) or off_k == 0):
-                host, nearest, squarest = k, d, off_k
+                host, nearest, squarest = int(some[j]), d, off_k
     return host
 
 
@@ -227,6 +303,7 @@ def clean(boxes: list[tuple], lines: list[list[int]], least: int = 3, margin: in
 
     for outer in range(len(lines)):
         inner = -1
+        own = None  # the outer line's boxes as columns, until it gets members
         while alive[outer]:
             ax, ay, aw, ah = x0[outer], y0[outer], w[outer], h[outer]
             after = slice(inner + 1, None)
@@ -240,10 +317,14 @@ def clean(boxes: list[tuple], lines: list[list[int]], least: int = 3, margin: in
                 break
             inner += 1 + k
             if within[k]:
+                if own is None:
+                    own = _columns([boxes[j] for j in lines[outer]])
                 for part in lines[inner]:
-                    host = _host(boxes[part], lines[outer], boxes)
-                    if host is not None:
+                    at = _host(boxes[part], lines[outer], own, boxes)
+                    if at is not None:
+                        host = lines[outer][at]
                         boxes[host] = _union(boxes[host], boxes[part])
+                        own[:, at : at + 1] = _columns([boxes[host]])
                         wider(outer, boxes[part])
                         if merged is not None:
                             merged.append((host, part))
@@ -252,6 +333,7 @@ def clean(boxes: list[tuple], lines: list[list[int]], least: int = 3, margin: in
                 left, right = (outer, inner) if ax <= x0[inner] else (inner, outer)
                 lines[left] += lines[right]
                 lines[right], alive[right] = [], False
+                own = None
                 wider(left, (int(x0[right]), int(y0[right]), int(w[right]), int(h[right])))
         lines[outer].sort(key=lambda k: (boxes[k][0], k))
     out = []
@@ -311,7 +393,7 @@ def lines(boxes: DataFrame, width: int, height: int, cleaned: bool = True) -> Da
         rows = [(int(page["page_id"].iloc[0]), line, pos, int(page["comp_id"].iloc[k]), *own[k]) for line, members in enumerate(found) for pos, k in enumerate(members)]
         return pd.DataFrame(rows, columns=["page_id", "line_id", "pos", "comp_id", "x0", "y0", "w", "h"])
 
-    return boxes.groupBy("page_id").applyInPandas(run, "page_id long, line_id long, pos long, comp_id long, x0 long, y0 long, w long, h long")
+    return spread(boxes, "page_id").groupBy("page_id").applyInPandas(run, "page_id long, line_id long, pos long, comp_id long, x0 long, y0 long, w long, h long")
 
 
 # --- whole pages ------------------------------------------------------------------------------------------------

@@ -292,3 +292,42 @@ def test_gaps_are_counted_without_steps(spark):
     got = staged.collect()
     assert [(r.g, r.gap) for r in got] == [(gap(*r),) * 2 for r in rows]
     assert "lambda" not in staged._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_grow_as_by_looking_at_every_box():
+    def plain(boxes, cell):
+        where = [((b[0] + b[2] // 2) // cell[0], (b[1] + b[3] // 2) // cell[1]) for b in boxes]
+        free, out = sorted(range(len(boxes)), key=lambda k: (where[k][1], where[k][0], k)), []
+
+        def nearest(line, side):
+            e, own = line[-1 if side > 0 else 0], [boxes[k] for k in line]
+            top, bottom, most = min(b[1] for b in own), max(b[1] + b[3] for b in own), min(2000, int(1.5 * sum(b[3] for b in own) / len(own)))
+            each = []
+            for k in free:
+                b, (dc, dr) = boxes[k], (where[k][0] - where[e][0], where[k][1] - where[e][1])
+                if dc in (0, side) and abs(dr) < 2 and side * (b[0] - boxes[e][0]) > 0 and (pages._angle(boxes[e], b) < 5 or (b[1] < bottom and top < b[1] + b[3])):
+                    each.append((pages._gap(boxes[e], b), side * dc, dr, k))
+            return min((x for x in each if x[0] < most), default=(None,))[-1]
+
+        while free:
+            line = [free.pop(0)]
+            grown = True
+            while grown:
+                grown = False
+                for side in (1, -1):
+                    if (k := nearest(line, side)) is not None:
+                        free.remove(k)
+                        line.insert(len(line) if side > 0 else 0, k)
+                        grown = True
+            out.append(line)
+        return out
+
+    rng = np.random.default_rng(3)
+    for _ in range(25):
+        boxes = [tuple(int(v) for v in (*rng.integers(0, 200, 2), *rng.integers(1, 25, 2))) for _ in range(60)]
+        cell = tuple(int(v) for v in rng.integers(5, 60, 2))
+        assert pages.grow(boxes, cell) == plain(boxes, cell)
+        a, b = np.array(boxes[:30]).T, np.array(boxes[30:]).T
+        assert pages._gaps(a, b).tolist() == [pages._gap(p, q) for p, q in zip(boxes[:30], boxes[30:], strict=True)]
+    far = 10**12  # no step is taken
+    assert pages._gap((0, 0, far, far), (3 * far, 0, far, far)) == 2 * far
